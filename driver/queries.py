@@ -1,0 +1,275 @@
+"""Registered queries: name -> (Spark function, SQL text or None)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driver import rules as R
+from driver import sql as S
+from shelfcheck.adapter import catalog
+from shelfcheck.operators import catalog as cat
+from shelfcheck.operators import checks as C
+from shelfcheck.operators import duplicates as dup
+from shelfcheck.operators import keywords as kw
+from shelfcheck.plans import preqc
+from shelfcheck.session import materialize
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def prepared(spark: SparkSession, sf_dir: str, country: str | None = None) -> DataFrame:
+    return cat.prepare_catalog(catalog(spark, sf_dir), country)
+
+
+# ---------------------------------------------------------------------------
+# Preparation
+# ---------------------------------------------------------------------------
+
+PREPARED_SQL = """
+SELECT sid AS "PRODUCT_SET_SID", PARENTSKU, NAME, BRAND, CATEGORY, CATEGORY_CODE, SELLER_NAME, ACTIVE_STATUS_COUNTRY,
+  price AS "GLOBAL_PRICE", sale AS "GLOBAL_SALE_PRICE", COLOR, COLOR_FAMILY, PRODUCT_WARRANTY, WARRANTY_DURATION,
+  COUNT_VARIATIONS, MAIN_IMAGE, cat AS cat_clean, is_multi FROM p"""
+PREPARED_COLS = [
+    "PRODUCT_SET_SID", "PARENTSKU", "NAME", "BRAND", "CATEGORY", "CATEGORY_CODE", "SELLER_NAME",
+    "ACTIVE_STATUS_COUNTRY", "GLOBAL_PRICE", "GLOBAL_SALE_PRICE", "COLOR", "COLOR_FAMILY", "PRODUCT_WARRANTY",
+    "WARRANTY_DURATION", "COUNT_VARIATIONS", "MAIN_IMAGE",
+]
+
+
+def _prepared_out(df: DataFrame) -> DataFrame:
+    return df.select(*PREPARED_COLS, F.col("_cat_clean").alias("cat_clean"), F.col("_IS_MULTI_COUNTRY").alias("is_multi"))
+
+
+@query("prepare_catalog", f"WITH {S.prepared()} {PREPARED_SQL}")
+def prepare_catalog(spark, sf_dir):
+    return _prepared_out(prepared(spark, sf_dir))
+
+
+@query("prepare_catalog_ng", f"WITH {S.prepared('NG')} {PREPARED_SQL}")
+def prepare_catalog_ng(spark, sf_dir):
+    return _prepared_out(prepared(spark, sf_dir, "NG"))
+
+
+@query("fill_metadata", f"""WITH {S.raw()}, {S.FILLED}
+SELECT sid AS "PRODUCT_SET_SID", NAME, COLOR_FAMILY, PRODUCT_WARRANTY, WARRANTY_DURATION, COUNT_VARIATIONS FROM filled""")
+def fill_metadata(spark, sf_dir):
+    cols = ["COLOR_FAMILY", "PRODUCT_WARRANTY", "WARRANTY_DURATION", "COUNT_VARIATIONS"]
+    rows = catalog(spark, sf_dir).select("_seq", "PRODUCT_SET_SID", "NAME", *cols)
+    return cat.fill_metadata(rows, cols).drop("_seq")
+
+
+@query("filter_country", f"""WITH {S.raw()}
+SELECT sid AS "PRODUCT_SET_SID", NAME, country AS "ACTIVE_STATUS_COUNTRY", country IN ('MULTIPLE', 'MULTI') AS is_multi
+FROM (SELECT *, regexp_replace(upper(trim(ACTIVE_STATUS_COUNTRY)), '^[A-Z]+-', '') AS country FROM raw)
+WHERE country IN ('NG', 'MULTIPLE', 'MULTI')""")
+def filter_country(spark, sf_dir):
+    rows = cat.filter_country(catalog(spark, sf_dir), "NG")
+    return rows.select("PRODUCT_SET_SID", "NAME", "ACTIVE_STATUS_COUNTRY", F.col("_IS_MULTI_COUNTRY").alias("is_multi"))
+
+
+@query("detected_countries", f"""WITH {S.raw()}
+SELECT DISTINCT country AS code, coalesce(CASE country WHEN 'KE' THEN 'Kenya' WHEN 'UG' THEN 'Uganda' WHEN 'NG' THEN 'Nigeria'
+  WHEN 'GH' THEN 'Ghana' WHEN 'MA' THEN 'Morocco' END, '''' || country || '''') AS name
+FROM (SELECT regexp_replace(upper(trim(ACTIVE_STATUS_COUNTRY)), '^[A-Z]+-', '') AS country FROM raw)""")
+def detected_countries(spark, sf_dir):
+    return cat.detected_countries(catalog(spark, sf_dir))
+
+
+@query("common_sids", f"""WITH {S.raw()}
+SELECT sid AS "PRODUCT_SET_SID" FROM (SELECT DISTINCT sid, _seq IS NOT NULL, substr(COALESCE(COLOR, 'none'), 1, 3) AS f FROM raw)
+GROUP BY sid HAVING count(*) = (SELECT count(DISTINCT substr(COALESCE(COLOR, 'none'), 1, 3)) FROM raw)""")
+def common_sids(spark, sf_dir):
+    rows = catalog(spark, sf_dir).withColumn("_file", F.substring(F.coalesce("COLOR", F.lit("none")), 1, 3))
+    return cat.common_sids(rows, "_file")
+
+
+@query("union_distinct_files", f"""WITH {S.raw()}
+SELECT sid AS "PRODUCT_SET_SID", NAME, COLOR, CAST(NULL AS VARCHAR) AS "COLOR_FAMILY" FROM raw WHERE COLOR = 'Red'
+UNION ALL SELECT sid, NAME, CAST(NULL AS VARCHAR), COLOR_FAMILY FROM raw WHERE COLOR IS NULL""")
+def union_distinct_files(spark, sf_dir):
+    rows = catalog(spark, sf_dir)
+    one = rows.filter("COLOR = 'Red'").select("PRODUCT_SET_SID", "NAME", "COLOR")
+    two = rows.filter("COLOR IS NULL").select("PRODUCT_SET_SID", "NAME", "COLOR_FAMILY")
+    return one.unionByName(two, allowMissingColumns=True)
+
+
+@query("search_catalog", f"""WITH {S.prepared()}
+SELECT sid AS "PRODUCT_SET_SID", NAME, BRAND, SELLER_NAME FROM p
+WHERE contains(name_l, 'brand#1') OR contains(brand_l, 'brand#1') OR contains(seller_l, 'brand#1')""")
+def search_catalog(spark, sf_dir):
+    rows = prepared(spark, sf_dir).select("PRODUCT_SET_SID", "NAME", "BRAND", "SELLER_NAME")
+    return cat.search(rows, "Brand#1", ["NAME", "BRAND", "SELLER_NAME"])
+
+
+@query("page_of_catalog", f"""WITH {S.prepared()}
+SELECT sid AS "PRODUCT_SET_SID", NAME FROM p ORDER BY sid LIMIT 50 OFFSET 100""")
+def page_of_catalog(spark, sf_dir):
+    rows = prepared(spark, sf_dir).select("PRODUCT_SET_SID", "NAME")
+    return cat.page(rows, 2, 50, ["PRODUCT_SET_SID"])
+
+
+# ---------------------------------------------------------------------------
+# Checks
+# ---------------------------------------------------------------------------
+
+HIT = ["sid", "flag", "detail", "reason"]
+
+ROW_QUERIES = {
+    "chk_fake_price": ("Suspected Fake product", C.fake_price),
+    "chk_refurb_seller": ("Seller Not approved to sell Refurb", C.refurb),
+    "chk_warranty": ("Product Warranty", C.warranty),
+    "chk_books_seller": ("Seller Approve to sell books", C.books_seller),
+    "chk_perfume_seller": ("Seller Approved to Sell Perfume", C.perfume_seller),
+    "chk_tester": ("Perfume Tester", C.perfume_tester),
+    "chk_sneakers": ("Counterfeit Sneakers", C.sneakers),
+    "chk_jerseys": ("Suspected counterfeit Jerseys", C.jerseys),
+    "chk_unnecessary_words": ("Unnecessary words in NAME", C.unnecessary_words),
+    "chk_single_word": ("Single-word NAME", C.single_word_name),
+    "chk_generic_brand": ("Generic BRAND Issues", C.generic_brand),
+    "chk_fashion_brand": ("Fashion brand issues", C.fashion_brand),
+    "chk_brand_in_name": ("BRAND name repeated in NAME", C.brand_in_name),
+    "chk_wrong_variation": ("Wrong Variation", C.wrong_variation),
+    "chk_genuine_brand": ("Generic branded products with genuine brands", C.genuine_brand),
+    "chk_missing_color": ("Missing COLOR", C.missing_color),
+    "chk_weight": ("Missing Weight/Volume", C.weight_in_name),
+    "chk_smartphone": ("Incomplete Smartphone Name", C.smartphone_name),
+    "chk_category_max_price": ("Category Max Price Exceeded", C.max_price),
+}
+
+
+def _row_query(builder):
+    def run(spark, sf_dir):
+        rows = prepared(spark, sf_dir)
+        return C.row_hits(rows, R.rule_set(spark, sf_dir), "KE", [builder]).select(*HIT)
+
+    return run
+
+
+for _name, (_flag, _builder) in ROW_QUERIES.items():
+    query(_name, S.single_check(_flag))(_row_query(_builder))
+
+
+@query("chk_discount", S.many_checks(["Discount too high"], "KE"))
+def chk_discount(spark, sf_dir):
+    rows = C.row_hits(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE", [C.discount], ["Suspicious Discount"])
+    return rows.select(*HIT)
+
+
+@query("chk_suspicious_discount", S.many_checks(["Suspicious Discount"], "KE"))
+def chk_suspicious_discount(spark, sf_dir):
+    rows = C.row_hits(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE", [C.discount], ["Discount too high"])
+    return rows.select(*HIT)
+
+
+@query("chk_restricted_brand", S.single_check("Restricted brands"))
+def chk_restricted_brand(spark, sf_dir):
+    return kw.restricted_brands(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE").select(*HIT)
+
+
+@query("chk_prohibited", S.single_check("Prohibited products"))
+def chk_prohibited(spark, sf_dir):
+    return kw.prohibited(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE").select(*HIT)
+
+
+@query("highlight_prohibited", f"""WITH {S.prepared()}
+SELECT sid, max_by(regexp_replace(NAME, '(?i)\\b(' || kw || ')\\b', '[!]\\1[!]', 'g'), seq) AS "NAME"
+FROM p JOIN {S.values(R.PROHIBITED, "seq, kw, cats")}
+  ON {S.hit('name_l', 'kw')} AND (len(cats) = 0 OR list_contains(cats, cat)) GROUP BY sid""")
+def highlight_prohibited(spark, sf_dir):
+    return kw.highlight_prohibited(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE")
+
+
+@query("highlight_unnecessary", f"""WITH {S.prepared()}
+SELECT sid, regexp_replace(NAME, '{S.word(R.WORDS["unnecessary"])}', '[*]\\1[*]', 'g') AS "NAME" FROM p
+WHERE regexp_matches(name_l, '{S.word(R.WORDS["unnecessary"])}')""")
+def highlight_unnecessary(spark, sf_dir):
+    from shelfcheck.functions.text import highlight, word_pattern
+
+    pattern = word_pattern(R.WORDS["unnecessary"])
+    rows = prepared(spark, sf_dir).filter(F.col("_name_lower").rlike(pattern))
+    return rows.select(F.col("PRODUCT_SET_SID").alias("sid"), highlight("NAME", pattern, "[*]").alias("NAME"))
+
+
+@query("chk_duplicates", S.single_check("Duplicate product"))
+def chk_duplicates(spark, sf_dir):
+    return dup.duplicates(prepared(spark, sf_dir), R.rule_set(spark, sf_dir)).select(*HIT)
+
+
+NG_FLAGS = ["NG - Gift Card Seller", "NG - HP Toners Seller", "NG - Apple Seller", "NG - Xmas Tree Seller",
+            "NG - TV Brand Seller", "NG - Rice Brand Seller", "NG - Books Seller"]
+# Toner and Apple rules name fixed brands; two catalog brands are read as those.
+AS_NG_BRANDS = "CASE BRAND WHEN 'Brand#10' THEN 'HP' WHEN 'Brand#11' THEN 'Apple' ELSE BRAND END"
+
+
+@query("chk_country_ng", S.many_checks(NG_FLAGS, "NG").replace(
+    "split_part(trim(CATEGORY_CODE), '.', 1) AS cat,", "split_part(trim(CATEGORY_CODE), '.', 1) AS cat,", 1
+).replace("trim(lower(BRAND)) AS brand_l", f"trim(lower({AS_NG_BRANDS})) AS brand_l", 1))
+def chk_country_ng(spark, sf_dir):
+    base = catalog(spark, sf_dir).withColumn("BRAND", F.expr(AS_NG_BRANDS))
+    rows = materialize(cat.prepare_catalog(base), "prepared")
+    rules = R.rule_set(spark, sf_dir)
+    own = C.row_hits(rows, rules, "NG", [C.ng_seller_lists, C.ng_xmas, C.ng_tv, C.ng_rice])
+    return own.select(*HIT).unionByName(kw.ng_books(rows, rules).select(*HIT))
+
+
+AS_POWERBANK = "regexp_replace(regexp_replace(NAME, 'gizmo', 'Power Bank'), '([0-9]+)gb', '$1000mAh')"
+
+
+@query("chk_powerbank", S.many_checks(["Powerbank Not Authorized"], "KE").replace(
+    "FROM filled WHERE TRUE", """FROM (SELECT * REPLACE (regexp_replace(regexp_replace(NAME, 'gizmo', 'Power Bank', 'g'),
+      '([0-9]+)gb', '\\1000mAh', 'g') AS NAME) FROM filled) WHERE TRUE""", 1))
+def chk_powerbank(spark, sf_dir):
+    base = catalog(spark, sf_dir).withColumn("NAME", F.regexp_replace(
+        F.regexp_replace("NAME", "gizmo", "Power Bank"), "([0-9]+)gb", "$1\\000mAh"))
+    return C.row_hits(cat.prepare_catalog(base), R.rule_set(spark, sf_dir), "KE", [C.powerbank]).select(*HIT)
+
+
+@query("chk_country_ma", S.single_check("MA - Marque Interdite", "MA"))
+def chk_country_ma(spark, sf_dir):
+    return C.row_hits(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "MA", [C.ma_brands]).select(*HIT)
+
+
+@query("chk_miscellaneous", f"""WITH {S.prepared()}
+SELECT sid, 'Wrong Category' AS flag, 'Category contains ''Miscellaneous''' AS detail, CAST(NULL AS VARCHAR) AS reason FROM p
+WHERE regexp_matches(replace(CATEGORY, 'gizmo', 'Miscellaneous'), '(?i)miscellaneous')""")
+def chk_miscellaneous(spark, sf_dir):
+    base = catalog(spark, sf_dir).withColumn("CATEGORY", F.replace("CATEGORY", F.lit("gizmo"), F.lit("Miscellaneous")))
+    return C.row_hits(cat.prepare_catalog(base), R.rule_set(spark, sf_dir), None, [C.miscellaneous]).select(*HIT)
+
+
+@query("all_row_hits", S.many_checks([f for f, _ in ROW_QUERIES.values()] + ["Discount too high", "Suspicious Discount"], "KE"))
+def all_row_hits(spark, sf_dir):
+    builders = [b for _, b in ROW_QUERIES.values()] + [C.discount]
+    return C.row_hits(prepared(spark, sf_dir), R.rule_set(spark, sf_dir), "KE", builders).select(*HIT)
+
+
+# ---------------------------------------------------------------------------
+# Report
+# ---------------------------------------------------------------------------
+
+
+def report(spark, sf_dir, country="KE"):
+    rows = prepared(spark, sf_dir, country)
+    return preqc.final_report(rows, R.rule_set(spark, sf_dir), country)
+
+
+REPORT_COLS = "ProductSetSid, ParentSKU, Status, Reason, Comment, FLAG, SellerName, CV_Detected"
+
+for _c in ("KE", "NG", "MA"):
+    query("final_report" + ("" if _c == "KE" else f"_{_c.lower()}"), f"{S.report_ctes(_c)} SELECT {REPORT_COLS} FROM report")(
+        lambda spark, sf_dir, c=_c: report(spark, sf_dir, c)
+    )

@@ -207,7 +207,7 @@ def genuine_brand(s: Scope):
     fits = lambda b: start.startswith(b["clean"]) & ~F.substring(
         start, F.length(b["clean"]) + 1, F.lit(1)
     ).rlike(r"^[\p{L}\p{N}]")
-    brand = F.element_at(F.filter("_starts", fits), 1)["brand"]
+    brand = F.get(F.filter("_starts", fits), F.lit(0))["brand"]
     case = F.lit(False)
     if "CATEGORY" in s.columns:
         case = F.lower(pystr("CATEGORY")).rlike("(?U)" + K.CASE_PATTERN)

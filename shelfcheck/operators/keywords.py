@@ -26,7 +26,7 @@ def prohibited(df: DataFrame, rules: RuleSet, country: str | None) -> DataFrame:
         F.col(SID).alias("sid"), "_name_lower", "_cat_clean", F.explode(words_of("_name_lower")).alias("_word")
     )
     hits = words.join(table, "_word").filter(
-        F.col("_name_lower").rlike(bounded(F.col("keyword")))
+        F.rlike(F.col("_name_lower"), bounded(F.col("keyword")))
         & ((F.size("categories") == 0) | F.array_contains("categories", F.col("_cat_clean")))
     )
     # Adds a keyword only while the text so far does not contain it.
@@ -53,7 +53,7 @@ def highlight_prohibited(df: DataFrame, rules: RuleSet, country: str | None) ->
         F.explode(words_of("_name_lower")).alias("_word"),
     )
     hits = words.join(table, "_word").filter(
-        F.col("_name_lower").rlike(bounded(F.col("keyword")))
+        F.rlike(F.col("_name_lower"), bounded(F.col("keyword")))
         & ((F.size("categories") == 0) | F.array_contains("categories", F.col("_cat_clean")))
     )
     marked = F.regexp_replace(pystr("NAME"), bounded(F.col("keyword")), F.lit("[!]$0[!]"))
@@ -82,13 +82,13 @@ def restricted_brands(df: DataFrame, rules: RuleSet, country: str | None) -> Dat
         lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
         .when(a < b, -1).when(a > b, 1).otherwise(0),
     )
-    spots = lambda text: F.exists("r.variations", lambda v: text.rlike(bounded(v)))
+    spots = lambda text: F.exists("r.variations", lambda v: F.rlike(text, bounded(v)))
     pairs = words.join(keyed, "_word").select(
         "sid", "_seller_lower", "_cat_clean", "r",
-        ((brand == F.col("r.brand")) | name.rlike(bounded(F.col("r.brand")))).alias("main"),
+        ((brand == F.col("r.brand")) | F.rlike(name, bounded(F.col("r.brand")))).alias("main"),
         spots(brand).alias("in_brand"), spots(name).alias("in_name"),
-        F.element_at(
-            F.filter(longest, lambda v: F.contains(F.when(spots(brand), brand).otherwise(name), v)), 1
+        F.get(
+            F.filter(longest, lambda v: F.contains(F.when(spots(brand), brand).otherwise(name), v)), F.lit(0)
         ).alias("var"),
     ).filter(F.col("main") | F.col("in_brand") | F.col("in_name"))
     scoped = (F.size("r.categories") == 0) | F.array_contains("r.categories", F.col("_cat_clean"))
@@ -134,14 +134,14 @@ def contained(haystacks: DataFrame, hay: str, needles: DataFrame, needle: str) -
     if not lengths:
         lengths = [GRAM]
     size = F.length(hay)
-    pieces = [
-        F.when(
-            size >= n,
-            F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.col(hay).substr(i, F.lit(n))),
+
+    def pieces(n: int):
+        starts = F.sequence(F.lit(1), size - (n - 1))
+        return F.when(
+            size >= n, F.transform(starts, lambda i: F.col(hay).substr(i, F.lit(n)))
         ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
-    grams = F.array_distinct(F.flatten(F.array(*pieces)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in lengths])))
     return haystacks.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").filter(
         F.contains(F.col(hay), F.col(needle))
     ).drop("_gram")
@@ -176,7 +176,7 @@ def long_word_list(df: DataFrame, rules: RuleSet, list_name: str, flag: str) ->
         F.lower("word").alias("keyword")
     ).distinct().withColumn("_word", anchor("keyword"))
     words = df.select(F.col(SID).alias("sid"), "_name_lower", F.explode(words_of("_name_lower")).alias("_word"))
-    hits = words.join(table, "_word").filter(F.col("_name_lower").rlike(bounded(F.col("keyword"))))
+    hits = words.join(table, "_word").filter(F.rlike(F.col("_name_lower"), bounded(F.col("keyword"))))
     return hits.groupBy("sid").agg(
         F.concat(F.lit("Unnecessary: "), F.array_join(F.array_sort(F.collect_set("keyword")), ", ")).alias("detail")
     ).select(
