@@ -7,7 +7,7 @@ between broadcast and shuffle joins.
 
 from shelfcheck.operators.catalog import prepare_catalog
 from shelfcheck.plans.preqc import final_report
-#from shelfcheck.plans.quality import quality_report
+from shelfcheck.plans.quality import quality_report
 from shelfcheck.sources.rules import RuleSet
 
 __all__ = ["RuleSet", "final_report", "prepare_catalog", "quality_report"]
