@@ -273,3 +273,480 @@ for _c in ("KE", "NG", "MA"):
     query("final_report" + ("" if _c == "KE" else f"_{_c.lower()}"), f"{S.report_ctes(_c)} SELECT {REPORT_COLS} FROM report")(
         lambda spark, sf_dir, c=_c: report(spark, sf_dir, c)
     )
+
+
+def _with_report(country: str, body: str) -> str:
+    return f"{S.report_ctes(country)} {body}"
+
+
+@query("report_status_counts", _with_report("NG", """
+SELECT count(*) AS total, count(*) FILTER (WHERE Status = 'Approved') AS approved,
+  count(*) FILTER (WHERE Status = 'Rejected') AS rejected,
+  count(*) FILTER (WHERE Status = 'Rejected') * 100.0::DOUBLE / count(*) AS rejection_rate,
+  count(*) FILTER (WHERE FLAG LIKE 'Image %') AS cv_detected,
+  (SELECT count(*) FILTER (WHERE is_multi) FROM p) AS multi_country, 0 AS common_skus FROM report"""))
+def report_status_counts(spark, sf_dir):
+    rows = prepared(spark, sf_dir, "NG")
+    done = preqc.final_report(rows, R.rule_set(spark, sf_dir), "NG")
+    return preqc.status_counts(done, rows)
+
+
+@query("report_flag_counts", _with_report("KE", "SELECT FLAG, count(*) AS n FROM report WHERE Status = 'Rejected' GROUP BY FLAG"))
+def report_flag_counts(spark, sf_dir):
+    return preqc.flag_counts(report(spark, sf_dir))
+
+
+@query("report_top_flag", _with_report("KE", """
+SELECT FLAG, count(*) AS n FROM report WHERE Status = 'Rejected' GROUP BY FLAG ORDER BY n DESC, FLAG LIMIT 1"""))
+def report_top_flag(spark, sf_dir):
+    return preqc.top_flag(report(spark, sf_dir))
+
+
+@query("seller_summary", _with_report("KE", """
+SELECT *, row_number() OVER (ORDER BY Rejected DESC, SELLER_NAME) AS Rank FROM (
+  SELECT SellerName AS "SELLER_NAME", count(*) FILTER (WHERE Status = 'Rejected') AS Rejected,
+    count(*) FILTER (WHERE Status = 'Approved') AS Approved FROM report GROUP BY 1)"""))
+def seller_summary(spark, sf_dir):
+    return preqc.seller_summary(report(spark, sf_dir))
+
+
+@query("split_parts", f"""WITH {S.prepared()}
+SELECT sid AS "PRODUCT_SET_SID", NAME, CAST(floor((row_number() OVER (ORDER BY sid) - 1) / 9998) + 1 AS BIGINT) AS part FROM p""")
+def split_parts(spark, sf_dir):
+    from shelfcheck.sources.sinks import split_parts as split
+
+    return split(prepared(spark, sf_dir).select("PRODUCT_SET_SID", "NAME"), [F.asc("PRODUCT_SET_SID")])
+
+
+@query("duplicate_groups", f"""WITH {S.prepared()}
+SELECT * FROM (
+SELECT min(sid) OVER g AS group_sid, sid, count(*) OVER g AS members FROM p
+WINDOW g AS (PARTITION BY lower(trim(NAME)), lower(trim(BRAND)), lower(trim(SELLER_NAME)), lower(trim(coalesce(COLOR, 'nan'))))
+) WHERE members > 1""")
+def duplicate_groups(spark, sf_dir):
+    return dup.duplicate_groups(prepared(spark, sf_dir))
+
+
+@query("export_report_rejected", _with_report("KE", """
+SELECT ProductSetSid, ParentSKU, Status, Reason, Comment, FLAG, SellerName FROM report WHERE Status = 'Rejected'"""))
+def export_report_rejected(spark, sf_dir):
+    from shelfcheck.sources.sinks import export_report
+
+    return export_report(report(spark, sf_dir), "rejected")
+
+
+@query("export_full", _with_report("KE", """
+SELECT sid AS "PRODUCT_SET_SID", ACTIVE_STATUS_COUNTRY, NAME, BRAND, CATEGORY, CATEGORY_CODE,
+  coalesce(c.path, '') AS "FULL_CATEGORY_PATH", COLOR, COLOR_FAMILY, MAIN_IMAGE, CAST(NULL AS VARCHAR) AS "VARIATION",
+  PARENTSKU, SELLER_NAME, CAST(NULL AS VARCHAR) AS "SELLER_SKU", price AS "GLOBAL_PRICE", sale AS "GLOBAL_SALE_PRICE",
+  CAST(NULL AS VARCHAR) AS "TAX_CLASS", r.FLAG, CAST(NULL AS VARCHAR) AS "LISTING_STATUS", PRODUCT_WARRANTY, WARRANTY_DURATION,
+  CAST(NULL AS VARCHAR) AS "WARRANTY_ADDRESS", CAST(NULL AS VARCHAR) AS "WARRANTY_TYPE", COUNT_VARIATIONS,
+  CAST(NULL AS VARCHAR) AS "LIST_VARIATIONS", r.Status, r.Reason, r.Comment, r.SellerName
+FROM p LEFT JOIN report r ON r.ProductSetSid = p.sid LEFT JOIN category c ON c.code = p.CATEGORY_CODE"""))
+def export_full(spark, sf_dir):
+    from shelfcheck.sources.sinks import export_full as full
+
+    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
+    return full(rows, preqc.final_report(rows, rules, "KE"), rules)
+
+
+# Review decisions derived from the report: every product id decides what happens to it.
+DECISION_SQL = """
+decisions AS (
+  SELECT ProductSetSid AS sid, 'reject' AS action, CASE hash_mod % 4 WHEN 0 THEN 'REJECT_COLOR' WHEN 1 THEN 'REJECT_WRONG_CAT'
+    WHEN 2 THEN 'Other Reason (Custom): looks wrong' ELSE 'REJECT_UNKNOWN' END AS key, 1 AS seq
+  FROM (SELECT *, CAST(regexp_extract(ProductSetSid, 'P(\\d+)', 1) AS BIGINT) AS hash_mod FROM report) WHERE hash_mod % 3 = 0
+  UNION ALL
+  SELECT ProductSetSid, 'undo', '', 2 FROM report WHERE CAST(regexp_extract(ProductSetSid, 'P(\\d+)', 1) AS BIGINT) % 5 = 0
+)"""
+
+
+@query("apply_decisions", f"""{S.report_ctes("KE")}, {DECISION_SQL},
+last AS (SELECT sid, max_by(action, seq) AS action, max_by(key, seq) AS key FROM decisions GROUP BY sid)
+SELECT ProductSetSid, ParentSKU,
+  CASE action WHEN 'undo' THEN 'Approved' WHEN 'reject' THEN 'Rejected' ELSE Status END AS Status,
+  CASE WHEN action = 'undo' THEN '' WHEN action IS NULL THEN r.Reason WHEN key = 'REJECT_COLOR' THEN '1000005 - Kindly confirm the actual product colour'
+    WHEN key = 'REJECT_WRONG_CAT' THEN '1000004 - Wrong Category' ELSE '1000007 - Other Reason' END AS Reason,
+  CASE WHEN action = 'undo' THEN '' WHEN action IS NULL THEN Comment WHEN key = 'REJECT_COLOR' THEN 'Product color must be mentioned in title/color tab.'
+    WHEN key = 'REJECT_WRONG_CAT' THEN 'Assigned to Wrong Category. Please use correct category.'
+    WHEN key LIKE 'Other%' THEN 'looks wrong' ELSE 'Manual rejection' END AS Comment,
+  CASE WHEN action = 'undo' THEN 'Approved by User' WHEN action IS NULL THEN FLAG WHEN key = 'REJECT_COLOR' THEN 'Missing COLOR'
+    WHEN key = 'REJECT_WRONG_CAT' THEN 'Wrong Category' ELSE 'Other Reason (Custom)' END AS FLAG,
+  SellerName, CV_Detected
+FROM report r LEFT JOIN last ON last.sid = r.ProductSetSid""")
+def apply_decisions(spark, sf_dir):
+    done = materialize(report(spark, sf_dir), "report")
+    number = F.regexp_extract("ProductSetSid", r"P(\d+)", 1).cast("long")
+    key = (
+        F.when(number % 4 == 0, "REJECT_COLOR").when(number % 4 == 1, "REJECT_WRONG_CAT")
+        .when(number % 4 == 2, "Other Reason (Custom): looks wrong").otherwise("REJECT_UNKNOWN")
+    )
+    reject = done.filter(number % 3 == 0).select(
+        F.col("ProductSetSid").alias("sid"), F.lit("reject").alias("action"), key.alias("key"), F.lit(1).alias("seq"))
+    undo = done.filter(number % 5 == 0).select(
+        F.col("ProductSetSid").alias("sid"), F.lit("undo").alias("action"), F.lit("").alias("key"), F.lit(2).alias("seq"))
+    return preqc.apply_decisions(done, reject.unionByName(undo), R.rule_set(spark, sf_dir), "KE")
+
+
+REAPPROVED = "Unnecessary words in NAME"
+
+
+@query("reapprove", f"""WITH before AS ({S.report_ctes("KE")} SELECT * FROM report),
+again AS ({S.report_ctes("KE", (REAPPROVED,), f"sid IN (SELECT ProductSetSid FROM before WHERE FLAG = '{REAPPROVED}')")} SELECT * FROM report)
+SELECT b.ProductSetSid, b.ParentSKU,
+  CASE WHEN a.ProductSetSid IS NULL THEN b.Status WHEN a.FLAG = '' THEN 'Approved' ELSE 'Rejected' END AS Status,
+  coalesce(a.Reason, b.Reason) AS Reason, coalesce(a.Comment, b.Comment) AS Comment,
+  CASE WHEN a.ProductSetSid IS NULL THEN b.FLAG WHEN a.FLAG = '' THEN 'Approved by User' ELSE a.FLAG END AS FLAG,
+  b.SellerName, b.CV_Detected
+FROM before b LEFT JOIN again a USING (ProductSetSid)""")
+def reapprove(spark, sf_dir):
+    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
+    done = materialize(preqc.final_report(rows, rules, "KE"), "report")
+    chosen = done.filter(F.col("FLAG") == REAPPROVED).select(F.col("ProductSetSid").alias("sid"))
+    return preqc.reapprove(done, rows, rules, "KE", chosen, REAPPROVED)
+
+
+@query("rejection_view", _with_report("KE", """
+SELECT p.sid AS "PRODUCT_SET_SID", NAME, BRAND, coalesce(c.path, '') AS "CATEGORY", COLOR, sale AS "GLOBAL_SALE_PRICE",
+  price AS "GLOBAL_PRICE", PARENTSKU, SELLER_NAME, COUNT_VARIATIONS,
+  CASE WHEN coalesce(sale, price) > 0 THEN 'KSh ' || format('{:,.0f}', coalesce(sale, price) * 128.0) ELSE '' END AS "Local Price"
+FROM report r JOIN p ON p.sid = r.ProductSetSid LEFT JOIN category c ON c.code = p.CATEGORY_CODE
+WHERE r.FLAG = 'Wrong Variation'"""))
+def rejection_view(spark, sf_dir):
+    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
+    return preqc.rejection_view(preqc.final_report(rows, rules, "KE"), rows, "Wrong Variation", rules, "KE")
+
+
+@query("review_scope", _with_report("KE", """
+SELECT r.ProductSetSid AS "PRODUCT_SET_SID", Comment, FLAG, NAME, BRAND, coalesce(c.path, p.CATEGORY_CODE) AS "CATEGORY", SELLER_NAME,
+  MAIN_IMAGE, sale AS "GLOBAL_SALE_PRICE", price AS "GLOBAL_PRICE", COLOR, CATEGORY_CODE
+FROM report r JOIN p ON p.sid = r.ProductSetSid LEFT JOIN category c ON c.code = p.CATEGORY_CODE
+WHERE Status = 'Approved' OR FLAG = 'Wrong Variation'"""))
+def review_scope(spark, sf_dir):
+    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
+    done = materialize(preqc.final_report(rows, rules, "KE"), "report")
+    chosen = done.filter("FLAG = 'Wrong Variation'").select(F.col("ProductSetSid").alias("sid"))
+    return preqc.review_scope(done, rows, rules, chosen)
+
+
+# ---------------------------------------------------------------------------
+# Live listings
+# ---------------------------------------------------------------------------
+
+from shelfcheck.adapter import table  # noqa: E402
+from shelfcheck.functions import text as T  # noqa: E402
+from shelfcheck.operators import postqc as P  # noqa: E402
+from shelfcheck.plans import quality as Q  # noqa: E402
+
+LIVE_SQL = f"""{S.prepared(None, True)}, {S.CATEGORY},
+rates AS (SELECT user_id, count(*) AS reviews, max(value) AS top FROM events GROUP BY user_id),
+live AS (
+  SELECT p.*, CASE WHEN partkey % 97 = 0 THEN price * 600 WHEN partkey % 19 = 0 THEN price * 12 END AS old_price,
+    top / 100 AS RATING, CASE WHEN partkey % 4 = 0 THEN 0 ELSE reviews END AS REVIEW_COUNT,
+    CASE WHEN partkey % 3 = 0 THEN CAST(partkey % 100 AS VARCHAR) || '%' END AS DISCOUNT, partkey % 9 AS images,
+    CASE WHEN partkey % 6 = 0 THEN 'x,JMALL' ELSE 'plain' END AS TAGS
+  FROM p LEFT JOIN rates ON user_id = partkey % 150
+)"""
+
+
+def live(spark, sf_dir) -> DataFrame:
+    rows = cat.prepare_catalog(catalog(spark, sf_dir, description=True))
+    key = F.regexp_extract("PRODUCT_SET_SID", r"P(\d+)", 1).cast("long")
+    rates = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("_reviews"), F.max("value").alias("_top"))
+    rows = rows.withColumn("_key", key)
+    return rows.join(rates, F.col("_key") % 150 == F.col("user_id"), "left").withColumns({
+        "OLD_PRICE": F.when(F.col("_key") % 97 == 0, F.col("GLOBAL_PRICE") * 600)
+        .when(F.col("_key") % 19 == 0, F.col("GLOBAL_PRICE") * 12),
+        "RATING": F.col("_top") / 100,
+        "REVIEW_COUNT": F.when(F.col("_key") % 4 == 0, F.lit(0)).otherwise(F.col("_reviews")),
+        "DISCOUNT": F.when(F.col("_key") % 3 == 0, F.concat((F.col("_key") % 100).cast("string"), F.lit("%"))),
+        "No. of Images": F.col("_key") % 9,
+        "TAGS": F.when(F.col("_key") % 6 == 0, "x,JMALL").otherwise("plain"),
+    }).drop("user_id", "_reviews", "_top", "_key")
+
+
+def _live_check(builders):
+    def run(spark, sf_dir):
+        return C.row_hits(live(spark, sf_dir), R.rule_set(spark, sf_dir), None, builders).select("sid", "flag", "detail")
+
+    return run
+
+
+query("chk_live_prices_and_ratings", f"""WITH {LIVE_SQL}
+SELECT sid, 'Fake discount' AS flag, 'Old price ' || format('{{:,.0f}}', old_price) || ' is ' || format('{{:,.0f}}', old_price / price)
+  || '× current ' || format('{{:,.0f}}', price) AS detail FROM live WHERE price > 0 AND old_price > price * 10
+UNION ALL
+SELECT sid, 'Low rating', 'Rating ' || CAST(round_even(RATING, 1) AS VARCHAR) || ' < 3.0' FROM live WHERE RATING < 3.0
+UNION ALL SELECT sid, 'No ratings', 'No customer ratings' FROM live WHERE RATING IS NULL""")(
+    _live_check([P.fake_discount, P.low_rating, P.no_ratings]))
+
+query("chk_live_content", f"""WITH {LIVE_SQL}
+SELECT sid, 'Few Images (<5)' AS flag, 'Product has only ' || images || ' image(s), minimum recommended is 5' AS detail FROM live WHERE images < 5
+UNION ALL SELECT sid, 'Empty Description', 'Product has no description' FROM live WHERE coalesce(trim(DESCRIPTION), '') IN ('', 'nan', 'None')
+UNION ALL SELECT sid, 'Thin Description', 'Product description is too short' FROM live
+  WHERE length(DESCRIPTION) < 100 AND trim(DESCRIPTION) NOT IN ('', 'nan', 'None')
+UNION ALL SELECT sid, 'Missing Images in Desc', 'Product description does not contain any images' FROM live
+  WHERE DESCRIPTION IS NOT NULL AND NOT regexp_matches(DESCRIPTION, '(?i)<img')""")(
+    _live_check([P.few_images, P.description_checks]))
+
+query("chk_brands_by_path", f"""WITH {S.prepared()}, {S.CATEGORY}
+SELECT sid, 'Generic BRAND Issues' AS flag, CAST(NULL AS VARCHAR) AS detail FROM p
+WHERE lower(BRAND) = 'generic' AND ({S.in_codes('fashion')} OR regexp_matches(replace(CATEGORY, 'gizmo', 'fashion'), '(?i)\\bfashion\\b'))
+UNION ALL SELECT sid, 'Fashion brand issues', NULL FROM p
+WHERE brand_l = 'fashion' AND NOT {S.in_codes('fashion')} AND NOT regexp_matches(replace(CATEGORY, 'gizmo', 'fashion'), '(?i)\\bfashion\\b')""")(
+    lambda spark, sf_dir: C.row_hits(
+        cat.prepare_catalog(catalog(spark, sf_dir).withColumn("CATEGORY", F.replace("CATEGORY", F.lit("gizmo"), F.lit("fashion")))),
+        R.rule_set(spark, sf_dir), None, [C.generic_brand_by_path, C.fashion_brand_by_path]).select("sid", "flag", "detail"))
+
+
+@query("chk_repeated_description", f"""WITH {S.prepared(None, True)}
+SELECT sid, 'Repeated Description' AS flag, 'Description appears in multiple products' AS detail FROM
+(SELECT sid, count(*) OVER (PARTITION BY DESCRIPTION) AS n FROM p WHERE trim(DESCRIPTION) <> '') WHERE n > 1""")
+def chk_repeated_description(spark, sf_dir):
+    rows = cat.prepare_catalog(catalog(spark, sf_dir, description=True))
+    return P.repeated_description(rows).select("sid", "flag", "detail")
+
+
+@query("live_advisories", f"""WITH {LIVE_SQL}
+SELECT sid AS "PRODUCT_SET_SID",
+  coalesce(price > 0 AND sale > 0 AND price > sale * 500, FALSE) AS corrupted,
+  coalesce(NOT coalesce(price > 0 AND sale > 0 AND price > sale * 500, FALSE) AND
+    abs(CASE WHEN price > 0 AND sale < price THEN (price - sale) / price * 100 END - TRY_CAST(replace(DISCOUNT, '%', '') AS DOUBLE)) > 5, FALSE) AS mismatch,
+  brand_l <> '' AND (length(name_l) - length(replace(name_l, brand_l, ''))) / length(brand_l) >= 2 AS brand_twice,
+  coalesce(RATING > 0, FALSE) AND (REVIEW_COUNT IS NULL OR REVIEW_COUNT = 0) AS no_reviews
+FROM live""")
+def live_advisories(spark, sf_dir):
+    return P.advisory_columns(live(spark, sf_dir)).select(
+        "PRODUCT_SET_SID", F.col("_OLD_PRICE_CORRUPTED").alias("corrupted"), F.col("_DISCOUNT_MISMATCH").alias("mismatch"),
+        F.col("_BRAND_IN_TITLE").alias("brand_twice"), F.col("_RATING_NO_REVIEWS").alias("no_reviews"))
+
+
+@query("derive_discount", f"""WITH {LIVE_SQL}
+SELECT sid AS "PRODUCT_SET_SID", coalesce(DISCOUNT, CASE WHEN price > 0 AND sale < price
+  THEN CAST(CAST(round_even((price - sale) / price * 100, 0) AS BIGINT) AS VARCHAR) || '%' END, '') AS "DISCOUNT",
+  CASE WHEN TAGS LIKE '%JMALL%' THEN 'Yes' ELSE 'No' END AS official FROM live""")
+def derive_discount(spark, sf_dir):
+    rows = P.derive_official_store(P.fill_discount(live(spark, sf_dir)))
+    return rows.select("PRODUCT_SET_SID", "DISCOUNT", F.col("IS_OFFICIAL_STORE").alias("official"))
+
+
+@query("fill_summary", f"""WITH {S.raw()}, {S.FILLED},
+a AS (SELECT count(COLOR_FAMILY) AS cf, count(PRODUCT_WARRANTY) AS pw, count(WARRANTY_DURATION) AS wd, count(COUNT_VARIATIONS) AS cv FROM raw),
+b AS (SELECT count(COLOR_FAMILY) AS cf, count(PRODUCT_WARRANTY) AS pw, count(WARRANTY_DURATION) AS wd, count(COUNT_VARIATIONS) AS cv FROM filled)
+SELECT column, before, after, after - before AS filled FROM (
+SELECT 'COLOR_FAMILY' AS column, a.cf AS before, b.cf AS after FROM a, b UNION ALL SELECT 'PRODUCT_WARRANTY', a.pw, b.pw FROM a, b
+UNION ALL SELECT 'WARRANTY_DURATION', a.wd, b.wd FROM a, b UNION ALL SELECT 'COUNT_VARIATIONS', a.cv, b.cv FROM a, b)""")
+def fill_summary(spark, sf_dir):
+    cols = ["COLOR_FAMILY", "PRODUCT_WARRANTY", "WARRANTY_DURATION", "COUNT_VARIATIONS"]
+    rows = catalog(spark, sf_dir).select("_seq", "PRODUCT_SET_SID", *cols)
+    return P.fill_summary(rows, cat.fill_metadata(rows, cols), cols)
+
+
+@query("fill_rate", f"""WITH {S.raw()}
+SELECT 'COLOR' AS column, count(COLOR)::DOUBLE / count(*) AS fill_rate FROM raw
+UNION ALL SELECT 'COLOR_FAMILY', count(COLOR_FAMILY)::DOUBLE / count(*) FROM raw
+UNION ALL SELECT 'GLOBAL_PRICE', count(price)::DOUBLE / count(*) FROM raw""")
+def fill_rate(spark, sf_dir):
+    return P.fill_rate(catalog(spark, sf_dir), ["COLOR", "COLOR_FAMILY", "GLOBAL_PRICE", "ABSENT"])
+
+
+@query("resolve_category_code", f"""WITH {S.raw()}, {S.CATEGORY},
+names AS (SELECT lower(trim(split_part(path, ' > ', 3))) AS name, max_by(code, code) AS code FROM cat WHERE path LIKE 'LARGE%' GROUP BY 1)
+SELECT sid AS "PRODUCT_SET_SID", CATEGORY, coalesce((SELECT code FROM names WHERE name = split_part(CATEGORY, ' > ', 3)),
+  (SELECT code FROM names WHERE name = split_part(CATEGORY, ' > ', 2)), regexp_replace(lower(split_part(CATEGORY, ' > ', 3)), '[^a-z0-9]', '_', 'g')) AS "CATEGORY_CODE"
+FROM raw""")
+def resolve_category_code(spark, sf_dir):
+    from shelfcheck.adapter import categories
+
+    names = categories(spark, sf_dir).filter("path LIKE 'LARGE%'").groupBy(
+        F.lower(F.split_part("path", F.lit(" > "), F.lit(3))).alias("name")).agg(F.max("code").alias("code"))
+    rows = catalog(spark, sf_dir).select("PRODUCT_SET_SID", "CATEGORY")
+    return P.resolve_category_code(rows, names)
+
+
+@query("keep_first", f"""WITH {S.raw()}
+SELECT sid AS "PRODUCT_SET_SID", NAME, price AS "GLOBAL_PRICE" FROM raw QUALIFY row_number() OVER (PARTITION BY sid ORDER BY _seq) = 1""")
+def keep_first(spark, sf_dir):
+    return cat.keep_first(catalog(spark, sf_dir)).select("PRODUCT_SET_SID", "NAME", "GLOBAL_PRICE")
+
+
+def issue_sql(country: str) -> str:
+    checks = S.check_sql(country)
+    checks["Blacklisted Keyword"] = checks["Unnecessary words in NAME"].replace(
+        S.word(R.WORDS["unnecessary"]), S.word(R.WORDS["blacklisted"]))
+    checks["Fashion brand issues"] = f"""SELECT sid, 'Brand ''Fashion'' used outside Fashion category: ' || CATEGORY_CODE AS detail, NULL AS reason
+      FROM p WHERE brand_l = 'fashion' AND NOT {S.in_codes('fashion')}"""
+    live_ = {
+        "Fake discount": """SELECT sid, 'Old price ' || format('{:,.0f}', old_price) || ' is ' || format('{:,.0f}', old_price / price)
+           || '× current ' || format('{:,.0f}', price) AS detail FROM live WHERE price > 0 AND old_price > price * 10""",
+        "Repeated Description": """SELECT sid, 'Description appears in multiple products' AS detail FROM (SELECT sid, count(*) OVER
+           (PARTITION BY DESCRIPTION) AS n FROM p WHERE trim(DESCRIPTION) <> '') WHERE n > 1""",
+        "Few Images (<5)": "SELECT sid, 'Product has only ' || images || ' image(s), minimum recommended is 5' AS detail FROM live WHERE images < 5",
+        "Empty Description": "SELECT sid, 'Product has no description' AS detail FROM live WHERE coalesce(trim(DESCRIPTION), '') IN ('', 'nan', 'None')",
+        "Thin Description": """SELECT sid, 'Product description is too short' AS detail FROM live WHERE length(DESCRIPTION) < 100
+           AND trim(DESCRIPTION) NOT IN ('', 'nan', 'None')""",
+        "Missing Images in Desc": """SELECT sid, 'Product description does not contain any images' AS detail FROM live
+           WHERE DESCRIPTION IS NOT NULL AND NOT regexp_matches(DESCRIPTION, '(?i)<img')""",
+    }
+    parts = []
+    for i, (flag, severity, column, message) in enumerate(Q.PLAN):
+        body = checks.get(flag) or live_.get(flag)
+        if body is None:
+            continue
+        rank = Q.SEVERITY_ORDER.index(severity)
+        parts.append(f"SELECT sid, {rank} AS rank, {i} AS ord, {S.lit(column)} AS col, "
+                     f"coalesce(nullif(trim(detail), ''), {S.lit(message or column)}) AS msg FROM ({body})")
+    return f"""WITH {LIVE_SQL}, {S.RESTRICTED}, issues AS (
+SELECT * FROM ({" UNION ALL ".join(parts)}) QUALIFY row_number() OVER (PARTITION BY sid, col, substr(msg, 1, 80) ORDER BY ord) = 1)"""
+
+
+def quality_sql(country: str) -> str:
+    flags = ", ".join(f"CASE WHEN bool_or(col = {S.lit(c)}) THEN 'YES' ELSE 'NO' END AS {chr(34)}{c}{chr(34)}" for c in Q.FLAG_COLS)
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n{i}" for i in range(4))
+    tags = "['critical', 'high', 'medium', 'low'][rank + 1]"
+    return f"""{issue_sql(country)}, agg AS (
+SELECT live.sid, {counts}, coalesce(string_agg('[' || {tags} || '] ' || msg, ' | ' ORDER BY rank, ord), '') AS top, {flags}
+FROM live LEFT JOIN issues USING (sid) GROUP BY live.sid),
+quality AS (SELECT sid AS "SKU", NAME AS "Name", BRAND AS "Brand", CATEGORY AS "Category", price AS "Price", old_price AS "Old Price",
+  DISCOUNT AS "Discount", RATING AS "Rating", '' AS "Total Ratings", SELLER_NAME AS "Seller", 'No' AS "Shop Express", 'No' AS "Shop Global",
+  MAIN_IMAGE AS "Image URL", '' AS "Product URL", 'In Stock' AS "Stock", '' AS "Tags", '{country}' AS "Country",
+  greatest(0, 100 - n0 * 25 - n1 * 12 - n2 * 6 - n3 * 2) AS "Quality Score", n0 AS "Critical Issues", n1 AS "High Issues", n2 AS "Medium Issues",
+  n3 AS "Low Issues", n0 + n1 + n2 + n3 AS "Total Issues", top AS "Top Issues", images AS "No. of Images",
+  {", ".join(f'{chr(34)}{c}{chr(34)}' for c in Q.FLAG_COLS)} FROM live JOIN agg USING (sid))"""
+
+
+def quality(spark, sf_dir, country="KE"):
+    return Q.quality_report(live(spark, sf_dir).drop("TAGS"), R.rule_set(spark, sf_dir), country)
+
+
+@query("quality_report", f"{quality_sql('KE')} SELECT * FROM quality")
+def quality_report(spark, sf_dir):
+    return quality(spark, sf_dir)
+
+
+@query("quality_report_ng", f"{quality_sql('NG')} SELECT * FROM quality")
+def quality_report_ng(spark, sf_dir):
+    return quality(spark, sf_dir, "NG")
+
+
+@query("quality_kpis", f"""{quality_sql('KE')}
+SELECT avg("Quality Score") AS mean_score, count(*) FILTER (WHERE "Total Issues" > 0) AS with_issues,
+  count(*) FILTER (WHERE "Critical Issues" > 0) AS critical, count(*) FILTER (WHERE "Total Issues" = 0) AS clean,
+  count(*) FILTER (WHERE "Total Issues" > 0) * 100.0::DOUBLE / count(*) AS issue_rate FROM quality""")
+def quality_kpis(spark, sf_dir):
+    return Q.quality_kpis(quality(spark, sf_dir))
+
+
+@query("quality_flag_counts", f"""{quality_sql('KE')} SELECT * FROM ({" UNION ALL ".join(
+    f'SELECT {S.lit(c)} AS "column", count(*) FILTER (WHERE "{c}" = {S.lit("YES")}) AS products FROM quality' for c in Q.FLAG_COLS)}) WHERE products > 0""")
+def quality_flag_counts(spark, sf_dir):
+    return Q.yes_counts(quality(spark, sf_dir))
+
+
+@query("filter_quality", f"""{quality_sql('KE')} SELECT "SKU", "Quality Score" FROM quality
+WHERE "Critical Issues" > 0 AND "Quality Score" BETWEEN 20 AND 70 AND "Naming Issue" = 'YES'""")
+def filter_quality(spark, sf_dir):
+    return Q.filter_quality(quality(spark, sf_dir), "critical", "Naming Issue", 20, 70).select("SKU", "Quality Score")
+
+
+@query("export_post_qc", _with_report("KE", """
+SELECT p.sid AS "PRODUCT_SET_SID", NAME, BRAND, CASE WHEN Status = 'Approved' THEN 'ok' ELSE FLAG END AS "FINAL_FLAG",
+  CASE WHEN Status = 'Approved' THEN 'ok' ELSE Comment END AS "FLAG_REASON" FROM p JOIN report r ON r.ProductSetSid = p.sid"""))
+def export_post_qc(spark, sf_dir):
+    from shelfcheck.sources.sinks import export_post_qc as export
+
+    rows = prepared(spark, sf_dir, "KE")
+    done = preqc.final_report(rows, R.rule_set(spark, sf_dir), "KE")
+    return export(rows.select("PRODUCT_SET_SID", "NAME", "BRAND", "_name_lower"), done)
+
+
+# ---------------------------------------------------------------------------
+# Weekly analytics
+# ---------------------------------------------------------------------------
+
+from shelfcheck.plans import weekly as W  # noqa: E402
+from shelfcheck.sources.files import export_file_columns  # noqa: E402
+
+WEEK_SQL = f"""{S.report_ctes("KE")},
+week AS (SELECT r.*, p.CATEGORY, DATE '2024-01-01' + CAST(partkey % 7 AS INTEGER) AS "Date", 'Kenya' AS "Country"
+  FROM report r JOIN p ON p.sid = r.ProductSetSid),
+days AS (SELECT *, dayname("Date") AS "Day" FROM week)"""
+
+
+def week(spark, sf_dir) -> DataFrame:
+    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
+    done = preqc.final_report(rows, rules, "KE").join(
+        rows.select(F.col("PRODUCT_SET_SID").alias("ProductSetSid"), "CATEGORY"), "ProductSetSid")
+    number = F.regexp_extract("ProductSetSid", r"P(\d+)", 1).cast("long") % 7
+    name = F.concat(F.lit("KE_export_"), F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int")).cast("string"), F.lit(".csv"))
+    return materialize(export_file_columns(done, name), "week")
+
+
+@query("export_file_columns", f"""{WEEK_SQL}
+SELECT ProductSetSid, "Date", "Day", "Country", weekofyear("Date") AS "Week" FROM days""")
+def export_columns(spark, sf_dir):
+    return week(spark, sf_dir).select("ProductSetSid", "Date", "Day", "Country", "Week")
+
+
+@query("weekly_daily", f"""{WEEK_SQL}
+SELECT v.d AS "Day", count(*) FILTER (WHERE Status = 'Approved') AS "Approved", count(*) FILTER (WHERE Status = 'Rejected') AS "Rejected",
+  count(Status) AS "Daily Total" FROM {S.values([(d,) for d in W.WEEK_DAYS], "d")} LEFT JOIN days ON d = "Day" GROUP BY 1
+UNION ALL SELECT 'Weekly Total', count(*) FILTER (WHERE Status = 'Approved'), count(*) FILTER (WHERE Status = 'Rejected'), count(*) FROM days""")
+def weekly_daily(spark, sf_dir):
+    return W.daily_summary(week(spark, sf_dir))
+
+
+@query("weekly_sellers", f"""{WEEK_SQL}
+SELECT SellerName AS "Seller", count(*) FILTER (WHERE Status = 'Approved') AS "Approved", count(*) FILTER (WHERE Status = 'Rejected') AS "Rejected",
+  count(*) AS "Total Submitted", round_even(count(*) FILTER (WHERE Status = 'Rejected') / count(*) * 100, 1) AS "Rejection Rate (%)"
+FROM days GROUP BY 1""")
+def weekly_sellers(spark, sf_dir):
+    return W.seller_stats(week(spark, sf_dir))
+
+
+@query("weekly_trend", f"""{WEEK_SQL} SELECT "Date", Status, count(*) AS "Count" FROM days GROUP BY 1, 2""")
+def weekly_trend(spark, sf_dir):
+    return W.trend(week(spark, sf_dir))
+
+
+@query("weekly_reasons", f"""{WEEK_SQL} SELECT FLAG AS "Reason", count(*) AS "Rejected Count" FROM days WHERE Status = 'Rejected' GROUP BY 1""")
+def weekly_reasons(spark, sf_dir):
+    return W.reason_counts(week(spark, sf_dir))
+
+
+@query("weekly_top_categories", f"""{WEEK_SQL}
+SELECT CATEGORY AS "Category", count(*) AS "Rejected Count" FROM days WHERE Status = 'Rejected' GROUP BY 1
+ORDER BY 2 DESC, 1 LIMIT 5""")
+def weekly_top_categories(spark, sf_dir):
+    return W.top_rejected(W.category_counts(week(spark, sf_dir)), "Category")
+
+
+@query("weekly_top_sellers", f"""{WEEK_SQL}
+SELECT SellerName AS "Seller", count(*) FILTER (WHERE Status = 'Approved') AS "Approved", count(*) FILTER (WHERE Status = 'Rejected') AS "Rejected",
+  count(*) AS "Total Submitted", round_even(count(*) FILTER (WHERE Status = 'Rejected') / count(*) * 100, 1) AS "Rejection Rate (%)"
+FROM days GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5""")
+def weekly_top_sellers(spark, sf_dir):
+    return W.top_sellers(W.seller_stats(week(spark, sf_dir)))
+
+
+@query("weekly_insights", f"""{WEEK_SQL},
+reasons AS (SELECT FLAG, count(*) AS n FROM days WHERE Status = 'Rejected' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+worst AS (SELECT SellerName, count(*) AS n FROM days WHERE Status = 'Rejected' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+busy AS (SELECT "Day", count(*) AS n FROM days GROUP BY 1, isodow("Date") ORDER BY 2 DESC, isodow("Date") LIMIT 1)
+SELECT count(*) AS total, count(*) FILTER (WHERE Status = 'Approved') AS approved, count(*) FILTER (WHERE Status = 'Rejected') AS rejected,
+  count(*) FILTER (WHERE Status = 'Rejected') * 100.0::DOUBLE / count(*) AS rejection_rate, 'action required' AS verdict,
+  (SELECT "Day" FROM busy) AS busiest_day, (SELECT FLAG FROM reasons) AS top_reason, (SELECT n FROM reasons) AS top_reason_count,
+  (SELECT n FROM reasons) * 100.0::DOUBLE / count(*) FILTER (WHERE Status = 'Rejected') AS top_reason_share,
+  (SELECT SellerName FROM worst) AS worst_seller, (SELECT n FROM worst) AS worst_seller_rejected FROM days""")
+def weekly_insights(spark, sf_dir):
+    return W.insights(week(spark, sf_dir))
+
+
+@query("weekly_cover", f"""{WEEK_SQL}
+SELECT unnest(['Country / Region', 'Reporting Week', 'Total Files/Parts Merged', 'Total Products Processed', 'Total Approved', 'Total Rejected',
+  'Overall Rejection Rate']) AS "Metric", unnest(['Kenya', 'Week 1', CAST(count(DISTINCT "Date") AS VARCHAR), CAST(count(*) AS VARCHAR),
+  CAST(count(*) FILTER (WHERE Status = 'Approved') AS VARCHAR), CAST(count(*) FILTER (WHERE Status = 'Rejected') AS VARCHAR),
+  format('{{:,.1f}}', count(*) FILTER (WHERE Status = 'Rejected') * 100.0::DOUBLE / count(*)) || '%']) AS "Value" FROM days""")
+def weekly_cover(spark, sf_dir):
+    return W.cover_metrics(week(spark, sf_dir))

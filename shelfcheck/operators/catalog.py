@@ -253,12 +253,11 @@ def _fill_across_countries(base: DataFrame, one: DataFrame, fills: list[str]) ->
 
 def common_sids(df: DataFrame, file_col: str) -> DataFrame:
     """Ids present in every one of at least two files."""
+    files = df.select(file_col).distinct().count()
+    if files < 2:
+        return df.select(SID).limit(0)
     pairs = df.select(strip(pystr(SID)).alias(SID), file_col).distinct()
-    per_id = pairs.groupBy(SID).agg(F.count("*").alias("n"))
-    total = df.agg(F.count_distinct(file_col).alias("files"))
-    return per_id.join(
-        total, (F.col("n") == F.col("files")) & (F.col("files") > 1)
-    ).select(SID)
+    return pairs.groupBy(SID).agg(F.count("*").alias("n")).filter(F.col("n") == files).select(SID)
 
 
 # ---------------------------------------------------------------------------

@@ -146,19 +146,28 @@ def _comments(first: DataFrame, rules: RuleSet, country: str, full_comment: bool
 
 
 def status_counts(report: DataFrame, df: DataFrame | None = None, common: DataFrame | None = None) -> DataFrame:
-    """One row: totals, rejection rate, image flags, multi-country and common ids."""
+    """One row: totals, rejection rate, image flags, multi-country and common ids.
+
+    The three inputs are stacked and counted in one aggregate.
+    """
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    rows = report.select("Status", "FLAG", no.alias("multi"), no.alias("common"))
+    if df is not None:
+        rows = rows.unionByName(df.select(
+            none.alias("Status"), none.alias("FLAG"), F.col("_IS_MULTI_COUNTRY").alias("multi"), no.alias("common")
+        ))
+    if common is not None:
+        rows = rows.unionByName(common.select(
+            none.alias("Status"), none.alias("FLAG"), no.alias("multi"), F.lit(True).alias("common")
+        ))
     rejected = F.count_if(F.col("Status") == "Rejected")
-    out = report.agg(
-        F.count("*").alias("total"), F.count_if(F.col("Status") == "Approved").alias("approved"),
+    return rows.agg(
+        F.count("Status").alias("total"), F.count_if(F.col("Status") == "Approved").alias("approved"),
         rejected.alias("rejected"),
-        F.coalesce(F.try_divide(rejected * 100.0, F.count("*")), F.lit(0.0)).alias("rejection_rate"),
+        F.coalesce(F.try_divide(rejected * 100.0, F.count("Status")), F.lit(0.0)).alias("rejection_rate"),
         F.count_if(F.col("FLAG").isin(*K.CV_FLAGS)).alias("cv_detected"),
+        F.count_if("multi").alias("multi_country"), F.count_if("common").alias("common_skus"),
     )
-    if df is not None:
-        out = out.crossJoin(df.agg(F.count_if("_IS_MULTI_COUNTRY").alias("multi_country")))
-    if common is not None:
-        out = out.crossJoin(common.agg(F.count("*").alias("common_skus")))
-    return out
 
 
 def flag_counts(report: DataFrame) -> DataFrame:

@@ -101,20 +101,22 @@ def insights(df: DataFrame) -> DataFrame:
     busiest = df.filter(F.col(status).isNotNull()).groupBy("Day").agg(F.count("*").alias("n")).join(days, "Day").agg(
         F.max_by("Day", F.struct("n", -F.col("pos"))).alias("busiest_day")
     )
-    out = totals.crossJoin(busiest)  # one-row aggregates
+    # Each side below is a single row; the constant key only lines them up.
+    one = lambda side: side.withColumn("_one", F.lit(1))
+    out = one(totals).join(one(busiest), "_one")
     if flag:
         first = top_rejected(reason_counts(df), "Reason", 1).select(
             F.col("Reason").alias("top_reason"), F.col("Rejected Count").alias("top_reason_count")
         )
-        out = out.join(first, F.lit(True), "left").withColumn(
+        out = out.join(one(first), "_one", "left").withColumn(
             "top_reason_share", F.try_divide(F.col("top_reason_count") * 100.0, F.col("rejected"))
         )
     if seller:
         worst = top_rejected(rejected_counts(df, SELLER_NAMES, "Seller"), "Seller", 1).select(
             F.col("Seller").alias("worst_seller"), F.col("Rejected Count").alias("worst_seller_rejected")
         )
-        out = out.join(worst, F.lit(True), "left")
-    return out
+        out = out.join(one(worst), "_one", "left")
+    return out.drop("_one")
 
 
 def cover_metrics(df: DataFrame, files: int | None = None) -> DataFrame:

@@ -267,8 +267,8 @@ def load_fake_price(df: DataFrame, country: str, seq: str = "rule_seq") -> DataF
     """Wide sheet: header = brand, first row = price, further rows = category codes."""
     brands = [c for c in df.columns if c not in (seq, "Unnamed: 0", "Brand", "Price")]
     cells = df.unpivot([seq], brands, "brand", "cell")
-    first = df.agg(F.min(F.col(seq).cast("long")).alias("first"))
-    cells = cells.crossJoin(first).withColumn("is_price", F.col(seq).cast("long") == F.col("first"))
+    first = df.agg(F.min(F.col(seq).cast("long"))).first()[0]
+    cells = cells.withColumn("is_price", F.col(seq).cast("long") == F.lit(first))
     price = cells.filter("is_price").select(
         "brand", strip("cell").try_cast("double").alias("min_price")
     ).filter(F.col("min_price") > 0)
