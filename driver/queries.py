@@ -35,6 +35,28 @@ def prepared(spark: SparkSession, sf_dir: str, country: str | None = None) -> Da
     return cat.prepare_catalog(catalog(spark, sf_dir), country)
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries start from, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialize(make(), name)
+    return _TABLES[key]
+
+
+def stored(spark, sf_dir, country="KE") -> DataFrame:
+    """Prepared catalog of one country as a table."""
+    return once(spark, sf_dir, f"catalog-{country}", lambda: prepared(spark, sf_dir, country))
+
+
+def stored_report(spark, sf_dir, country="KE") -> DataFrame:
+    """Decision report of one country as a table."""
+    return once(spark, sf_dir, f"report-{country}", lambda: preqc.final_report(
+        stored(spark, sf_dir, country), R.rule_set(spark, sf_dir), country))
+
+
 # ---------------------------------------------------------------------------
 # Preparation
 # ---------------------------------------------------------------------------
@@ -286,20 +308,18 @@ SELECT count(*) AS total, count(*) FILTER (WHERE Status = 'Approved') AS approve
   count(*) FILTER (WHERE FLAG LIKE 'Image %') AS cv_detected,
   (SELECT count(*) FILTER (WHERE is_multi) FROM p) AS multi_country, 0 AS common_skus FROM report"""))
 def report_status_counts(spark, sf_dir):
-    rows = prepared(spark, sf_dir, "NG")
-    done = preqc.final_report(rows, R.rule_set(spark, sf_dir), "NG")
-    return preqc.status_counts(done, rows)
+    return preqc.status_counts(stored_report(spark, sf_dir, "NG"), stored(spark, sf_dir, "NG"))
 
 
 @query("report_flag_counts", _with_report("KE", "SELECT FLAG, count(*) AS n FROM report WHERE Status = 'Rejected' GROUP BY FLAG"))
 def report_flag_counts(spark, sf_dir):
-    return preqc.flag_counts(report(spark, sf_dir))
+    return preqc.flag_counts(stored_report(spark, sf_dir))
 
 
 @query("report_top_flag", _with_report("KE", """
 SELECT FLAG, count(*) AS n FROM report WHERE Status = 'Rejected' GROUP BY FLAG ORDER BY n DESC, FLAG LIMIT 1"""))
 def report_top_flag(spark, sf_dir):
-    return preqc.top_flag(report(spark, sf_dir))
+    return preqc.top_flag(stored_report(spark, sf_dir))
 
 
 @query("seller_summary", _with_report("KE", """
@@ -307,7 +327,7 @@ SELECT *, row_number() OVER (ORDER BY Rejected DESC, SELLER_NAME) AS Rank FROM (
   SELECT SellerName AS "SELLER_NAME", count(*) FILTER (WHERE Status = 'Rejected') AS Rejected,
     count(*) FILTER (WHERE Status = 'Approved') AS Approved FROM report GROUP BY 1)"""))
 def seller_summary(spark, sf_dir):
-    return preqc.seller_summary(report(spark, sf_dir))
+    return preqc.seller_summary(stored_report(spark, sf_dir))
 
 
 @query("split_parts", f"""WITH {S.prepared()}
@@ -332,13 +352,13 @@ SELECT ProductSetSid, ParentSKU, Status, Reason, Comment, FLAG, SellerName FROM
 def export_report_rejected(spark, sf_dir):
     from shelfcheck.sources.sinks import export_report
 
-    return export_report(report(spark, sf_dir), "rejected")
+    return export_report(stored_report(spark, sf_dir), "rejected")
 
 
 @query("export_full", _with_report("KE", """
 SELECT sid AS "PRODUCT_SET_SID", ACTIVE_STATUS_COUNTRY, NAME, BRAND, CATEGORY, CATEGORY_CODE,
   coalesce(c.path, '') AS "FULL_CATEGORY_PATH", COLOR, COLOR_FAMILY, MAIN_IMAGE, CAST(NULL AS VARCHAR) AS "VARIATION",
-  PARENTSKU, SELLER_NAME, CAST(NULL AS VARCHAR) AS "SELLER_SKU", price AS "GLOBAL_PRICE", sale AS "GLOBAL_SALE_PRICE",
+  p.PARENTSKU, SELLER_NAME, CAST(NULL AS VARCHAR) AS "SELLER_SKU", price AS "GLOBAL_PRICE", sale AS "GLOBAL_SALE_PRICE",
   CAST(NULL AS VARCHAR) AS "TAX_CLASS", r.FLAG, CAST(NULL AS VARCHAR) AS "LISTING_STATUS", PRODUCT_WARRANTY, WARRANTY_DURATION,
   CAST(NULL AS VARCHAR) AS "WARRANTY_ADDRESS", CAST(NULL AS VARCHAR) AS "WARRANTY_TYPE", COUNT_VARIATIONS,
   CAST(NULL AS VARCHAR) AS "LIST_VARIATIONS", r.Status, r.Reason, r.Comment, r.SellerName
@@ -346,8 +366,7 @@ FROM p LEFT JOIN report r ON r.ProductSetSid = p.sid LEFT JOIN category c ON c.c
 def export_full(spark, sf_dir):
     from shelfcheck.sources.sinks import export_full as full
 
-    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
-    return full(rows, preqc.final_report(rows, rules, "KE"), rules)
+    return full(stored(spark, sf_dir), stored_report(spark, sf_dir), R.rule_set(spark, sf_dir))
 
 
 # Review decisions derived from the report: every product id decides what happens to it.
@@ -375,7 +394,7 @@ SELECT ProductSetSid, ParentSKU,
   SellerName, CV_Detected
 FROM report r LEFT JOIN last ON last.sid = r.ProductSetSid""")
 def apply_decisions(spark, sf_dir):
-    done = materialize(report(spark, sf_dir), "report")
+    done = stored_report(spark, sf_dir)
     number = F.regexp_extract("ProductSetSid", r"P(\d+)", 1).cast("long")
     key = (
         F.when(number % 4 == 0, "REJECT_COLOR").when(number % 4 == 1, "REJECT_WRONG_CAT")
@@ -400,21 +419,20 @@ SELECT b.ProductSetSid, b.ParentSKU,
   b.SellerName, b.CV_Detected
 FROM before b LEFT JOIN again a USING (ProductSetSid)""")
 def reapprove(spark, sf_dir):
-    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
-    done = materialize(preqc.final_report(rows, rules, "KE"), "report")
+    rows, rules, done = stored(spark, sf_dir), R.rule_set(spark, sf_dir), stored_report(spark, sf_dir)
     chosen = done.filter(F.col("FLAG") == REAPPROVED).select(F.col("ProductSetSid").alias("sid"))
     return preqc.reapprove(done, rows, rules, "KE", chosen, REAPPROVED)
 
 
 @query("rejection_view", _with_report("KE", """
 SELECT p.sid AS "PRODUCT_SET_SID", NAME, BRAND, coalesce(c.path, '') AS "CATEGORY", COLOR, sale AS "GLOBAL_SALE_PRICE",
-  price AS "GLOBAL_PRICE", PARENTSKU, SELLER_NAME, COUNT_VARIATIONS,
+  price AS "GLOBAL_PRICE", p.PARENTSKU, SELLER_NAME, COUNT_VARIATIONS,
   CASE WHEN coalesce(sale, price) > 0 THEN 'KSh ' || format('{:,.0f}', coalesce(sale, price) * 128.0) ELSE '' END AS "Local Price"
 FROM report r JOIN p ON p.sid = r.ProductSetSid LEFT JOIN category c ON c.code = p.CATEGORY_CODE
 WHERE r.FLAG = 'Wrong Variation'"""))
 def rejection_view(spark, sf_dir):
-    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
-    return preqc.rejection_view(preqc.final_report(rows, rules, "KE"), rows, "Wrong Variation", rules, "KE")
+    rows, rules = stored(spark, sf_dir), R.rule_set(spark, sf_dir)
+    return preqc.rejection_view(stored_report(spark, sf_dir), rows, "Wrong Variation", rules, "KE")
 
 
 @query("review_scope", _with_report("KE", """
@@ -423,8 +441,7 @@ SELECT r.ProductSetSid AS "PRODUCT_SET_SID", Comment, FLAG, NAME, BRAND, coalesc
 FROM report r JOIN p ON p.sid = r.ProductSetSid LEFT JOIN category c ON c.code = p.CATEGORY_CODE
 WHERE Status = 'Approved' OR FLAG = 'Wrong Variation'"""))
 def review_scope(spark, sf_dir):
-    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
-    done = materialize(preqc.final_report(rows, rules, "KE"), "report")
+    rows, rules, done = stored(spark, sf_dir), R.rule_set(spark, sf_dir), stored_report(spark, sf_dir)
     chosen = done.filter("FLAG = 'Wrong Variation'").select(F.col("ProductSetSid").alias("sid"))
     return preqc.review_scope(done, rows, rules, chosen)
 
@@ -534,8 +551,8 @@ def derive_discount(spark, sf_dir):
 @query("fill_summary", f"""WITH {S.raw()}, {S.FILLED},
 a AS (SELECT count(COLOR_FAMILY) AS cf, count(PRODUCT_WARRANTY) AS pw, count(WARRANTY_DURATION) AS wd, count(COUNT_VARIATIONS) AS cv FROM raw),
 b AS (SELECT count(COLOR_FAMILY) AS cf, count(PRODUCT_WARRANTY) AS pw, count(WARRANTY_DURATION) AS wd, count(COUNT_VARIATIONS) AS cv FROM filled)
-SELECT column, before, after, after - before AS filled FROM (
-SELECT 'COLOR_FAMILY' AS column, a.cf AS before, b.cf AS after FROM a, b UNION ALL SELECT 'PRODUCT_WARRANTY', a.pw, b.pw FROM a, b
+SELECT "column", before, after, after - before AS filled FROM (
+SELECT 'COLOR_FAMILY' AS "column", a.cf AS before, b.cf AS after FROM a, b UNION ALL SELECT 'PRODUCT_WARRANTY', a.pw, b.pw FROM a, b
 UNION ALL SELECT 'WARRANTY_DURATION', a.wd, b.wd FROM a, b UNION ALL SELECT 'COUNT_VARIATIONS', a.cv, b.cv FROM a, b)""")
 def fill_summary(spark, sf_dir):
     cols = ["COLOR_FAMILY", "PRODUCT_WARRANTY", "WARRANTY_DURATION", "COUNT_VARIATIONS"]
@@ -544,7 +561,7 @@ def fill_summary(spark, sf_dir):
 
 
 @query("fill_rate", f"""WITH {S.raw()}
-SELECT 'COLOR' AS column, count(COLOR)::DOUBLE / count(*) AS fill_rate FROM raw
+SELECT 'COLOR' AS "column", count(COLOR)::DOUBLE / count(*) AS fill_rate FROM raw
 UNION ALL SELECT 'COLOR_FAMILY', count(COLOR_FAMILY)::DOUBLE / count(*) FROM raw
 UNION ALL SELECT 'GLOBAL_PRICE', count(price)::DOUBLE / count(*) FROM raw""")
 def fill_rate(spark, sf_dir):
@@ -616,6 +633,10 @@ quality AS (SELECT sid AS "SKU", NAME AS "Name", BRAND AS "Brand", CATEGORY AS "
   {", ".join(f'{chr(34)}{c}{chr(34)}' for c in Q.FLAG_COLS)} FROM live JOIN agg USING (sid))"""
 
 
+def stored_quality(spark, sf_dir):
+    return once(spark, sf_dir, "quality", lambda: quality(spark, sf_dir))
+
+
 def quality(spark, sf_dir, country="KE"):
     return Q.quality_report(live(spark, sf_dir).drop("TAGS"), R.rule_set(spark, sf_dir), country)
 
@@ -635,19 +656,19 @@ SELECT avg("Quality Score") AS mean_score, count(*) FILTER (WHERE "Total Issues"
   count(*) FILTER (WHERE "Critical Issues" > 0) AS critical, count(*) FILTER (WHERE "Total Issues" = 0) AS clean,
   count(*) FILTER (WHERE "Total Issues" > 0) * 100.0::DOUBLE / count(*) AS issue_rate FROM quality""")
 def quality_kpis(spark, sf_dir):
-    return Q.quality_kpis(quality(spark, sf_dir))
+    return Q.quality_kpis(stored_quality(spark, sf_dir))
 
 
 @query("quality_flag_counts", f"""{quality_sql('KE')} SELECT * FROM ({" UNION ALL ".join(
     f'SELECT {S.lit(c)} AS "column", count(*) FILTER (WHERE "{c}" = {S.lit("YES")}) AS products FROM quality' for c in Q.FLAG_COLS)}) WHERE products > 0""")
 def quality_flag_counts(spark, sf_dir):
-    return Q.yes_counts(quality(spark, sf_dir))
+    return Q.yes_counts(stored_quality(spark, sf_dir))
 
 
 @query("filter_quality", f"""{quality_sql('KE')} SELECT "SKU", "Quality Score" FROM quality
 WHERE "Critical Issues" > 0 AND "Quality Score" BETWEEN 20 AND 70 AND "Naming Issue" = 'YES'""")
 def filter_quality(spark, sf_dir):
-    return Q.filter_quality(quality(spark, sf_dir), "critical", "Naming Issue", 20, 70).select("SKU", "Quality Score")
+    return Q.filter_quality(stored_quality(spark, sf_dir), "critical", "Naming Issue", 20, 70).select("SKU", "Quality Score")
 
 
 @query("export_post_qc", _with_report("KE", """
@@ -656,9 +677,8 @@ SELECT p.sid AS "PRODUCT_SET_SID", NAME, BRAND, CASE WHEN Status = 'Approved' TH
 def export_post_qc(spark, sf_dir):
     from shelfcheck.sources.sinks import export_post_qc as export
 
-    rows = prepared(spark, sf_dir, "KE")
-    done = preqc.final_report(rows, R.rule_set(spark, sf_dir), "KE")
-    return export(rows.select("PRODUCT_SET_SID", "NAME", "BRAND", "_name_lower"), done)
+    rows = stored(spark, sf_dir)
+    return export(rows.select("PRODUCT_SET_SID", "NAME", "BRAND", "_name_lower"), stored_report(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -675,12 +695,11 @@ days AS (SELECT *, dayname("Date") AS "Day" FROM week)"""
 
 
 def week(spark, sf_dir) -> DataFrame:
-    rows, rules = prepared(spark, sf_dir, "KE"), R.rule_set(spark, sf_dir)
-    done = preqc.final_report(rows, rules, "KE").join(
-        rows.select(F.col("PRODUCT_SET_SID").alias("ProductSetSid"), "CATEGORY"), "ProductSetSid")
+    done = stored_report(spark, sf_dir).join(
+        stored(spark, sf_dir).select(F.col("PRODUCT_SET_SID").alias("ProductSetSid"), "CATEGORY"), "ProductSetSid")
     number = F.regexp_extract("ProductSetSid", r"P(\d+)", 1).cast("long") % 7
     name = F.concat(F.lit("KE_export_"), F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int")).cast("string"), F.lit(".csv"))
-    return materialize(export_file_columns(done, name), "week")
+    return export_file_columns(done, name)
 
 
 @query("export_file_columns", f"""{WEEK_SQL}
@@ -750,3 +769,178 @@ SELECT unnest(['Country / Region', 'Reporting Week', 'Total Files/Parts Merged',
   format('{{:,.1f}}', count(*) FILTER (WHERE Status = 'Rejected') * 100.0::DOUBLE / count(*)) || '%']) AS "Value" FROM days""")
 def weekly_cover(spark, sf_dir):
     return W.cover_metrics(week(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Lookup
+# ---------------------------------------------------------------------------
+
+from shelfcheck.operators import lookup as L  # noqa: E402
+
+MASTER_SQL = """
+master AS (
+SELECT 'S' || p_partkey AS sku, CAST(p_partkey AS VARCHAR) AS num, 'M' || (p_partkey % 400) AS model_code, p_name AS product_name,
+  p_brand AS brand_name, split_part(p_name, ' ', 1) AS color, CAST(p_size % 9 AS VARCHAR) AS size, p_type AS type,
+  split_part(p_name, ' ', 2) AS family, CASE WHEN p_partkey % 3 = 0 THEN 'no size' END AS extra, p_partkey FROM part
+)"""
+
+
+def master(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    return part.select(
+        F.concat(F.lit("S"), key.cast("string")).alias("sku_num_sku_r3"),
+        F.concat(F.lit("M"), (key % 400).cast("string")).alias("model_code"),
+        F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand_name"),
+        F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"), (F.col("p_size") % 9).cast("string").alias("size"),
+        F.col("p_type").alias("type"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("family"),
+    )
+
+
+def terms(spark, sf_dir) -> DataFrame:
+    """Search terms from the order lines: ids, with some that do not exist."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.select(F.concat(F.lit(" S"), (F.col("l_partkey") * F.when(F.col("l_linenumber") == 7, 100000).otherwise(1)).cast("string")).alias("term"))
+
+
+TERMS_SQL = """terms AS (SELECT DISTINCT 'S' || (l_partkey * CASE WHEN l_linenumber = 7 THEN 100000 ELSE 1 END) AS term FROM lineitem)"""
+
+
+@query("lookup_rows", f"""WITH {MASTER_SQL}, {TERMS_SQL}
+SELECT term, sku AS "sku_num_sku_r3", product_name FROM terms JOIN master ON sku = term""")
+def lookup_rows(spark, sf_dir):
+    return L.lookup_terms(master(spark, sf_dir), terms(spark, sf_dir)).select("term", "sku_num_sku_r3", "product_name")
+
+
+@query("lookup_unmatched", f"WITH {MASTER_SQL}, {TERMS_SQL} SELECT term FROM terms WHERE term NOT IN (SELECT sku FROM master)")
+def lookup_unmatched(spark, sf_dir):
+    return L.unmatched_terms(master(spark, sf_dir), terms(spark, sf_dir))
+
+
+@query("lookup_by_name", f"""WITH {MASTER_SQL}, t AS (SELECT DISTINCT p_name AS term FROM part WHERE p_name LIKE 'old%' UNION SELECT DISTINCT p_type FROM part)
+SELECT term, sku AS "sku_num_sku_r3" FROM t JOIN master ON contains(lower(product_name), lower(term)) OR sku = term""")
+def lookup_by_name(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    words = part.filter("p_name LIKE 'old%'").select(F.col("p_name").alias("term")).unionByName(part.select(F.col("p_type").alias("term")))
+    return L.lookup_terms(master(spark, sf_dir), words, by_name=True).select("term", "sku_num_sku_r3")
+
+
+@query("variation_kind", f"""WITH {MASTER_SQL}, kinds AS (
+SELECT model_code, CASE WHEN count(DISTINCT color) > 1 AND count(DISTINCT size) > 1 THEN 'color,size' WHEN count(DISTINCT color) > 1 THEN 'color'
+  ELSE 'size' END AS variation FROM master GROUP BY 1)
+SELECT sku AS "sku_num_sku_r3", variation FROM master JOIN kinds USING (model_code)""")
+def variation_kind(spark, sf_dir):
+    rows = master(spark, sf_dir)
+    return L.with_variation(rows, rows).select("sku_num_sku_r3", "variation")
+
+
+BRAND_ENTRIES = [(1, "7 - Brand#1 Gold", "brand#1 gold"), (2, "8 - Brand#2", "brand#2"), (3, "9 - Brand", "brand#2 old"),
+                 (4, "10 - d#3", "d#3"), (5, "11 - Super Brand#14", "super brand#14"), (6, "12 - #1", "#1")]
+
+
+@query("brand_match", f"""WITH m AS (SELECT DISTINCT p_brand AS raw FROM part), c AS (
+SELECT raw, entry, seq, CASE WHEN name = lower(raw) THEN 1 WHEN contains(name, lower(raw)) THEN 2 ELSE 3 END AS stage
+FROM m JOIN {S.values(BRAND_ENTRIES, "seq, entry, name")} ON contains(name, lower(raw)) OR contains(lower(raw), name))
+SELECT m.raw AS brand_name, coalesce((SELECT entry FROM c WHERE c.raw = m.raw ORDER BY stage, seq LIMIT 1), m.raw) AS brand FROM m""")
+def brand_match(spark, sf_dir):
+    from shelfcheck.sources.rules import small_table
+
+    brands = small_table(spark, BRAND_ENTRIES, "seq long, brand_entry string, brand_name_lower string")
+    return L.match_brands(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand_name")), brands)
+
+
+REFERENCE_SQL = f"""{S.CATEGORY}, ref AS (
+SELECT CAST(code AS BIGINT) AS seq, 'E' || code AS export, split_part(path, ' > ', 3) AS name,
+  list_distinct(regexp_extract_all(lower(path), '([a-z]+)', 1)) AS tokens, CASE WHEN path LIKE 'LARGE%' THEN 3 ELSE 2 END AS depth FROM cat)"""
+
+
+def reference(spark, sf_dir) -> DataFrame:
+    from shelfcheck.adapter import categories
+
+    return categories(spark, sf_dir).select(
+        "seq", F.concat(F.lit("E"), F.col("code")).alias("export_category"),
+        F.split_part("path", F.lit(" > "), F.lit(3)).alias("category_name_lower"),
+        F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), F.lit(1))).alias("path_tokens"),
+        F.when(F.col("path").startswith("LARGE"), 3).otherwise(2).alias("depth"), "path",
+    )
+
+
+@query("keyword_category", f"""WITH {MASTER_SQL}, {REFERENCE_SQL},
+q AS (SELECT DISTINCT lower(concat_ws(' ', family, type, brand_name, color, size, product_name)) AS query FROM master)
+SELECT query, rank, export AS export_category, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seq) AS rank FROM (
+    SELECT query, seq, export, len(list_intersect(list_distinct(regexp_extract_all(query, '([a-z]+)', 1)), tokens))
+      + CASE WHEN contains(query, name) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + depth * 0.1::DOUBLE AS score FROM q, ref))
+WHERE rank <= 2 AND score > 0""")
+def keyword_category(spark, sf_dir):
+    rows = master(spark, sf_dir)
+    return L.keyword_categories(rows.select(L.query_string(rows).alias("query")), reference(spark, sf_dir))
+
+
+@query("resolve_category", f"""WITH {S.CATEGORY}, r AS (SELECT CAST(code AS BIGINT) AS seq, path, 'E' || code AS export FROM cat WHERE path LIKE 'LARGE%'),
+t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN substr(c.path, instr(c.path, ' > ') + 3) ELSE c.path END AS category
+  FROM part JOIN cat c ON c.path = p_type || ' > ' || split_part(p_name, ' ', 2) || ' > ' || split_part(p_name, ' ', 1))
+SELECT category, coalesce((SELECT max_by(export, seq) FROM r WHERE path = category),
+  (SELECT min_by(export, seq) FROM r WHERE ends_with(path, category) OR ends_with(category, path)), category) AS export FROM t""")
+def resolve_category(spark, sf_dir):
+    paths = table(spark, sf_dir, "part").select(
+        F.concat_ws(" > ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("path"), "p_partkey")
+    rows = paths.select(F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("path", "^[^>]* > ", "")).otherwise(F.col("path")).alias("category"))
+    return L.resolve_category(rows, reference(spark, sf_dir).filter("path LIKE 'LARGE%'"))
+
+
+@query("value_tags", f"WITH {MASTER_SQL} SELECT DISTINCT type AS tag FROM master UNION SELECT DISTINCT family FROM master")
+def value_tags(spark, sf_dir):
+    return L.value_tags(master(spark, sf_dir))
+
+
+@query("short_description", f"""WITH {MASTER_SQL}
+SELECT sku AS "sku_num_sku_r3", '• ' || upper(substr(type, 1, 1)) || lower(substr(type, 2)) || chr(10) || '• ' || upper(substr(color, 1, 1)) || substr(color, 2)
+  || ' · Size ' || size AS short_description FROM master""")
+def short_description(spark, sf_dir):
+    rows = master(spark, sf_dir)
+    return rows.select("sku_num_sku_r3", L.short_description(rows).alias("short_description"))
+
+
+@query("fill_template", f"""WITH {MASTER_SQL}, {REFERENCE_SQL},
+kinds AS (SELECT model_code, CASE WHEN count(DISTINCT color) > 1 AND count(DISTINCT size) > 1 THEN 'color,size' WHEN count(DISTINCT color) > 1 THEN 'color'
+  ELSE 'size' END AS variation FROM master GROUP BY 1),
+q AS (SELECT sku, lower(concat_ws(' ', family, type, brand_name, color, size, product_name)) AS query FROM master),
+best AS (SELECT query, max(CASE WHEN rank = 1 THEN export END) AS one, max(CASE WHEN rank = 2 THEN export END) AS two FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, seq) AS rank FROM (
+    SELECT query, seq, export, len(list_intersect(list_distinct(regexp_extract_all(query, '([a-z]+)', 1)), tokens))
+      + CASE WHEN contains(query, name) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + depth * 0.1::DOUBLE AS score FROM (SELECT DISTINCT query FROM q), ref)) GROUP BY 1),
+c AS (SELECT raw, min_by(entry, stage * 1000 + seq) AS entry FROM (
+  SELECT raw, entry, seq, CASE WHEN name = lower(raw) THEN 1 WHEN contains(name, lower(raw)) THEN 2 ELSE 3 END AS stage
+  FROM (SELECT DISTINCT p_brand AS raw FROM part) JOIN {S.values(BRAND_ENTRIES, "seq, entry, name")} ON contains(name, lower(raw)) OR contains(lower(raw), name)) GROUP BY 1)
+SELECT product_name AS "Name", sku AS "SellerSKU", model_code AS "ParentSKU", coalesce(c.entry, brand_name) AS "Brand", color,
+  one AS "PrimaryCategory", two AS "AdditionalCategory", variation,
+  '• ' || upper(substr(type, 1, 1)) || lower(substr(type, 2)) || chr(10) || '• ' || upper(substr(color, 1, 1)) || substr(color, 2) || ' · Size ' || size AS short_description
+FROM master JOIN kinds USING (model_code) JOIN q USING (sku) LEFT JOIN best USING (query) LEFT JOIN c ON c.raw = brand_name""")
+def fill_template(spark, sf_dir):
+    from shelfcheck.sources.rules import small_table
+
+    rows = master(spark, sf_dir)
+    brands = small_table(spark, BRAND_ENTRIES, "seq long, brand_entry string, brand_name_lower string")
+    return L.fill_template(rows, rows, brands, reference(spark, sf_dir))
+
+
+@query("product_attributes", f"""WITH {S.prepared()}
+SELECT sid AS "PRODUCT_SET_SID", list_sort(list_distinct(list_concat(
+    CASE WHEN regexp_matches(name_l, '\\bred\\b') OR lower(COLOR) = 'red' THEN ['red'] ELSE []::VARCHAR[] END,
+    CASE WHEN regexp_matches(name_l, '\\bblue\\b') THEN ['blue'] ELSE []::VARCHAR[] END))) AS colors,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name_l, '\\b(red|blue)\\b', '', 'g'),
+    '\\b(xxs|xs|small|medium|large|xl|xxl|xxxl)\\b', '', 'g'), '\\b\\d+\\s*(gb|tb)\\b', '', 'g'),
+    '\\b(new|original|genuine|authentic|official|premium|quality|best|hot|sale|promo|deal)\\b', '', 'g'), '[^\\w\\s]|\\s+', ' ', 'g')) AS stripped FROM p""".replace(
+    "'[^\\w\\s]|\\s+', ' ', 'g')) AS stripped", "'[^\\w]+', ' ', 'g')) AS stripped"))
+def product_attributes(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    return rows.select(
+        "PRODUCT_SET_SID", L.extract_colors(F.col("NAME"), F.col("COLOR")).alias("colors"),
+        L.remove_attributes(F.col("NAME")).alias("stripped"))
+
+
+@query("match_keys", f"""WITH {S.prepared()}
+SELECT sid AS "PRODUCT_SET_SID", {S.squash("trim(lower(BRAND))")} || '|' || {S.squash("trim(lower(NAME))")} || '|' || {S.squash("trim(lower(coalesce(COLOR, '')))")} AS match_key FROM p""")
+def match_keys(spark, sf_dir):
+    return prepared(spark, sf_dir).select("PRODUCT_SET_SID", T.match_key("BRAND", "NAME", "COLOR").alias("match_key"))

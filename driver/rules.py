@@ -101,7 +101,18 @@ def code_lists(cat: DataFrame, lists: dict[str, str], name: str) -> DataFrame:
     return cat.select(F.explode(tags).alias(name), "code")
 
 
-def rule_set(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> RuleSet:
+_PINNED: dict[tuple[str, str], RuleSet] = {}
+
+
+def rule_set(spark: SparkSession, sf_dir: str) -> RuleSet:
+    """Rule tables of one data set, written once per session as rule files would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PINNED:
+        _PINNED[key] = build_rules(spark, sf_dir).pin()
+    return _PINNED[key]
+
+
+def build_rules(spark: SparkSession, sf_dir: str) -> RuleSet:
     cat = categories(spark, sf_dir)
     supplier = table(spark, sf_dir, "supplier")
     _, _, _, code = part_columns()
@@ -136,6 +147,4 @@ def rule_set(spark: SparkSession, sf_dir: str, only: set[str] | None = None) ->
         ).unionByName(literal(PARENT_CAPS, "price_cap")),
         "level1_cap": literal(LEVEL1, "level1_cap"),
     }
-    if only is not None:
-        tables = {k: v for k, v in tables.items() if k in only}
     return RuleSet(spark, tables, MARKET)

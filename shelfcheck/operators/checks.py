@@ -52,14 +52,14 @@ class Scope:
 
     def code_scope(self, name: str) -> Column | None:
         """Program codes when the program has any, else the plain code list."""
-        if name in self.codes and self.rules.has("program_category"):
-            programs = self.rules.get("program_category")
-            if not programs.filter(F.col("program") == name).isEmpty():
-                return tagged(f"program:{name}")
-        if self.rules.has("code_list") and name in self.codes:
-            return tagged(f"list:{name}")
+        for tag in (f"program:{name}", f"list:{name}"):
+            if tag in self.codes:
+                return tagged(tag)
         return None
 
+    def has_codes(self, *programs: str) -> bool:
+        return any(f"program:{p}" in self.codes for p in programs)
+
 
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -251,7 +251,7 @@ def miscellaneous(s: Scope):
 
 def refurb(s: Scope):
     pattern = word_pattern(s.rules.keywords("refurb", s.country) or [])
-    if pattern is None or not s.codes & {"refurb_phones", "refurb_laptops"}:
+    if pattern is None or not s.has_codes("refurb_phones", "refurb_laptops"):
         return []
     phone, laptop = tagged("program:refurb_phones"), tagged("program:refurb_laptops")
     open_ = (phone & ~approved("refurb_phones")) | (laptop & ~approved("refurb_laptops"))
@@ -310,7 +310,7 @@ def sneakers(s: Scope):
 
 def jerseys(s: Scope):
     pattern = bounded_pattern(s.rules.keywords("jersey", s.country) or [])
-    if pattern is None or "jersey" not in s.codes:
+    if pattern is None or not s.has_codes("jersey"):
         return []
     detail = _text("Suspected counterfeit jersey — keyword '", _found(pattern), "' (cat: ", F.col("_cat_clean"), ")")
     return [Check(
@@ -372,12 +372,12 @@ def ng_seller_lists(s: Scope):
     """Gift cards, HP toners, Apple: a scope and an approved list that must exist."""
     seller = pystr("SELLER_NAME")
     out = []
-    if "ng_gift_card" in s.codes and "ng_gift_card" in s.programs:
+    if s.has_codes("ng_gift_card") and "ng_gift_card" in s.programs:
         out.append(Check(
             "NG - Gift Card Seller", tagged("program:ng_gift_card") & ~approved("ng_gift_card"),
             _text("Seller not authorised for Gift Card categories: ", seller),
         ))
-    if "ng_hp_toner" in s.codes and "ng_hp_toner" in s.programs:
+    if s.has_codes("ng_hp_toner") and "ng_hp_toner" in s.programs:
         out.append(Check(
             "NG - HP Toners Seller",
             tagged("program:ng_hp_toner") & (F.col("_brand_lower") == "hp") & ~approved("ng_hp_toner"),
@@ -402,7 +402,7 @@ def ng_xmas(s: Scope):
 
 
 def ng_tv(s: Scope):
-    if not s.rules.has("ng_tv") or "ng_tv" not in s.codes:
+    if not s.rules.has("ng_tv") or not s.has_codes("ng_tv"):
         return []
     listed = F.array_contains("_tv_sellers", F.col("_seller_lower"))
     return [Check(
@@ -426,9 +426,9 @@ def powerbank(s: Scope):
     if not s.needs("CATEGORY_CODE", "NAME", "BRAND"):
         return []
     market = s.rules.marketplace
-    scoped = "powerbank" in s.codes
+    scoped = s.has_codes("powerbank")
     inside = tagged("program:powerbank")
-    brands = s.rules._bounded(("powerbank",), s.rules.get("powerbank_brand"), "brand") or []
+    brands = s.rules.values("powerbank_brand") or []
     wrong = (_name().rlike("(?iU)" + K.POWERBANK_PATTERN) & ~inside) if scoped else F.lit(False)
     sizes = F.transform(
         F.regexp_extract_all(_name(), F.lit("(?iU)" + K.MAH_PATTERN), F.lit(1)),
@@ -452,7 +452,7 @@ def powerbank(s: Scope):
 
 
 def ma_brands(s: Scope):
-    brands = s.rules._bounded(("ma_brand",), s.rules.get("ma_brand"), "brand") or []
+    brands = s.rules.values("ma_brand") or []
     pattern = bounded_pattern(brands)
     if pattern is None:
         return []

@@ -150,7 +150,7 @@ def contained(haystacks: DataFrame, hay: str, needles: DataFrame, needle: str) -
 def ng_books(df: DataFrame, rules: RuleSet) -> DataFrame:
     """The first listed title found inside a name decides who may sell it."""
     titles = rules.get("ng_book")
-    known = rules._bounded(("ng_book",), titles, "title")
+    known = rules.values("ng_book")
     name = F.trim(F.lower(pystr("NAME")))
     rows = df.select(F.col(SID).alias("sid"), name.alias("_n"), "_seller_lower")
     if known:

@@ -79,43 +79,110 @@ class RuleSet:
     def has(self, name: str) -> bool:
         return name in self.tables
 
-    def _bounded(self, key: tuple, df: DataFrame, column: str) -> list[str] | None:
-        """Distinct values of a list, or None when it is too long for a pattern."""
+    def _values(self) -> dict[tuple, list[str]] | None:
+        """Every short list of the rule set by (kind, name, country), read in one job.
+
+        None when the lists together exceed the bound; then each is read alone.
+        """
+        if "all" not in self._lists:
+            null = F.lit(None).cast("string")
+            sources = {
+                "word_list": ("word", "list_name", null, "word"),
+                "program_keyword": ("keyword", "program", F.col("country"), "keyword"),
+                "seller_allow": ("seller", "program", F.col("country"), F.lit("x")),
+                "code_list": ("list", "list_name", null, F.lit("x")),
+                "program_category": ("program", "program", null, F.lit("x")),
+                "powerbank_brand": ("powerbank_brand", null, null, "brand"),
+                "ma_brand": ("ma_brand", null, null, "brand"),
+                "ng_book": ("ng_book", null, null, "title"),
+            }
+            parts = [
+                self.get(t).select(
+                    F.lit(kind).alias("kind"), (F.col(name) if isinstance(name, str) else name).alias("name"),
+                    country.alias("country"), (F.col(value) if isinstance(value, str) else value).alias("value"),
+                )
+                for t, (kind, name, country, value) in sources.items() if self.has(t)
+            ]
+            rows = []
+            if parts:
+                union = parts[0]
+                for p in parts[1:]:
+                    union = union.unionByName(p)
+                rows = union.distinct().limit(MAX_PATTERN_WORDS + 1).collect()
+            found: dict[tuple, list[str]] | None = None
+            if len(rows) <= MAX_PATTERN_WORDS:
+                found = {}
+                for kind, name, country, value in rows:
+                    if value:
+                        found.setdefault((kind, name, country), []).append(value)
+            self._lists["all"] = found
+        return self._lists["all"]
+
+    def values(self, kind: str, name: str | None = None, country: str | None = None) -> list[str] | None:
+        """Values of one list, longest first; None when it is too long for a pattern."""
+        key = (kind, name, country)
         if key not in self._lists:
-            rows = df.select(column).distinct().limit(MAX_PATTERN_WORDS + 1).collect()
-            values = sorted((r[0] for r in rows if r[0]), key=lambda w: (-len(w), w))
-            self._lists[key] = values if len(rows) <= MAX_PATTERN_WORDS else None
+            found = self._values()
+            if found is not None:
+                self._lists[key] = _longest_first(
+                    v for (k, n, c), vs in found.items() for v in vs
+                    if k == kind and n == name and (c is None or c == country)
+                )
+            else:
+                self._lists[key] = self._alone(kind, name, country)
         return self._lists[key]
 
+    def _alone(self, kind: str, name: str | None, country: str | None) -> list[str] | None:
+        table, column, by = {
+            "word": ("word_list", "word", "list_name"), "keyword": ("program_keyword", "keyword", "program"),
+            "powerbank_brand": ("powerbank_brand", "brand", None), "ma_brand": ("ma_brand", "brand", None),
+            "ng_book": ("ng_book", "title", None),
+        }[kind]
+        rows = self.get(table)
+        if by:
+            rows = rows.filter(F.col(by) == name)
+        if kind == "keyword":
+            rows = rows.filter(F.col("country").isNull() | (F.col("country") == F.lit(country)))
+        found = rows.select(column).distinct().limit(MAX_PATTERN_WORDS + 1).collect()
+        return _longest_first(r[0] for r in found if r[0]) if len(found) <= MAX_PATTERN_WORDS else None
+
     def words(self, list_name: str) -> list[str] | None:
-        if not self.has("word_list"):
-            return []
-        rows = self.get("word_list").filter(F.col("list_name") == list_name)
-        return self._bounded(("word", list_name), rows, "word")
+        return self.values("word", list_name)
 
     def keywords(self, program: str, country: str | None) -> list[str] | None:
-        if not self.has("program_keyword"):
-            return []
-        rows = self.get("program_keyword").filter(
-            (F.col("program") == program)
-            & (F.col("country").isNull() | (F.col("country") == F.lit(country)))
-        )
-        return self._bounded(("keyword", program, country), rows, "keyword")
+        return self.values("keyword", program, country)
+
+    def _names(self, kind: str, table: str, column: str, country: str | None = None) -> set[str]:
+        found = self._values()
+        if found is not None:
+            return {n for k, n, c in found if k == kind and (country is None or c is None or c == country)}
+        if not self.has(table):
+            return set()
+        rows = self.get(table)
+        if "country" in rows.columns:
+            rows = rows.filter(in_scope(country))
+        return {r[0] for r in rows.select(column).distinct().limit(1000).collect()}
 
     def programs_with_sellers(self, country: str | None) -> set[str]:
         """Programs that have at least one approved seller in the country."""
-        if not self.has("seller_allow"):
-            return set()
-        rows = self.get("seller_allow").filter(in_scope(country))
-        return set(self._bounded(("programs", country), rows, "program") or [])
+        return self._names("seller", "seller_allow", "program", country)
 
     def lists_with_codes(self) -> set[str]:
-        """Names of non-empty code lists and programs."""
-        names: set[str] = set()
-        for name, column in (("code_list", "list_name"), ("program_category", "program")):
-            if self.has(name):
-                names |= set(self._bounded(("lists", name), self.get(name), column) or [])
-        return names
+        """Non-empty code lists ('list:x') and programs with category codes ('program:x')."""
+        return {f"list:{n}" for n in self._names("list", "code_list", "list_name")} | {
+            f"program:{n}" for n in self._names("program", "program_category", "program")
+        }
+
+    def pin(self) -> RuleSet:
+        """The same rules as written tables, for rule sets that are themselves computed."""
+        from shelfcheck.session import materialize
+
+        tables = {name: materialize(df.coalesce(1), f"rule-{name}") for name, df in self.tables.items()}
+        return RuleSet(self.spark, tables, self.marketplace)
+
+
+def _longest_first(words) -> list[str]:
+    return sorted(set(words), key=lambda w: (-len(w), w))
 
 
 def in_scope(country: str | None) -> Column:
