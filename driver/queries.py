@@ -944,3 +944,244 @@ def product_attributes(spark, sf_dir):
 SELECT sid AS "PRODUCT_SET_SID", {S.squash("trim(lower(BRAND))")} || '|' || {S.squash("trim(lower(NAME))")} || '|' || {S.squash("trim(lower(coalesce(COLOR, '')))")} AS match_key FROM p""")
 def match_keys(spark, sf_dir):
     return prepared(spark, sf_dir).select("PRODUCT_SET_SID", T.match_key("BRAND", "NAME", "COLOR").alias("match_key"))
+
+
+# ---------------------------------------------------------------------------
+# Category matching
+# ---------------------------------------------------------------------------
+
+from shelfcheck.adapter import categories  # noqa: E402
+from shelfcheck.operators import images as I  # noqa: E402
+from shelfcheck.operators import matcher as M  # noqa: E402
+from shelfcheck.operators import pages as G  # noqa: E402
+from shelfcheck.sources.rules import SCHEMAS, RuleSet, small_table  # noqa: E402
+
+STOPS = ["old", "large"]
+
+
+def _terms_sql(source: str, keys: str, doc: str) -> str:
+    return f"""SELECT {keys}, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) AS term
+  FROM (SELECT {keys}, list_filter(string_split({doc}, ' '), lambda w: length(w) >= 2 AND w NOT IN {S.inlist(STOPS)}) AS ws FROM {source})"""
+
+
+def _clean_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+INDEX_SQL = f"""docs AS (SELECT CAST(code AS BIGINT) AS seq, path AS category, {_clean_sql('path')} AS doc FROM cat),
+dtf AS (SELECT seq, category, term, count(*)::DOUBLE AS tf FROM ({_terms_sql('docs', 'seq, category', 'doc')}) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs)) / (count(*) + 1)) + 1 AS idf FROM dtf GROUP BY term
+  HAVING count(*) <= 0.95 * (SELECT count(*) FROM docs)),
+dw AS (SELECT seq, category, term, tf * idf AS w FROM dtf JOIN idf USING (term)),
+posts AS (SELECT seq, category, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq)) AS weight FROM dw)"""
+
+
+@query("category_index", f"WITH {S.CATEGORY}, {INDEX_SQL} SELECT category, term, round(weight, 8) AS weight FROM posts")
+def category_index(spark, sf_dir):
+    return M.fit_category_index(categories(spark, sf_dir), STOPS).select("category", "term", F.round("weight", 8).alias("weight"))
+
+
+@query("category_similarity", f"""WITH {S.prepared()}, {S.CATEGORY}, {INDEX_SQL},
+names AS (SELECT DISTINCT {_clean_sql('NAME')} AS text FROM p),
+ntf AS (SELECT text, term, count(*)::DOUBLE AS tf FROM ({_terms_sql('names', 'text', 'text')}) GROUP BY ALL),
+nw AS (SELECT text, term, tf * idf AS w FROM ntf JOIN idf USING (term)),
+nn AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM nw),
+s AS (SELECT text, seq, category, sum(w * weight) AS score FROM nn JOIN posts USING (term) GROUP BY ALL)
+SELECT text, category, rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY round(score, 12) DESC, seq) AS rank FROM s WHERE score > 0) WHERE rank <= 20""")
+def category_similarity(spark, sf_dir):
+    names = prepared(spark, sf_dir).select(T.clean_text("NAME").alias("text"))
+    index = M.fit_category_index(categories(spark, sf_dir), STOPS)
+    return M.category_similarity(names, index, 20, STOPS).select("text", "category", "rank", F.round("score", 6).alias("score"))
+
+
+CORRECTIONS_SQL = f"""corr AS (SELECT doc_id AS id, {_clean_sql("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS name,
+  CASE quality WHEN 1 THEN 'good > text' ELSE 'poor > text' END AS category FROM documents JOIN labels USING (doc_id))"""
+
+
+def corrections(spark, sf_dir) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("name"),
+        F.when(F.col("quality") == 1, "good > text").otherwise("poor > text").alias("category"))
+
+
+@query("last_corrections", f"""WITH {CORRECTIONS_SQL} SELECT name, max_by(category, id) AS category FROM corr WHERE name <> '' GROUP BY name""")
+def last_corrections(spark, sf_dir):
+    empty = small_table(spark, [], SCHEMAS["correction"])
+    return M.last_corrections(M.append_corrections(empty, corrections(spark, sf_dir)))
+
+
+@query("classified_names")
+def classified_names(spark, sf_dir):
+    rows = corrections(spark, sf_dir)
+    model = M.train_classifier(rows, iterations=20)
+    return M.classify(rows.select(T.clean_text("name").alias("text")), model)
+
+
+def category_rules(spark, sf_dir) -> RuleSet:
+    """Category table plus keyword weights, corrections and suppression tables for the prediction."""
+    rules = R.rule_set(spark, sf_dir)
+    weights = [("economy > gear > red", "red gear", 0.4), ("gear", "gear", 0.2), ("large > bolt > hot", "hot", 0.3), ("old", "bolt old", 0.5)]
+    fixed = [(1, "red ring economy", "SMALL > bolt > hot"), (2, "red ring economy", "LARGE > rod > cold")]
+    return RuleSet(spark, {
+        "category": categories(spark, sf_dir), "keyword_weight": small_table(spark, weights, SCHEMAS["keyword_weight"]),
+        "correction": small_table(spark, fixed, SCHEMAS["correction"]),
+        "same_domain": small_table(spark, [("small", "promo > bolt > hot")], SCHEMAS["same_domain"]),
+        "cross_block": small_table(spark, [(1, "anvil", "medium"), (1, "anvil", "large")], SCHEMAS["cross_block"]),
+        "flags": rules.get("flags"),
+    }, R.MARKET)
+
+
+# Listings in a category other than their own: the type level is rotated for every third model.
+ROTATED = "replace(replace(replace(CATEGORY, 'ECONOMY', 'LARGE'), 'MEDIUM', 'SMALL'), 'bolt', 'rod')"
+
+
+@query("wrong_category")
+def wrong_category(spark, sf_dir):
+    base = catalog(spark, sf_dir).drop("CATEGORY_CODE").withColumn("CATEGORY", F.expr(ROTATED)).withColumn("CATEGORY_CODE", F.lit(""))
+    return M.wrong_category(cat.prepare_catalog(base), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
+
+
+@query("predicted_categories")
+def predicted_categories(spark, sf_dir):
+    return M.predict_categories(prepared(spark, sf_dir).select("NAME"), category_rules(spark, sf_dir), stop_words=STOPS)
+
+
+# ---------------------------------------------------------------------------
+# Pages
+# ---------------------------------------------------------------------------
+
+
+def _plain_sql(c: str, glue: str = " ") -> str:
+    out = f"regexp_replace({c}, '(?s)<[^>]*>', '{glue}', 'g')"
+    for entity, char in G.ENTITIES:
+        out = f"replace({out}, '{entity}', '{S.lit(char)[1:-1]}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query("page_titles", f"""SELECT page_id, coalesce(nullif({_plain_sql("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")}, ''),
+  nullif({_plain_sql("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")}, ''), '') AS heading FROM pages""")
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", G.heading_text(F.col("html")).alias("heading"))
+
+
+@query("page_links", f"""SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*>(.*?)</a>', 1),
+  lambda a: {_plain_sql('a', '')}), lambda t: t <> '') AS links FROM pages""")
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", G.link_texts(F.col("html")).alias("links"))
+
+
+@query("page_category_path", f"""WITH lists AS (
+SELECT page_id, list_transform(list_concat(regexp_extract_all(html, '(?is)<nav\\b[^>]*>(.*?)</nav>', 1),
+  regexp_extract_all(html, '(?is)<ol\\b[^>]*>(.*?)</ol>', 1), regexp_extract_all(html, '(?is)<ul\\b[^>]*>(.*?)</ul>', 1)),
+  lambda b: list_filter(list_transform(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda a: {_plain_sql('a', '')}), lambda t: t <> '')) AS ls
+FROM pages), one AS (SELECT page_id, list_filter(ls, lambda l: len(l) BETWEEN 3 AND 7 AND len(list_distinct(l)) = len(l)
+  AND len(list_filter(l, lambda x: length(x) >= 50)) = 0)[1] AS l FROM lists)
+SELECT page_id, nullif(array_to_string(CASE WHEN lower(l[1]) = 'home' THEN l[2:] ELSE l END, ' > '), '') AS path FROM one""")
+def page_category_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", G.page_category_path(F.col("html")).alias("path"))
+
+
+@query("listing_page_count", """SELECT page_id, coalesce(list_max(list_transform(list_concat(
+  regexp_extract_all(html, '(?i)\\bdata-page=["''](\\d+)', 1), regexp_extract_all(html, '(?is)<a\\b[^>]*href=["''][^"'']*?page=(\\d+)', 1)),
+  lambda n: CAST(n AS BIGINT))), 1) AS pages FROM pages""")
+def listing_page_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", G.listing_page_count(F.col("html")).alias("pages"))
+
+
+@query("page_fields")
+def page_fields(spark, sf_dir):
+    return G.extract_pages(table(spark, sf_dir, "pages"))
+
+
+PAGE_TEMPLATE = """<html><head><title>%name% deal</title><meta property="og:image" content="http://img.example.org/%key%.png"/>
+<script type="application/ld+json">[{"@type":"Offer"},{"@type":"Product","brand":{"name":"%brand%"},"gtin13":"%gtin%",
+"offers":{"price":"%price%","availability":"http://schema.org/InStock"},"aggregateRating":{"ratingValue":"4.%size%","reviewCount":"%size%"}}]</script>
+</head><body><nav><a href="/help">Help</a></nav><ol class="breadcrumb"><a href="/">Home</a><a href="/t">%type%</a><a href="/n">%noun%</a></ol>
+<h1>%name%</h1><span class="prc">KSh %key%,500</span><span class="bdg _dsct _sm">%size%%</span>
+<ul class="-pvs -mvs"><li><span>S</span><span>x</span></li><li><span>EU %size%</span></li><li><span>Red</span></li><li><span>Colour Red</span></li></ul>
+<div class="seller-info"><a href="/s">Vendor %size%</a></div><p>Comes with %size% months warranty.</p>
+<div class="specs"><ul><li>Model: M%key%</li><li>Weight (kg): %size%</li><li>Main Material: Steel</li></ul></div>
+<h3>Key Features</h3><ul><li>Strong %noun%</li><li>Light</li></ul><h3>What's in the Box</h3><ul><li>1 x %noun%</li></ul>
+<h2>Product details</h2><p>The %name% is here.</p><p>The %name% is here.</p><h2>Specifications</h2><p>none</p></body></html>"""
+
+
+def product_pages(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part").filter("p_size >= 1")
+    cells = {
+        "%name%": F.col("p_name"), "%key%": (F.col("p_partkey") % 900 + 1).cast("string"), "%brand%": F.col("p_brand"),
+        "%gtin%": F.lpad(F.col("p_partkey").cast("string"), 13, "7"), "%price%": F.format_number("p_retailprice", 2),
+        "%size%": F.col("p_size").cast("string"), "%type%": F.col("p_type"), "%noun%": F.split_part("p_name", F.lit(" "), F.lit(2)),
+    }
+    html = F.lit(PAGE_TEMPLATE)
+    for mark, value in cells.items():
+        html = F.replace(html, F.lit(mark), value)
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@query("page_product_fields", """
+SELECT p_partkey AS page_id, 'KSh ' || format('{:,.0f}', (p_partkey % 900 + 1) * 1000 + 500.0) AS "PRICE", p_size || '%' AS "DISCOUNT", 'In stock' AS "STOCK_STATUS",
+  'M' || (p_partkey % 900 + 1) AS "MODEL", lpad(CAST(p_partkey AS VARCHAR), 13, '7') AS "GTIN", p_brand AS "BRAND",
+  p_type || ' > ' || split_part(p_name, ' ', 2) AS "CATEGORY_PATH", 'No' AS "IS_OFFICIAL_STORE",
+  'http://img.example.org/' || (p_partkey % 900 + 1) || '.png' AS "MAIN_IMAGE", CAST(p_size AS VARCHAR) AS "WEIGHT", 'Red' AS "COLOR",
+  CASE WHEN p_name LIKE 'red %' THEN 'Red' WHEN p_name LIKE 'blue %' THEN 'Blue' ELSE 'None' END AS "COLOR_IN_TITLE", '2' AS "COUNT_VARIATIONS",
+  'S, EU ' || p_size AS "SIZES_AVAILABLE", 'Yes' AS "PRODUCT_WARRANTY", p_size || ' months warranty' AS "WARRANTY_DURATION", '4.' || p_size AS "RATING",
+  CAST(p_size AS VARCHAR) AS "REVIEW_COUNT", 'Vendor ' || p_size AS "SELLER_NAME", '<p>The ' || p_name || ' is here.</p>' AS "DESCRIPTION",
+  'Strong ' || split_part(p_name, ' ', 2) || ' | Light' AS "KEY_FEATURES",
+  'SKU: M' || (p_partkey % 900 + 1) || ' | Weight: ' || p_size || ' | Material: Steel' AS "KEY_SPECS",
+  'Model: M' || (p_partkey % 900 + 1) || ' | Weight (kg): ' || p_size || ' | Main Material: Steel | SKU: M' || (p_partkey % 900 + 1) AS "SPECIFICATIONS",
+  '1 x ' || split_part(p_name, ' ', 2) AS "WHATS_IN_BOX" FROM part WHERE p_size >= 1""".replace("'2' AS \"COUNT", "'2' AS \"COUNT").replace("'In stock'", "'In Stock'"))
+def page_product_fields(spark, sf_dir):
+    return G.extract_pages(product_pages(spark, sf_dir))
+
+
+CARD = """<article class="prd _fb" data-id="%key%" data-seller="s%size%"><a class="core" href="/p-%key%.html"><img data-src="/i/%key%.png" src="x"/>
+<h3 class="name">%name% A</h3><div class="brand">%brand%</div><div class="prc">KSh %price%</div><div class="old">KSh 9,%size%</div><div class="bdg _dsct">10%</div>
+<div class="stars _s" style="width:%stars%%"></div><div class="rev">(%size%)</div></a></article>
+<article class="prd"><a class="core" href="/x-1%gtin%.html"><div class="name">%name% B</div><svg class="xpr"></svg></a></article>"""
+
+
+@query("listing_cards", """
+SELECT p_partkey AS page_id, 0 AS pos, CAST(p_partkey AS VARCHAR) AS "SKU", p_name || ' A' AS "Name", p_brand AS "Brand",
+  replace(format('{:.2f}', p_retailprice), ',', '') AS "Price", '9' || p_size AS "Old Price", '10%' AS "Discount",
+  CAST(round_even((p_size % 11) * 10 / 20.0::DOUBLE, 1) AS VARCHAR) AS "Rating", CAST(p_size AS VARCHAR) AS "Total Ratings", 's' || p_size AS "Seller",
+  'No' AS "Express", 'No' AS "Shop Global", 'http://shop.example.org/i/' || p_partkey || '.png' AS "Image URL",
+  'http://shop.example.org/p-' || p_partkey || '.html' AS "Product URL", 'In Stock' AS "Stock", '' AS "Tags" FROM part
+UNION ALL SELECT p_partkey, 1, '1' || lpad(CAST(p_partkey AS VARCHAR), 8, '7'), p_name || ' B', '', '', '', '', '', '', '', 'Yes', 'No', '',
+  'http://shop.example.org/x-1' || lpad(CAST(p_partkey AS VARCHAR), 8, '7') || '.html', 'In Stock', '' FROM part""")
+def listing_cards(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    html = F.lit(CARD)
+    for mark, value in {
+        "%name%": F.col("p_name"), "%key%": F.col("p_partkey").cast("string"), "%brand%": F.col("p_brand"),
+        "%gtin%": F.lpad(F.col("p_partkey").cast("string"), 8, "7"), "%price%": F.format_number("p_retailprice", 2),
+        "%size%": F.col("p_size").cast("string"), "%stars%": ((F.col("p_size") % 11) * 10).cast("string"),
+    }.items():
+        html = F.replace(html, F.lit(mark), value)
+    return G.listing_cards(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")), "http://shop.example.org")
+
+
+@query("enriched_listings", f"""WITH {S.prepared()},
+pg AS (SELECT 'M' || p_partkey AS m, p_size || ' months warranty' AS w FROM part WHERE p_size >= 1)
+SELECT sid AS "PRODUCT_SET_SID", coalesce(p.WARRANTY_DURATION, pg.w) AS "WARRANTY_DURATION", p.COLOR AS "COLOR" FROM p LEFT JOIN pg ON m = PARENTSKU""")
+def enriched_listings(spark, sf_dir):
+    rows = prepared(spark, sf_dir).select("PRODUCT_SET_SID", "PARENTSKU", "COLOR", "WARRANTY_DURATION")
+    pages = G.extract_pages(product_pages(spark, sf_dir)).withColumn("PARENTSKU", F.concat(F.lit("M"), F.col("page_id").cast("string")))
+    filled = P.fill_from_pages(rows, pages.select("PARENTSKU", "WARRANTY_DURATION", "COLOR"), ["WARRANTY_DURATION", "COLOR"], "PARENTSKU")
+    return filled.select("PRODUCT_SET_SID", "WARRANTY_DURATION", "COLOR")
+
+
+# ---------------------------------------------------------------------------
+# Images
+# ---------------------------------------------------------------------------
+
+
+@query("visual_duplicates", """WITH e AS (SELECT vec_id, label || '-' || (vec_id // 200) AS seller, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT seller FROM e GROUP BY seller HAVING count(*) BETWEEN 2 AND 40)
+SELECT a.vec_id AS sid_a, b.vec_id AS sid_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+FROM e a JOIN e b ON a.seller = b.seller AND a.vec_id < b.vec_id WHERE a.seller IN (SELECT seller FROM s) AND list_cosine_similarity(a.v, b.v) >= 0.8""")
+def visual_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "seller", F.concat_ws("-", F.col("label").cast("string"), F.expr("vec_id div 200").cast("string")))
+    return I.embedding_pairs(rows, "seller", "vec_id", "embedding").select("sid_a", "sid_b", F.round("similarity", 6).alias("similarity"))
