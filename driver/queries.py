@@ -1177,11 +1177,18 @@ def enriched_listings(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-@query("visual_duplicates", """WITH e AS (SELECT vec_id, label || '-' || (vec_id // 200) AS seller, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+@query("visual_duplicates", """WITH e AS (
+  SELECT vec_id, label || '-' || (vec_id // 200) AS seller, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  UNION ALL SELECT vec_id + 10000000, label || '-' || (vec_id // 200),
+    list_concat(CAST(embedding AS DOUBLE[])[1:52], list_resize([]::DOUBLE[], len(embedding) - 52, 0.0)) FROM embeddings),
 s AS (SELECT seller FROM e GROUP BY seller HAVING count(*) BETWEEN 2 AND 40)
 SELECT a.vec_id AS sid_a, b.vec_id AS sid_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
 FROM e a JOIN e b ON a.seller = b.seller AND a.vec_id < b.vec_id WHERE a.seller IN (SELECT seller FROM s) AND list_cosine_similarity(a.v, b.v) >= 0.8""")
 def visual_duplicates(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn(
-        "seller", F.concat_ws("-", F.col("label").cast("string"), F.expr("vec_id div 200").cast("string")))
+    own = table(spark, sf_dir, "embeddings")
+    cropped = own.withColumns({
+        "vec_id": F.col("vec_id") + 10000000, "embedding": F.transform("embedding", lambda x, i: F.when(i < 52, x).otherwise(0.0).cast("float"))})
+    own = own.withColumn("_block", F.col("vec_id")).unionByName(cropped.withColumn("_block", F.col("vec_id") - 10000000))
+    rows = own.withColumn(
+        "seller", F.concat_ws("-", F.col("label").cast("string"), F.expr("_block div 200").cast("string")))
     return I.embedding_pairs(rows, "seller", "vec_id", "embedding").select("sid_a", "sid_b", F.round("similarity", 6).alias("similarity"))

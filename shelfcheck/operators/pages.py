@@ -215,20 +215,29 @@ def heading_text(html: Column) -> Column:
     )
 
 
-def page_title_colors(html: Column) -> Column:
-    """Distinct title-case colors of the heading in order, or 'None'."""
+def page_title_colors(heading: Column) -> Column:
+    """Distinct title-case colors of a heading in order, or 'None'."""
     colors = F.array_distinct(F.transform(
-        F.regexp_extract_all(heading_text(html), F.lit(TITLE_COLORS), F.lit(1)), lambda c: py_title(c)
+        F.regexp_extract_all(heading, F.lit(TITLE_COLORS), F.lit(1)), lambda c: py_title(c)
     ))
     return F.when(F.size(colors) > 0, F.array_join(colors, ", ")).otherwise("None")
 
 
-def page_variations(html: Column) -> dict[str, Column]:
+def _keep_option(v: Column) -> Column:
+    return (
+        (v != "") & (F.length(v) < 50) & ~F.contains(v, F.lit(": ")) & ~F.contains(v, F.lit(","))
+        & ~v.rlike(SPEC_LABELS) & ~F.lower(v).isin(*FURNITURE_WORDS)
+    )
+
+
+def page_variations(pages: DataFrame) -> DataFrame:
     """Option values split into sizes and colors, with the count of combinations.
 
     Option list first, then a drop-down inside the product form, then buttons,
-    then color words of the heading.
+    then color words of the heading.  Each step is its own projection, so later
+    ones read its arrays instead of evaluating the patterns again.
     """
+    html = F.col("html")
     block = F.regexp_extract(html, r"(?is)<ul\b[^>]*class=[\"'](?:[^\"']*\s)?-pvs(?:\s[^\"']*)?[\"'][^>]*>(.*?)</ul>", 1)
     rows = F.regexp_extract_all(block, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
     value = lambda li: F.coalesce(
@@ -244,37 +253,38 @@ def page_variations(html: Column) -> dict[str, Column]:
             html, F.lit(r"(?is)<div\b[^>]*class=[\"'][^\"']*(?:var|size|color)[^\"']*[\"'][^>]*>(.*?)</div>"), F.lit(1)
         )), F.lit(r"(?is)<button\b[^>]*>(.*?)</button>"), F.lit(1),
     )
-    keep = lambda v: (
-        (v != "") & (F.length(v) < 50) & ~F.contains(v, F.lit(": ")) & ~F.contains(v, F.lit(","))
-        & ~v.rlike(SPEC_LABELS) & ~F.lower(v).isin(*FURNITURE_WORDS)
-    )
-    pills = F.filter(F.transform(rows, value), keep)
-    selects = F.filter(F.transform(options, lambda o: plain(o)), lambda v: (v != "") & (F.length(v) < 50))
-    pressed = F.filter(F.transform(buttons, lambda b: plain(b)), keep)
-    values = F.array_distinct(
-        F.when(F.size(pills) > 0, pills).when(F.size(selects).between(1, 30), selects).otherwise(pressed)
-    )
-    sizes = F.filter(values, lambda v: v.rlike(SIZE_PATTERN))
-    others = F.filter(values, lambda v: ~v.rlike(SIZE_PATTERN))
+    is_size = lambda v: v.rlike(SIZE_PATTERN)
+    is_other = lambda v: ~v.rlike(SIZE_PATTERN)
+    size = F.size
+    staged = pages.withColumns({
+        "_pills": F.transform(rows, value),
+        "_selects": F.filter(F.transform(options, lambda o: plain(o)), lambda v: (v != "") & (F.length(v) < 50)),
+        "_buttons": F.transform(buttons, lambda b: plain(b)),
+        "_named": F.array_distinct(F.transform(
+            F.regexp_extract_all(F.col("_heading"), F.lit(rf"(?iU)\b({PLAIN_COLORS})\b"), F.lit(1)), lambda c: py_title(c)
+        )),
+    }).withColumns({"_pills": F.filter("_pills", _keep_option), "_buttons": F.filter("_buttons", _keep_option)})
+    staged = staged.withColumn("_values", F.array_distinct(
+        F.when(size("_pills") > 0, F.col("_pills")).when(size("_selects").between(1, 30), F.col("_selects"))
+        .otherwise(F.col("_buttons"))
+    )).withColumns({"_sizes": F.filter("_values", is_size), "_others": F.filter("_values", is_other)})
     # One value that names several options is split at separators or spaces.
-    tokens = F.filter(
-        F.transform(F.split(F.get(others, F.lit(0)), r"\s*[,|/]\s*|\s+"), lambda t: strip(t)), lambda t: t != ""
+    staged = staged.withColumn("_tokens", F.when(
+        (size("_others") == 1) & (size("_sizes") == 0),
+        F.filter(F.transform(F.split(F.get("_others", F.lit(0)), r"\s*[,|/]\s*|\s+"), lambda t: strip(t)), lambda t: t != ""),
+    )).withColumns({
+        "_sizes": F.when(size("_tokens") >= 2, F.filter("_tokens", is_size)).otherwise(F.col("_sizes")),
+        "_others": F.when(size("_tokens") >= 2, F.filter("_tokens", is_other)).otherwise(F.col("_others")),
+    })
+    staged = staged.withColumn(
+        "_others", F.when((size("_sizes") == 0) & (size("_others") == 0), F.col("_named")).otherwise(F.col("_others"))
     )
-    split_one = (F.size(others) == 1) & (F.size(sizes) == 0) & (F.size(tokens) >= 2)
-    sizes, others = (
-        F.when(split_one, F.filter(tokens, lambda v: v.rlike(SIZE_PATTERN))).otherwise(sizes),
-        F.when(split_one, F.filter(tokens, lambda v: ~v.rlike(SIZE_PATTERN))).otherwise(others),
-    )
-    named = F.array_distinct(F.transform(
-        F.regexp_extract_all(heading_text(html), F.lit(rf"(?iU)\b({PLAIN_COLORS})\b"), F.lit(1)), lambda c: py_title(c)
-    ))
-    colors = F.when((F.size(sizes) == 0) & (F.size(others) == 0), named).otherwise(others)
-    n_sizes, n_colors = F.size(sizes), F.size(colors)
+    n_sizes, n_colors = size("_sizes"), size("_others")
     count = F.when((n_sizes > 0) & (n_colors > 0), n_sizes * n_colors).otherwise(F.greatest(n_sizes, n_colors))
-    return {
-        "SIZES_AVAILABLE": found(F.array_join(sizes, ", ")), "COLOR": found(F.array_join(colors, ", ")),
+    return staged.withColumns({
+        "SIZES_AVAILABLE": found(F.array_join("_sizes", ", ")), "COLOR": found(F.array_join("_others", ", ")),
         "COUNT_VARIATIONS": F.when(count > 0, count.cast("string")),
-    }
+    }).drop("_pills", "_selects", "_buttons", "_named", "_values", "_sizes", "_others", "_tokens")
 
 
 def spec_block(html: Column) -> Column:
@@ -283,48 +293,52 @@ def spec_block(html: Column) -> Column:
     ))
 
 
-def page_specs(html: Column, text: Column, ld: dict[str, Column]) -> dict[str, Column]:
-    """Key:value map of the specification list and the fields read from it."""
-    lines = F.filter(items(spec_block(html)), lambda t: F.contains(t, F.lit(":")))
-    pairs = F.filter(
-        F.transform(lines, lambda t: F.struct(
-            F.replace(F.lower(strip(F.substring_index(t, ":", 1))), F.lit(" "), F.lit("_")).alias("key"),
-            strip(F.regexp_replace(t, r"(?s)^[^:]*:", "")).alias("value"),
-        )),
-        lambda p: (p["key"] != "") & (p["value"] != ""),
-    )
-    at = lambda *keys: F.coalesce(*[
-        F.get(F.filter(pairs, lambda p: p["key"] == k), F.size(F.filter(pairs, lambda p: p["key"] == k)) - 1)["value"]
-        for k in keys
-    ])
-    model = F.coalesce(ld["MODEL"], at("model", "model_name", "model_number"), first_match(text, r"(?i)\bModel\s*[:\-]\s*([^\n,]+)"))
-    gtin = F.coalesce(
-        ld["GTIN"], at("gtin_barcode", "gtin", "barcode", "ean", "upc"),
-        first_match(text, r"(?i)GTIN\s*(?:Barcode)?\s*[:\-]\s*(\d{8,14})"),
-    )
-    weight = F.coalesce(
-        at("weight_(kg)", "weight_kg", "weight_(g)", "weight"), ld["WEIGHT"],
-        first_match(text, r"(?i)Weight\s*(?:\(kg\))?\s*[:\-]\s*([\d\.]+\s*(?:kg|g)?)"),
-    )
-    short = F.filter(lines, lambda t: F.length(t) < 200)
+def page_specs(pages: DataFrame, ld: dict[str, Column]) -> DataFrame:
+    """Key:value lines of the specification list and the fields read from them."""
+    text = F.col("_text")
+    staged = pages.withColumn("_lines", F.filter(items(spec_block(F.col("html"))), lambda t: F.contains(t, F.lit(":"))))
+    staged = staged.withColumn("_pairs", F.transform("_lines", lambda t: F.struct(
+        F.replace(F.lower(strip(F.substring_index(t, ":", 1))), F.lit(" "), F.lit("_")).alias("key"),
+        strip(F.regexp_replace(t, r"(?s)^[^:]*:", "")).alias("value"),
+    )))
+
+    def at(*keys: str) -> Column:
+        """Value of the first of several keys; the last line of a key counts."""
+        last = lambda k: F.get(F.filter(F.reverse("_pairs"), lambda p: (p["key"] == k) & (p["value"] != "")), F.lit(0))["value"]
+        return F.coalesce(*[last(k) for k in keys])
+
+    staged = staged.withColumns({
+        "MODEL": F.coalesce(
+            ld["MODEL"], at("model", "model_name", "model_number"), first_match(text, r"(?i)\bModel\s*[:\-]\s*([^\n,]+)")
+        ),
+        "GTIN": F.coalesce(
+            ld["GTIN"], at("gtin_barcode", "gtin", "barcode", "ean", "upc"),
+            first_match(text, r"(?i)GTIN\s*(?:Barcode)?\s*[:\-]\s*(\d{8,14})"),
+        ),
+        "WEIGHT": F.coalesce(
+            at("weight_(kg)", "weight_kg", "weight_(g)", "weight"), ld["WEIGHT"],
+            first_match(text, r"(?i)Weight\s*(?:\(kg\))?\s*[:\-]\s*([\d\.]+\s*(?:kg|g)?)"),
+        ),
+        "_short": F.filter("_lines", lambda t: F.length(t) < 200),
+        "_kg": at("weight_(kg)"), "_material": at("main_material"), "_size": at("size_(l_x_w_x_h_cm)"),
+        "_sku": at("sku"), "_barcode": at("gtin_barcode"),
+    })
     more = lambda label, v: F.when(
-        v.isNotNull() & ~F.exists(short, lambda x: F.contains(F.lower(x), F.lit(label.lower()))),
+        F.col(v).isNotNull() & ~F.exists("_short", lambda x: F.contains(F.lower(x), F.lit(label.lower()))),
         F.concat(F.lit(label + ": "), v),
     )
     known = F.array_compact(F.array(
-        more("SKU", model), more("Weight (kg)", weight), more("Main Material", at("main_material")),
-        more("Size (L x W H)", at("size_(l_x_w_x_h_cm)")),
+        more("SKU", "MODEL"), more("Weight (kg)", "WEIGHT"), more("Main Material", "_material"), more("Size (L x W H)", "_size"),
     ))
     put = lambda label, v: F.concat(F.lit(label + ": "), v)
     key_specs = F.concat_ws(
-        " | ", F.coalesce(put("SKU", at("sku")), put("SKU", model)), put("Size", at("size_(l_x_w_x_h_cm)")),
-        put("Weight", at("weight_(kg)")), put("Material", at("main_material")), put("GTIN", at("gtin_barcode")),
-        F.when(at("weight_(kg)").isNull(), F.concat(F.lit("Weight: "), weight, F.lit(" kg"))),
+        " | ", F.coalesce(put("SKU", "_sku"), put("SKU", "MODEL")), put("Size", "_size"), put("Weight", "_kg"),
+        put("Material", "_material"), put("GTIN", "_barcode"),
+        F.when(F.col("_kg").isNull(), F.concat(F.lit("Weight: "), "WEIGHT", F.lit(" kg"))),
     )
-    return {
-        "MODEL": model, "GTIN": gtin, "WEIGHT": weight, "KEY_SPECS": found(key_specs),
-        "SPECIFICATIONS": found(F.array_join(F.concat(short, known), " | ")),
-    }
+    return staged.withColumns({
+        "KEY_SPECS": found(key_specs), "SPECIFICATIONS": found(F.array_join(F.concat("_short", known), " | ")),
+    }).drop("_lines", "_pairs", "_short", "_kg", "_material", "_size", "_sku", "_barcode")
 
 
 def link_texts(markup: Column) -> Column:
@@ -356,7 +370,7 @@ def page_category_path(html: Column, home: list[str] = ("home",)) -> Column:
     return found(F.array_join(path, " > "))
 
 
-def page_seller(html: Column, text: Column, ld: dict[str, Column]) -> Column:
+def page_seller(html: Column, ld: dict[str, Column]) -> Column:
     """Seller block link, link or text after the seller heading, JSON-LD seller."""
     linked = [
         rf"(?is)<(?:div|section)\b[^>]*class=[\"'][^\"']*seller(?:-info|-detail)?[^\"']*[\"'][^>]*>.*?<a\b[^>]*href[^>]*>(.*?)</a>",
@@ -392,18 +406,31 @@ def page_warranty(html: Column, text: Column) -> dict[str, Column]:
     return {"PRODUCT_WARRANTY": F.when(value.isNotNull(), "Yes"), "WARRANTY_DURATION": value}
 
 
-def page_description(html: Column) -> Column:
+def page_description(pages: DataFrame, out: str = "_description") -> DataFrame:
     """Parts between the details heading and the next stop heading, each once (by its first 120 characters)."""
+    html = F.col("html")
+    stop = STOP_HEADS[len("(?i)^"):]
     after = F.regexp_extract(html, r"(?is)<h[234]\b[^>]*>[^<]*product\s+details?[^<]*</h[234]>(.*)$", 1)
-    cut = F.regexp_replace(after, r"(?is)<h[234]\b[^>]*>\s*(?:specifications?|customer\s+feedback|related\s+results|seller\s+info|promotions?|delivery|return\s+policy).*$", "")
-    parts = F.regexp_extract_all(cut, F.lit(r"(?is)(<(p|ul|ol|h2|h3|h4)\b[^>]*>.*?</\2>)"), F.lit(1))
+    cut = F.regexp_replace(after, rf"(?is)<h[234]\b[^>]*>\s*{stop}.*$", "")
     alone = F.coalesce(
         found(by_class(html, r"-prd-desc", "div")), found(by_class(html, r"[\w-]*description[\w-]*", "div|section")),
     )
-    parts = F.when(F.size(parts) > 0, parts).when(alone.isNotNull(), F.array(alone)).otherwise(F.array().cast("array<string>"))
-    key = lambda x: F.substring(F.regexp_replace(x, r"\s+", " "), 1, 120)
-    unique = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, 1, i), lambda y: key(y) == key(x)))
-    return found(F.array_join(F.transform(unique, lambda x: strip(x)), "\n"))
+    staged = pages.withColumn("_parts", F.regexp_extract_all(
+        cut, F.lit(r"(?is)(<(p|ul|ol|h2|h3|h4)\b[^>]*>.*?</\2>)"), F.lit(1)
+    )).withColumn("_alone", F.when(F.size("_parts") == 0, alone))
+    part = lambda x: F.struct(
+        F.substring(F.regexp_replace(x, r"\s+", " "), 1, 120).alias("key"), strip(x).alias("part")
+    )
+    staged = staged.withColumn("_parts", F.transform(
+        F.when(F.col("_alone").isNotNull(), F.array("_alone")).otherwise(F.col("_parts")), part
+    ))
+    # A long description has few parts; each is compared with the ones before it by its short key.
+    keys = F.transform("_parts", lambda p: p["key"])
+    staged = staged.withColumn("_keys", keys)
+    unique = F.filter("_parts", lambda p, i: F.array_position("_keys", p["key"]) == i + 1)
+    return staged.withColumn(out, found(F.array_join(F.transform(unique, lambda p: p["part"]), "\n"))).drop(
+        "_parts", "_alone", "_keys"
+    )
 
 
 def _list_under(html: Column, heading: str) -> Column:
@@ -423,10 +450,13 @@ def page_box_contents(html: Column) -> Column:
 
 def extract_pages(pages: DataFrame, symbol: str = "KSh", tag: str = "JMALL") -> DataFrame:
     """Every product field of every page, NULL where a page has none."""
-    staged = pages.withColumn("_text", page_text(F.col("html"))).withColumn("_ld", page_json_ld(F.col("html")))
     html, text = F.col("html"), F.col("_text")
-    ld, embedded, shown = ld_fields(F.col("_ld")), page_embedded_json(html), page_html_fields(html, text)
-    specs = page_specs(html, text, ld)
+    staged = pages.withColumns({
+        "_text": page_text(html), "_ld": page_json_ld(html), "_heading": heading_text(html),
+    })
+    ld = ld_fields(F.col("_ld"))
+    staged = page_description(page_variations(page_specs(staged, ld)))
+    embedded, shown = page_embedded_json(html), page_html_fields(html, text)
     cells = {
         "PRICE": F.coalesce(page_price(html, symbol), embedded["PRICE"]),
         "DISCOUNT": shown["DISCOUNT"],
@@ -439,14 +469,14 @@ def extract_pages(pages: DataFrame, symbol: str = "KSh", tag: str = "JMALL") ->
         "MAIN_IMAGE": F.coalesce(ld["MAIN_IMAGE"], embedded["MAIN_IMAGE"], shown["MAIN_IMAGE"]),
         "RATING": F.coalesce(ld["RATING"], shown["RATING"]),
         "REVIEW_COUNT": F.coalesce(ld["REVIEW_COUNT"], shown["REVIEW_COUNT"]),
-        "COLOR_IN_TITLE": page_title_colors(html),
-        "SELLER_NAME": page_seller(html, text, ld),
-        "DESCRIPTION": F.coalesce(ld["DESCRIPTION"], page_description(html)),
+        "COLOR_IN_TITLE": page_title_colors(F.col("_heading")),
+        "SELLER_NAME": page_seller(html, ld),
+        "DESCRIPTION": F.coalesce(ld["DESCRIPTION"], F.col("_description")),
         "KEY_FEATURES": page_features(html), "WHATS_IN_BOX": page_box_contents(html),
-        **specs, **page_variations(html), **page_warranty(html, text),
+        **page_warranty(html, text),
     }
     keys = [c for c in pages.columns if c != "html"]
-    return staged.select(*keys, *[cells[f].alias(f) for f in PAGE_FIELDS])
+    return staged.select(*keys, *[(cells[f] if f in cells else F.col(f)).alias(f) for f in PAGE_FIELDS])
 
 
 # ---------------------------------------------------------------------------
