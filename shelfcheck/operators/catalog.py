@@ -127,7 +127,7 @@ def detected_countries(df: DataFrame, prefix: str = MARKET_PREFIX) -> DataFrame:
 
 
 def _first_by_seq(name: str, when: Column) -> Column:
-    return F.min_by(name, F.when(when, F.col(SEQ)))
+    return F.min_by(f"`{name}`", F.when(when, F.col(SEQ)))
 
 
 def fill_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def fill_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return local.join(carried, [SID, "_stretch"], "left").select(
         *[
             F.coalesce(f"_back_{c}", f"_in_{c}", f"_ahead_{c}", f"_out_{c}").alias(c)
-            if c in cols else F.col(c)
+            if c in cols else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
@@ -182,7 +182,7 @@ def keep_first(df: DataFrame, key: str = SID) -> DataFrame:
     """First row per key in file order, as one partial aggregate."""
     rest = [c for c in df.columns if c not in (key, SEQ)]
     return df.groupBy(key).agg(
-        F.min(SEQ).alias(SEQ), *[F.min_by(c, SEQ).alias(c) for c in rest]
+        F.min(SEQ).alias(SEQ), *[F.min_by(f"`{c}`", SEQ).alias(c) for c in rest]
     )
 
 
@@ -237,7 +237,7 @@ def _fill_across_countries(base: DataFrame, one: DataFrame, fills: list[str]) ->
     after = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(SEQ) > F.col("_from")), F.col(SEQ)))
     fixed = rows.groupBy(SID).agg(*[F.coalesce(before(c), after(c)).alias(f"_late_{c}") for c in fills])
     return one.join(fixed, SID, "left").select(
-        *[c for c in one.columns if not c.startswith("_fill_")],
+        *[F.col(f"`{c}`") for c in one.columns if not c.startswith("_fill_")],
         *[
             F.when(F.col("_head") < F.col(SEQ), F.col(f"_late_{c}"))
             .otherwise(F.col(f"_fill_{c}")).alias(f"_fill_{c}")

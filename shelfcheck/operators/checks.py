@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from shelfcheck import constants as K
 from shelfcheck.functions.prices import fmt, rate_of, symbol_of
 from shelfcheck.functions.text import (
+    any_of,
     bounded_pattern,
+    num,
     py_title,
     pystr,
     split_words,
     strip,
-    any_of,
     word_pattern,
 )
 from shelfcheck.operators.facts import FACT_TYPES, approved, attach_facts, name_start, tagged
@@ -41,7 +42,8 @@ class Scope:
     """Input columns and rules a check builder can look at."""
 
     def __init__(self, df: DataFrame, rules: RuleSet, country: str | None):
-        self.columns = set(df.columns)
+        self.types = dict(df.dtypes)
+        self.columns = set(self.types)
         self.rules = rules
         self.country = country
         self.codes = rules.lists_with_codes()
@@ -220,7 +222,10 @@ def genuine_brand(s: Scope):
 
 
 def wrong_variation(s: Scope):
-    count = F.coalesce(F.col("COUNT_VARIATIONS").cast("long"), F.lit(1)) if "COUNT_VARIATIONS" in s.columns else F.lit(1)
+    count = F.lit(1)
+    if "COUNT_VARIATIONS" in s.columns:
+        stated = num("COUNT_VARIATIONS") if s.types["COUNT_VARIATIONS"] == "string" else F.col("COUNT_VARIATIONS")
+        count = F.coalesce(stated, F.lit(1)).cast("long")
     allowed = tagged("list:variation") | tagged("list:fashion")
     return [Check(
         "Wrong Variation", (count >= 3) & ~allowed,

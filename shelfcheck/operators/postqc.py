@@ -51,7 +51,7 @@ def resolve_category_code(df: DataFrame, names: DataFrame, out: str = "CATEGORY_
         "_text",
         F.when(F.col("_text").isin("", "nan"), "").otherwise(F.coalesce("_found", slug(leaf))).alias("_code"),
     )
-    keep = [c for c in df.columns if c != out]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
     return df.join(solved, raw == F.col("_text"), "left").select(*keep, F.col("_code").alias(out))
 
 
@@ -101,7 +101,7 @@ def resolve_category_code_fuzzy(df: DataFrame, cmap: DataFrame, out: str = "CATE
     )
     solved = by_path.unionByName(by_name).unionByName(fuzzy).select(F.col("_text").alias("_t"), F.col("_code").alias("_solved"))
     existing = strip(F.coalesce(F.col(out).cast("string"), F.lit(""))) if out in df.columns else F.lit("")
-    keep = [c for c in df.columns if c != out]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
     return df.join(solved, raw == F.col("_t"), "left").select(*keep, F.coalesce("_solved", existing).alias(out))
 
 
@@ -331,7 +331,7 @@ def fill_from_pages(df: DataFrame, pages: DataFrame, cols: list[str], key: str =
     old = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     empty = ("nan", "none", "None", "NaN")
     value = lambda c: F.when(filled(old(c), empty).isNull(), F.coalesce(f"_new_{c}", old(c))).otherwise(old(c))
-    rest = [F.col(c) for c in df.columns if c not in wanted]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in wanted]
     return joined.select(*rest, *[value(c).alias(c) for c in wanted])
 
 
@@ -354,7 +354,7 @@ def fill_missing_image(df: DataFrame, enriched: DataFrame) -> DataFrame:
         return df
     side = enriched.groupBy(F.col(SID).alias("_sid")).agg(F.max(filled("MAIN_IMAGE", ("nan", "None"))).alias("_img"))
     old = F.col("MAIN_IMAGE") if "MAIN_IMAGE" in df.columns else F.lit("")
-    rest = [c for c in df.columns if c != "MAIN_IMAGE"]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != "MAIN_IMAGE"]
     return df.join(side, F.col(SID) == F.col("_sid"), "left").select(*rest, F.coalesce("_img", old).alias("MAIN_IMAGE"))
 
 

@@ -14,17 +14,14 @@ from shelfcheck.operators.catalog import standardize_columns
 SEPARATORS = [",", ";", "\t"]
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> str | None:
-    rows = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-    return rows[0][0] if rows else None
+def _header(spark: SparkSession, path: str) -> str:
+    rows = spark.read.text(path).limit(1).collect()
+    return rows[0][0] if rows else ""
 
 
 def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """Does every line decode as UTF-8?  Stops at the first line that does not."""
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path)
-    text = F.encode("value", "ISO-8859-1").cast("string")
-    bad = raw.filter(F.col("value").rlike(r"[\x80-\xff]")).filter(~F.is_valid_utf8(text))
-    return bad.isEmpty()
+    """Is every line valid UTF-8?  The text source keeps raw bytes; the probe stops at the first bad line."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def _csv(spark: SparkSession, path, sep: str, encoding: str) -> DataFrame:
@@ -56,21 +53,21 @@ def read_catalog_csv(spark: SparkSession, path: str, file: int = 0) -> DataFrame
     """Catalog CSV: separator and encoding found from the file, every column text."""
     utf8 = _is_utf8(spark, path)
     encoding = "UTF-8" if utf8 else "ISO-8859-1"
-    header = (_header(spark, path, encoding) or "").lstrip("﻿")
+    header = _header(spark, path)
     sep = next((s for s in SEPARATORS if s in header), ",")
     raw = with_order(_csv(spark, path, sep, encoding), file)
-    names = {c: c.lstrip("﻿").lstrip("ï»¿").strip('"') for c in raw.columns}
+    names = {c: c.lstrip("\ufeff").strip('"') for c in raw.columns}
     out = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     return out if utf8 else _as_cp1252(out)
 
 
 def read_pipe_csv(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
-    header = _header(spark, path, "UTF-8") or ""
+    header = _header(spark, path)
     return with_order(_csv(spark, path, "|" if "|" in header else ",", "UTF-8"), file)
 
 
 def read_csv_semicolon_fallback(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
-    header = _header(spark, path, "ISO-8859-1") or ""
+    header = _header(spark, path)
     if "," in header and _is_utf8(spark, path):
         return with_order(_csv(spark, path, ",", "UTF-8"), file)
     return with_order(_csv(spark, path, ";", "ISO-8859-1"), file)
