@@ -466,8 +466,15 @@ live AS (
 )"""
 
 
+def described(spark, sf_dir) -> DataFrame:
+    """Prepared catalog with descriptions; the text belongs to the model, so it joins after the de-duplication."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("DESCRIPTION"))
+    rows = prepared(spark, sf_dir).withColumn("_doc", F.regexp_extract("PRODUCT_SET_SID", r"P(\d+)", 1).cast("long"))
+    return rows.join(docs, F.col("_doc") == F.col("doc_id"), "left").drop("_doc", "doc_id")
+
+
 def live(spark, sf_dir) -> DataFrame:
-    rows = cat.prepare_catalog(catalog(spark, sf_dir, description=True))
+    rows = described(spark, sf_dir)
     key = F.regexp_extract("PRODUCT_SET_SID", r"P(\d+)", 1).cast("long")
     rates = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count("*").alias("_reviews"), F.max("value").alias("_top"))
@@ -521,7 +528,7 @@ WHERE brand_l = 'fashion' AND NOT {S.in_codes('fashion')} AND NOT regexp_matches
 SELECT sid, 'Repeated Description' AS flag, 'Description appears in multiple products' AS detail FROM
 (SELECT sid, count(*) OVER (PARTITION BY DESCRIPTION) AS n FROM p WHERE trim(DESCRIPTION) <> '') WHERE n > 1""")
 def chk_repeated_description(spark, sf_dir):
-    rows = cat.prepare_catalog(catalog(spark, sf_dir, description=True))
+    rows = described(spark, sf_dir)
     return P.repeated_description(rows).select("sid", "flag", "detail")
 
 

@@ -126,10 +126,6 @@ def detected_countries(df: DataFrame, prefix: str = MARKET_PREFIX) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _first_by_seq(name: str, when: Column) -> Column:
-    return F.min_by(f"`{name}`", F.when(when, F.col(SEQ)))
-
-
 def fill_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Fill every row from the nearest earlier, else nearest later, row of its set.
 
@@ -180,34 +176,43 @@ def fill_metadata(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def keep_first(df: DataFrame, key: str = SID) -> DataFrame:
     """First row per key in file order, as one partial aggregate."""
-    rest = [c for c in df.columns if c not in (key, SEQ)]
-    return df.groupBy(key).agg(
-        F.min(SEQ).alias(SEQ), *[F.min_by(f"`{c}`", SEQ).alias(c) for c in rest]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (key, SEQ)]
+    return df.groupBy(key).agg(F.min(SEQ).alias(SEQ), F.min_by(F.struct(*rest), SEQ).alias("_row")).select(
+        key, SEQ, "_row.*"
     )
 
 
-def prepare_catalog(df: DataFrame, country: str | None = None, prefix: str = MARKET_PREFIX) -> DataFrame:
+# Columns the checks read; always carried by ``prepare_catalog``.
+CORE_COLS = ["NAME", "BRAND", "CATEGORY_CODE", "ACTIVE_STATUS_COUNTRY", "SELLER_NAME", "GLOBAL_PRICE", "GLOBAL_SALE_PRICE"]
+
+
+def prepare_catalog(df: DataFrame, country: str | None = None, prefix: str = MARKET_PREFIX,
+                    columns: list[str] | None = None) -> DataFrame:
     """Standardise, fill, scope to a country, count variations, keep one row per set.
 
-    One shuffle on the set id.  Each column is its own ``min_by``, so columns a
-    query does not read are pruned, and the map-side combine leaves one row per
-    set and task however often a set repeats.
+    One shuffle on the set id.  The first row of a set is one struct chosen by
+    ``min_by``; the map-side combine leaves one row per set and task however
+    often a set repeats.  ``columns`` limits what is carried through the shuffle
+    besides the columns the checks read.
     """
     base = standardize_columns(df)
+    if columns is not None:
+        kept = {SID, SEQ, *CORE_COLS, *columns}
+        base = base.select(*[F.col(f"`{c}`") for c in base.columns if c in kept])
     fills = [c for c in FILL_COLS if c in base.columns]
     base = base.withColumn("ACTIVE_STATUS_COUNTRY", country_code("ACTIVE_STATUS_COUNTRY", prefix))
     code = F.col("ACTIVE_STATUS_COUNTRY")
     match = F.lit(True) if country is None else in_country(code, country)
-    rest = [c for c in base.columns if c not in (SID, SEQ)]
+    rest = [F.col(f"`{c}`") for c in base.columns if c not in (SID, SEQ)]
+    at = F.when(match, F.col(SEQ)) if country is not None else F.col(SEQ)
     aggs = [
-        F.min(F.when(match, F.col(SEQ))).alias(SEQ),
-        F.count_if(match).alias("_rows"),
-        *[_first_by_seq(c, match).alias(c) for c in rest],
-        *[_first_by_seq(c, F.col(c).isNotNull()).alias(f"_fill_{c}") for c in fills],
+        F.min(at).alias(SEQ), F.count_if(match).alias("_rows"), F.min_by(F.struct(*rest), at).alias("_row"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(f"_fill_{c}") for c in fills],
     ]
     if country is not None:
         aggs.append(F.min(SEQ).alias("_head"))
-    one = base.groupBy(SID).agg(*aggs)
+    helpers = ["_rows", *[f"_fill_{c}" for c in fills], *(["_head"] if country is not None else [])]
+    one = base.groupBy(SID).agg(*aggs).select(SID, SEQ, *helpers, "_row.*")
     if country is not None:
         one = _fill_across_countries(base, one.filter(F.col("_rows") > 0), fills)
     out = one.withColumns({c: F.coalesce(c, f"_fill_{c}") for c in fills})
@@ -218,7 +223,7 @@ def prepare_catalog(df: DataFrame, country: str | None = None, prefix: str = MAR
             "COUNT_VARIATIONS": F.greatest(F.col("_rows").cast("double"), stated).cast("long"),
             "_IS_MULTI_COUNTRY": multi,
         }
-    ).drop("_rows", "_head", *[f"_fill_{c}" for c in fills])
+    ).drop(*helpers)
     return derive_keys(out)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcheck.functions.text import py_title, strip
+from shelfcheck.session import spread
 
 # ---------------------------------------------------------------------------
 # Color words, attribute labels, furniture words, markers
@@ -451,7 +452,7 @@ def page_box_contents(html: Column) -> Column:
 def extract_pages(pages: DataFrame, symbol: str = "KSh", tag: str = "JMALL") -> DataFrame:
     """Every product field of every page, NULL where a page has none."""
     html, text = F.col("html"), F.col("_text")
-    staged = pages.withColumns({
+    staged = spread(pages).withColumns({
         "_text": page_text(html), "_ld": page_json_ld(html), "_heading": heading_text(html),
     })
     ld = ld_fields(F.col("_ld"))
@@ -490,7 +491,7 @@ def listing_cards(pages: DataFrame, base_url: str = "") -> DataFrame:
         F.col("html"), F.lit(r"(?is)(<article\b[^>]*class=[\"'](?:[^\"']*\s)?prd(?:\s[^\"']*)?[\"'][^>]*>.*?</article>)"), F.lit(1)
     )
     keys = [c for c in pages.columns if c != "html"]
-    rows = pages.select(*keys, F.posexplode(cards).alias("pos", "card"))
+    rows = spread(pages).select(*keys, F.posexplode(cards).alias("pos", "card"))
     card = F.col("card")
     attr = lambda n: first_match(card, rf"(?is)^<article\b[^>]*\b{n}=[\"']([^\"']*)")
     number = lambda c: F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit("")), r"[^\d.]", "")
