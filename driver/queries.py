@@ -1047,7 +1047,7 @@ ROTATED = "replace(replace(replace(CATEGORY, 'ECONOMY', 'LARGE'), 'MEDIUM', 'SMA
 @query("wrong_category")
 def wrong_category(spark, sf_dir):
     base = catalog(spark, sf_dir).drop("CATEGORY_CODE").withColumn("CATEGORY", F.expr(ROTATED)).withColumn("CATEGORY_CODE", F.lit(""))
-    return M.wrong_category(cat.prepare_catalog(base), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
+    return M.wrong_category(materialize(cat.prepare_catalog(base), "prepared"), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
 
 
 @query("predicted_categories")
