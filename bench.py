@@ -25,7 +25,7 @@ HEADLINE = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from driver.queries import QUERIES
+    from shelfcheck_queries.queries import QUERIES
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driver import rules as R
-from driver import sql as S
+from shelfcheck_queries import rules as R
+from shelfcheck_queries import sql as S
 from shelfcheck.adapter import catalog
 from shelfcheck.operators import catalog as cat
 from shelfcheck.operators import checks as C

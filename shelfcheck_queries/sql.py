@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driver import rules as R
+from shelfcheck_queries import rules as R
 from shelfcheck.constants import (
     COLOR_MODIFIERS,
     EMPTY_COLORS,

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from driver.queries import ORACLES, QUERIES
+from shelfcheck_queries.queries import ORACLES, QUERIES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
