@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files, winnow
+from . import packing, quality, secret_scan, simhash, token_files, winnow
 from .common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A document is good from this score on.
+GOOD = 0.3
+
+
+@registered
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, net).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@registered
+def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @registered
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.judged(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -62,6 +80,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+@registered
+def op7_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
