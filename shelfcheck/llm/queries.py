@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, simhash, token_files, winnow
+from . import packing, quality, secret_scan, sharding, simhash, token_files, warc, winnow
 from .common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,15 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@registered
+def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    sharded = sharding.best_fit_shards(docs, shards=8, columns=["text_crc32"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                          F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: A document is good from this score on.
 GOOD = 0.3
 
@@ -85,6 +94,25 @@ def op7_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
+    return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_dictionary_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(h, 1 + (i * 5) // 4, 1) AS INTEGER) * 16
+     + CAST('0x' || coalesce(nullif(substr(h, 2 + (i * 5) // 4, 1), ''), '0') AS INTEGER)) // CAST(pow(2, 3 - (i * 5) % 4) AS INTEGER) % 32 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM s
+"""
+
+
 @registered
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
