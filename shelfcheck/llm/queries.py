@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, sharding, simhash, token_files, warc, winnow
+from . import licenses, packing, quality, secret_scan, sharding, simhash, token_files, warc, winnow
 from .common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,19 @@ def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+@registered
+def op2_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["phrase"] & x["verified"])
+    starts = F.transform("base", lambda x: x["first"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels("base").alias("base_labels"),
+        labels(F.filter("spans", lambda x: x["verified"])).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["coverage"])), F.lit(0.0)).alias("score"))
+
+
 #: A document is good from this score on.
 GOOD = 0.3
 
