@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, secret_scan, sharding, simhash, token_files, warc, winnow
+from . import imatch, licenses, packing, quality, secret_scan, sharding, simhash, token_files, warc, winnow
 from .common import table
 
 QUERIES: dict = {}
@@ -17,7 +17,7 @@ def registered(f):
     return f
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -99,7 +99,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 
 @registered
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @registered
@@ -126,7 +126,12 @@ FROM s
 """
 
 
+@registered
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(spark, manifest)

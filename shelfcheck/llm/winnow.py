@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, groups, word_spans
@@ -169,7 +169,7 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def clean_of(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+def clean_of(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
     keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = judged(contamination(keyed, items, id_col="_key", text_col=text_col))
