@@ -48,14 +48,14 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     columns, and prefix sums of the counts by salt shift them. ``df`` is read twice, so pass a written table.
     Keys are never null. Rows equal in all order columns are numbered in any order.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
-    shifts = counts.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    local = salted.withColumn("_row", F.row_number().over(within).cast("long") - 1)
-    return local.join(shifts, [*keys, "_salt"]).withColumn(out, F.col("_row") + F.col("_shift")).drop(
-        "_salt", "_row", "_shift")
+    salted = df.withColumn("_llm_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    within = Window.partitionBy(*keys, "_llm_salt").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_llm_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(*keys, "_llm_salt").agg(F.count("*").alias("_llm_n"))
+    shifts = counts.select(*keys, "_llm_salt", F.coalesce(F.sum("_llm_n").over(before), F.lit(0)).alias("_llm_shift"))
+    local = salted.withColumn("_llm_row", F.row_number().over(within).cast("long") - 1)
+    return local.join(shifts, [*keys, "_llm_salt"]).withColumn(out, F.col("_llm_row") + F.col("_llm_shift")).drop(
+        "_llm_salt", "_llm_row", "_llm_shift")
 
 
 def filesystem(uri: str):

@@ -67,19 +67,19 @@ def best_fit_shards(docs: DataFrame, shards: int | None = None, capacity: int |
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != id_col and c not in _NEW and (columns is None or c in columns)]
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = docs.select(id_col, *columns, key.alias("_key"), text_size(text_col).alias("size"))
-    groups = saved(rows.groupBy("_key").agg(F.sum("size").alias("_bytes")), "groups")
+    rows = docs.select(id_col, *columns, key.alias("_llm_key"), text_size(text_col).alias("size"))
+    groups = saved(rows.groupBy("_llm_key").agg(F.sum("size").alias("_bytes")), "groups")
     classes = [(x._bytes, x.n) for x in groups.groupBy("_bytes").agg(F.count("*").alias("n")).orderBy(F.desc("_bytes")).toLocalIterator()]
     if not classes:
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("_key")
+        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("_llm_key")
     runs = near_equal_runs(classes, shards) if shards else best_fit_runs(classes, capacity)[0]
     schema = "_bytes long, start long, bin long, per long"
     placed = spark.createDataFrame([(r.size, r.rank, r.first_bin, r.per_bin) for r in runs], schema)
     placed = placed.groupBy("_bytes").agg(F.array_sort(F.collect_list(F.struct("start", "bin", "per"))).alias("runs"))
-    ranked = numbered(groups, ["_bytes"], ["_key"], "_rank").join(placed, "_bytes")
+    ranked = numbered(groups, ["_bytes"], ["_llm_key"], "_rank").join(placed, "_bytes")
     run = F.element_at(F.filter("runs", lambda x: x["start"] <= F.col("_rank")), -1)
     ranked = ranked.withColumn("_run", run)
     shard = F.col("_run.bin") + F.floor((F.col("_rank") - F.col("_run.start")) / F.col("_run.per"))
-    where = ranked.select("_key", shard.cast("int").alias("shard"))
-    sharded = saved(rows.join(where, "_key"), "sharded")
-    return numbered(sharded, ["shard"], [id_col, "_key"], "slot").select(id_col, *columns, "size", "shard", "slot")
+    where = ranked.select("_llm_key", shard.cast("int").alias("shard"))
+    sharded = saved(rows.join(where, "_llm_key"), "sharded")
+    return numbered(sharded, ["shard"], [id_col, "_llm_key"], "slot").select(id_col, *columns, "size", "shard", "slot")

@@ -161,11 +161,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
 
 def one_of_each(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one row of each component: the smallest id, of equal ids one row."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = near_duplicates(keyed, size, radius, id_col, text_col, ("_key",))
-    group = F.when(F.col("component_id").isNull(), F.col("_key")).otherwise(F.col("component_id").cast("string"))
+    keyed = docs.withColumn("_llm_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = near_duplicates(keyed, size, radius, id_col, text_col, ("_llm_key",))
+    group = F.when(F.col("component_id").isNull(), F.col("_llm_key")).otherwise(F.col("component_id").cast("string"))
     best = found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("z")).agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_key").alias("k"))).alias("m"))
-    best = best.select(F.col("m.i").alias("_id"), F.col("m.k").alias("_key")).distinct()
-    kept = keyed.join(best.withColumnRenamed("_key", "_k"), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_k")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).select(docs.columns)
+        F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_llm_key").alias("k"))).alias("m"))
+    best = best.select(F.col("m.i").alias("_llm_id"), F.col("m.k").alias("_llm_key")).distinct()
+    kept = keyed.join(best.withColumnRenamed("_llm_key", "_llm_k"), keyed[id_col].eqNullSafe(F.col("_llm_id")) & (keyed["_llm_key"] == F.col("_llm_k")), "left_semi")
+    return kept.dropDuplicates([id_col, "_llm_key"]).select(docs.columns)

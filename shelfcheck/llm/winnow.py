@@ -171,6 +171,6 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 def clean_of(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = judged(contamination(keyed, items, id_col="_key", text_col=text_col))
-    return keyed.join(found.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_llm_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = judged(contamination(keyed, items, id_col="_llm_key", text_col=text_col))
+    return keyed.join(found.where("contaminated").select("_llm_key").distinct(), "_llm_key", "left_anti").select(docs.columns)
