@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -204,15 +206,28 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"[^a-z0-9]+", " "))
 
 
-# Accented letters and the base letters they fold to.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has letters a-z or digits: to one of them, and to several."""
+    one, more = {}, {}
+    for ch in map(chr, range(0x80, 0x110000)):
+        if unicodedata.decomposition(ch) or unicodedata.normalize("NFKD", ch) != ch:
+            folded = re.sub("[^a-z0-9]", "", unicodedata.normalize("NFKD", ch).lower())
+            if folded:
+                (one if len(folded) == 1 else more)[ch] = folded
+    return one, more
+
+
+_ONE, _MORE = _folds()
+_MORE_CLASS = "[" + "".join(_MORE) + "]"
 
 
 def alnum_key(c: Column | str) -> Column:
-    """Lower case with accents folded, letters a-z and digits only."""
-    text = F.translate(F.lower(col(c).cast("string")), _ACCENTED, _FOLDED)
-    return F.regexp_replace(text, r"[^a-z0-9]", "")
+    """Compatibility decomposition in lower case, letters a-z and digits only."""
+    text = F.translate(col(c).cast("string"), "".join(_ONE), "".join(_ONE.values()))
+    table = F.from_json(F.lit(json.dumps(_MORE)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    text = F.when(text.rlike(_MORE_CLASS), spelled).otherwise(text)
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9]", "")
 
 
 def normalize_path_separator(c: Column | str) -> Column:

@@ -282,6 +282,28 @@ def filter_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.filter(F.col(column).isin(*values)) if values else df
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers under a total order without one global sort task.
+
+    Rows are range-partitioned and written once; each partition numbers its own
+    rows and adds the sizes of the partitions before it.
+    """
+    ranged = materialize(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
+    )
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (
+        ranged.withColumn("_row", F.row_number().over(inside))
+        .join(offsets, "_part")
+        .select(*df.columns, (F.col("_row") + F.col("_ahead") - 1 + start).alias(name))
+    )
+
+
 def page(df: DataFrame, number: int, size: int, order: list) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows under a total order."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """Page ``number`` (from 0) of ``size`` rows under a total order; deep pages cost what the first one does."""
+    numbered = number_rows(df, [F.col(c) if isinstance(c, str) else c for c in order], "_number")
+    first = number * size
+    return numbered.filter(F.col("_number").between(first, first + size - 1)).orderBy("_number").drop("_number")

@@ -81,7 +81,7 @@ def _found(pattern: str) -> Column:
 
 
 def unnecessary_words(s: Scope, list_name: str = "unnecessary", flag: str = "Unnecessary words in NAME"):
-    pattern = word_pattern(s.rules.words(list_name) or [])
+    pattern = word_pattern(s.rules.words(list_name))
     if pattern is None:
         return []
     hits = F.transform(F.regexp_extract_all(_name(), F.lit(pattern), F.lit(1)), lambda m: F.lower(m))
@@ -132,7 +132,7 @@ def smartphone_name(s: Scope):
 
 
 def missing_color(s: Scope, validate: bool = True):
-    scope, colors = s.code_scope("color"), s.rules.words("colors") or []
+    scope, colors = s.code_scope("color"), s.rules.words("colors")
     pattern = word_pattern(colors)
     if scope is None or pattern is None:
         return []
@@ -255,7 +255,7 @@ def miscellaneous(s: Scope):
 
 
 def refurb(s: Scope):
-    pattern = word_pattern(s.rules.keywords("refurb", s.country) or [])
+    pattern = word_pattern(s.rules.keywords("refurb", s.country))
     if pattern is None or not s.has_codes("refurb_phones", "refurb_laptops"):
         return []
     phone, laptop = tagged("program:refurb_phones"), tagged("program:refurb_laptops")
@@ -278,7 +278,7 @@ def books_seller(s: Scope):
 
 
 def perfume_seller(s: Scope):
-    scope, pattern = s.code_scope("perfume"), word_pattern(s.rules.keywords("perfume", s.country) or [])
+    scope, pattern = s.code_scope("perfume"), word_pattern(s.rules.keywords("perfume", s.country))
     if scope is None or pattern is None:
         return []
     placeholder = F.col("_brand_lower").isin(*K.PLACEHOLDER_BRANDS)
@@ -304,7 +304,7 @@ def perfume_tester(s: Scope):
 
 
 def sneakers(s: Scope):
-    scope, words = s.code_scope("sneakers"), [w.lower() for w in s.rules.words("sneaker_brands") or []]
+    scope, words = s.code_scope("sneakers"), [w.lower() for w in s.rules.words("sneaker_brands")]
     if scope is None or not words:
         return []
     return [Check(
@@ -314,7 +314,7 @@ def sneakers(s: Scope):
 
 
 def jerseys(s: Scope):
-    pattern = bounded_pattern(s.rules.keywords("jersey", s.country) or [])
+    pattern = bounded_pattern(s.rules.keywords("jersey", s.country))
     if pattern is None or not s.has_codes("jersey"):
         return []
     detail = _text("Suspected counterfeit jersey — keyword '", _found(pattern), "' (cat: ", F.col("_cat_clean"), ")")
@@ -397,7 +397,7 @@ def ng_seller_lists(s: Scope):
 
 
 def ng_xmas(s: Scope):
-    pattern = bounded_pattern(s.rules.keywords("ng_xmas", s.country) or [])
+    pattern = bounded_pattern(s.rules.keywords("ng_xmas", s.country))
     if pattern is None or "ng_xmas" not in s.programs:
         return []
     detail = _text(
@@ -433,7 +433,7 @@ def powerbank(s: Scope):
     market = s.rules.marketplace
     scoped = s.has_codes("powerbank")
     inside = tagged("program:powerbank")
-    brands = s.rules.values("powerbank_brand") or []
+    brands = s.rules.values("powerbank_brand")
     wrong = (_name().rlike("(?iU)" + K.POWERBANK_PATTERN) & ~inside) if scoped else F.lit(False)
     sizes = F.transform(
         F.regexp_extract_all(_name(), F.lit("(?iU)" + K.MAH_PATTERN), F.lit(1)),
@@ -457,7 +457,7 @@ def powerbank(s: Scope):
 
 
 def ma_brands(s: Scope):
-    brands = s.rules.values("ma_brand") or []
+    brands = s.rules.values("ma_brand")
     pattern = bounded_pattern(brands)
     if pattern is None:
         return []

@@ -37,7 +37,7 @@ def duplicates(df: DataFrame, rules: RuleSet, by_color: bool = True) -> DataFram
         rows = attach_facts(df, rules, None, {"_tags"}).filter(~exempt)
     parts = ["_seller_lower", "_brand_lower", squash(F.col("_name_lower"))]
     if by_color:
-        parts.append(color_key(df, rules.words("colors") or []))
+        parts.append(color_key(df, rules.words("colors")))
     keyed = rows.select(
         F.col(SID).alias("sid"), SEQ, pystr("NAME").alias("name"), group_key(F.concat_ws("|", *parts)).alias("key")
     )

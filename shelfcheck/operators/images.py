@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcheck.constants import EMPTY_COLORS
 from shelfcheck.functions.text import clean_category_code, pystr, strip
+from shelfcheck.session import materialize
 from shelfcheck.sources.rules import RuleSet
 
 SID = "PRODUCT_SET_SID"
@@ -37,7 +38,7 @@ MIN_COVERAGE, WARN_COVERAGE = 0.55, 0.75
 MIN_COLOR_SHARE, MIN_COLOR_PIXELS = 0.05, 200
 EXPOSURE_SHARE = 0.88
 BLUR_SCORE = 80.0
-SIMILARITY, MAX_PER_SELLER = 0.80, 40
+SIMILARITY, BANDS = 0.80, 4
 
 FEATURES = (
     "origin string, width int, height int, coverage double, foreground long, bright double, dark double, "
@@ -188,22 +189,57 @@ def color_mismatch(rows: DataFrame, rules: RuleSet | None) -> DataFrame:
     return _hits(scoped, "Image Color Mismatch", mismatch, detail, True)
 
 
-def small_sellers(rows: DataFrame, seller: str) -> DataFrame:
-    """Rows of sellers with 2 to 40 images: larger sellers are outside the check by definition."""
-    sizes = rows.groupBy(seller).agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, MAX_PER_SELLER))
-    return rows.join(sizes.select(seller), seller, "left_semi")
+def _masks(bits: int) -> list[int]:
+    """All 16-bit numbers with at most so many bits."""
+    return [m for m in range(1 << 16) if m.bit_count() <= bits]
 
 
-def pair_hits(pairs: DataFrame) -> DataFrame:
-    """Both sides of each similar pair; the text names the first partner.
+def _near_classes(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different signatures of one seller that agree in at least 80 % of the bits, both ways.
 
-    ``pairs`` has (sid_a, sid_b, similarity) with sid_a < sid_b.
+    At most 12 of 64 bits differ, so one of four 16-bit bands differs in at most 3. One side offers each band's
+    values within one bit and the other those within two, and equal ones meet.
     """
-    both = pairs.select(F.col("sid_a").alias("sid"), F.col("sid_b").alias("other"), "similarity").unionByName(
-        pairs.select(F.col("sid_b").alias("sid"), F.col("sid_a").alias("other"), "similarity")
-    )
-    first = both.groupBy("sid").agg(F.min("other").alias("other"), F.min_by("similarity", "other").alias("similarity"))
-    return first.select(
+    band = lambda i: F.shiftrightunsigned("signature", 16 * i).bitwiseAND(0xFFFF)
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("v")) for i in range(BANDS)]))
+    keyed = classes.select("_seller_lower", "signature", bands.alias("band"))
+    offer = lambda bits, name: keyed.select(
+        "*", F.explode(F.lit(_masks(bits)).cast("array<bigint>")).alias("mask")).select(
+        "_seller_lower", F.col("signature").alias(name), F.col("band.i").alias("band"), F.col("band.v").bitwiseXOR(F.col("mask")).alias("value"))
+    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = offer(1, "a").join(offer(2, "b"), ["_seller_lower", "band", "value"])
+    near = F.lit(1.0) - differ / F.lit(64.0) >= SIMILARITY
+    return pairs.filter((F.col("a") != F.col("b")) & near).select("_seller_lower", "a", "b").distinct()
+
+
+def first_partners(rows: DataFrame) -> DataFrame:
+    """(sid, other, similarity): the smallest id of the same seller with a similar image at another address.
+
+    Listings with equal signatures are one class, for which the smallest id and the smallest one at another
+    address than that stand, so a picture listed many times costs one row in the comparison.
+    """
+    own = rows.filter(F.col("signature").isNotNull()).select(F.col(SID).alias("sid"), "_seller_lower", "origin", "signature")
+    key = ["_seller_lower", "signature"]
+    places = own.groupBy(*key, "origin").agg(F.min("sid").alias("sid"))
+    firsts = places.groupBy(*key).agg(F.min(F.struct("sid", "origin")).alias("first"))
+    seconds = places.join(firsts, key).filter(F.col("origin") != F.col("first.origin")).groupBy(*key).agg(
+        F.min(F.struct("sid", "origin")).alias("second"))
+    classes = materialize(firsts.join(seconds, key, "left"), "signatures")
+    stands = classes.select("_seller_lower", F.col("signature").alias("b"), F.explode(F.array_compact(F.array("first", "second"))).alias("s"))
+    near = _near_classes(classes).unionByName(classes.select("_seller_lower", F.col("signature").alias("a"), F.col("signature").alias("b")))
+    agree = F.lit(1.0) - F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) / F.lit(64.0)
+    offered = near.join(stands, ["_seller_lower", "b"]).select(
+        "_seller_lower", F.col("a").alias("signature"), F.struct("s.sid", "s.origin", agree.alias("similarity")).alias("p"))
+    best = offered.groupBy(*key).agg(F.min("p").alias("best"))
+    other = offered.join(best, key).filter(F.col("p.origin") != F.col("best.origin")).groupBy(*key).agg(F.min("p").alias("other"))
+    partner = F.when(F.col("best.origin") != F.col("origin"), F.col("best")).otherwise(F.col("other"))
+    return own.join(best.join(other, key, "left"), key).select("sid", partner.alias("p")).filter("p IS NOT NULL").select(
+        "sid", F.col("p.sid").alias("other"), F.col("p.similarity").alias("similarity"))
+
+
+def signature_duplicates(rows: DataFrame) -> DataFrame:
+    """Different images of one seller whose signatures agree in at least 80 % of the bits."""
+    return first_partners(rows).select(
         "sid", F.lit("Image Visual Duplicate").alias("flag"),
         F.concat(F.lit("Visual duplicate detected ("), _percent(F.col("similarity")),
                  F.lit(" match) — same image as SID "), "other").alias("detail"),
@@ -211,36 +247,10 @@ def pair_hits(pairs: DataFrame) -> DataFrame:
     )
 
 
-def signature_duplicates(rows: DataFrame) -> DataFrame:
-    """Different images of one seller whose signatures agree in at least 80 % of the bits.
-
-    The seller bound keeps a group at 40 images, so pairs stay below 780 per seller.
-    """
-    own = small_sellers(rows.select(F.col(SID).alias("sid"), "_seller_lower", "origin", "signature"), "_seller_lower")
-    a, b = own.alias("a"), own.alias("b")
-    agree = F.lit(1.0) - F.bit_count(F.col("a.signature").bitwiseXOR(F.col("b.signature"))) / F.lit(64.0)
-    pairs = a.join(b, (F.col("a._seller_lower") == F.col("b._seller_lower")) & (F.col("a.sid") < F.col("b.sid"))).filter(
-        (F.col("a.origin") != F.col("b.origin")) & (agree >= SIMILARITY)
-    ).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b"), agree.alias("similarity"))
-    return pair_hits(pairs)
-
-
-def embedding_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold: float = SIMILARITY,
-                    limit: int | None = MAX_PER_SELLER) -> DataFrame:
-    """Pairs of one group whose vectors have a cosine of at least the threshold."""
-    own = rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(vector).alias("v"))
-    own = own.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    if limit is not None:
-        sizes = own.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n").between(2, limit))
-        own = own.join(sizes.select("g"), "g", "left_semi")
-    a, b = own.alias("a"), own.alias("b")
-    dot = F.aggregate(
-        F.zip_with("a.v", "b.v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    cosine = dot / (F.col("a.norm") * F.col("b.norm"))
-    return a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k"))).select(
-        F.col("a.k").alias("sid_a"), F.col("b.k").alias("sid_b"), cosine.alias("similarity")
-    ).filter(F.col("similarity") >= threshold)
+def sign_signature(vector: str) -> Column:
+    """64-bit signature of a vector: the signs of its first 64 values."""
+    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
 def image_notes(df: DataFrame, features: DataFrame) -> DataFrame:

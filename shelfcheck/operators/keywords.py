@@ -150,11 +150,9 @@ def contained(haystacks: DataFrame, hay: str, needles: DataFrame, needle: str) -
 def ng_books(df: DataFrame, rules: RuleSet) -> DataFrame:
     """The first listed title found inside a name decides who may sell it."""
     titles = rules.get("ng_book")
-    known = rules.values("ng_book")
     name = F.trim(F.lower(pystr("NAME")))
     rows = df.select(F.col(SID).alias("sid"), name.alias("_n"), "_seller_lower")
-    if known:
-        rows = rows.filter(F.col("_n").rlike(any_of(known)))
+    rows = rows.filter(F.col("_n").rlike(any_of(rules.values("ng_book"))))
     first = contained(rows, "_n", titles, "title").groupBy("sid").agg(
         F.min_by(F.struct("title", "seller", "_seller_lower"), "rule_seq").alias("b")
     )
@@ -168,20 +166,3 @@ def ng_books(df: DataFrame, rules: RuleSet) -> DataFrame:
         "sid", F.lit("NG - Books Seller").alias("flag"), detail.alias("detail"),
         F.lit(None).cast("string").alias("reason"), F.lit(False).alias("cv"),
     )
-
-
-def long_word_list(df: DataFrame, rules: RuleSet, list_name: str, flag: str) -> DataFrame:
-    """Word-list check for lists too long for one pattern: anchored join instead."""
-    table = rules.get("word_list").filter(F.col("list_name") == list_name).select(
-        F.lower("word").alias("keyword")
-    ).distinct().withColumn("_word", anchor("keyword"))
-    words = df.select(F.col(SID).alias("sid"), "_name_lower", F.explode(words_of("_name_lower")).alias("_word"))
-    hits = words.join(table, "_word").filter(F.rlike(F.col("_name_lower"), bounded(F.col("keyword"))))
-    return hits.groupBy("sid").agg(
-        F.concat(F.lit("Unnecessary: "), F.array_join(F.array_sort(F.collect_set("keyword")), ", ")).alias("detail")
-    ).select(
-        "sid", F.lit(flag).alias("flag"), "detail",
-        F.lit(None).cast("string").alias("reason"), F.lit(False).alias("cv"),
-    )
-
-

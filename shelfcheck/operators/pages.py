@@ -203,7 +203,7 @@ def page_html_fields(html: Column, text: Column) -> dict[str, Column]:
             first_match(class_text(html, [r"[\w-]*revw[\w-]*"], "span"), r"(\d+)"),
             first_match(text, r"(?i)(\d+)\s+verified\s+ratings?"), F.when(no_rating, "0"),
         ),
-        "STOCK_STATUS": F.concat(F.upper(F.substring(stated, 1, 1)), F.lower(F.substring(stated, 2, 200))),
+        "STOCK_STATUS": F.concat(F.upper(F.substring(stated, 1, 1)), F.lower(stated.substr(F.lit(2), F.length(stated)))),
         "SOLD_OUT": sold_out,
     }
 

@@ -324,9 +324,10 @@ def fill_from_pages(df: DataFrame, pages: DataFrame, cols: list[str], key: str =
     wanted = [c for c in cols if c in pages.columns and rates.get(c, 0.0) < threshold]
     if not wanted:
         return df
-    side = pages.groupBy(strip(F.substring_index(key, "-", 1)).alias("_sku")).agg(
-        *[F.max(filled(c)).alias(f"_new_{c}") for c in wanted]
-    )
+    # all cells of a product come from one page: the first by page id, else by its own values
+    cells = F.struct(*[filled(c).alias(f"_new_{c}") for c in wanted])
+    first = F.struct(*(["page_id"] if "page_id" in pages.columns else []), cells.alias("c"))
+    side = pages.groupBy(strip(F.substring_index(key, "-", 1)).alias("_sku")).agg(F.min(first).alias("_p")).select("_sku", "_p.c.*")
     joined = df.join(side, strip(F.substring_index(F.col(key), "-", 1)) == F.col("_sku"), "left")
     old = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     empty = ("nan", "none", "None", "NaN")

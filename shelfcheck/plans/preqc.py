@@ -10,6 +10,7 @@ from shelfcheck.functions.prices import local_price
 from shelfcheck.functions.text import pystr, strip, strip_html_tags
 from shelfcheck.operators import duplicates as dup
 from shelfcheck.operators import keywords as kw
+from shelfcheck.operators.catalog import number_rows
 from shelfcheck.operators.checks import checks_for, row_hits
 from shelfcheck.registry import registered
 from shelfcheck.session import materialize
@@ -33,11 +34,11 @@ def flag_hits(df: DataFrame, rules: RuleSet, country: str | None, skip: list[str
     """
     skipped = set(skip) | set(K.SKIP_CHECKS.get(country, []))
     builders = checks_for(country) + [r.build for r in registered() if r.build]
+    parts = [row_hits(df, rules, country, builders, skipped).select(*HIT_COLS)]
     if extra is not None:
-        skipped_rows = skipped | ({"Wrong Category"} if "Wrong Category" in _flags_of(extra) else set())
-    else:
-        skipped_rows = skipped
-    parts = [row_hits(df, rules, country, builders, skipped_rows).select(*HIT_COLS)]
+        # a category check made elsewhere replaces the one of the row checks
+        made = extra.filter(F.col("flag") == "Wrong Category").select("flag").distinct()
+        parts[0] = parts[0].join(made, "flag", "left_anti").select(*HIT_COLS)
     sets = [
         ("Restricted brands", "restricted_brand", lambda: kw.restricted_brands(df, rules, country)),
         ("Prohibited products", "prohibited", lambda: kw.prohibited(df, rules, country)),
@@ -45,9 +46,6 @@ def flag_hits(df: DataFrame, rules: RuleSet, country: str | None, skip: list[str
     ]
     if country == "NG":
         sets.append(("NG - Books Seller", "ng_book", lambda: kw.ng_books(df, rules)))
-    for list_name, flag in (("unnecessary", "Unnecessary words in NAME"),):
-        if rules.words(list_name) is None:
-            sets.append((flag, None, lambda n=list_name, f=flag: kw.long_word_list(df, rules, n, f)))
     parts += [make() for flag, table, make in sets if flag not in skipped and (table is None or rules.has(table))]
     parts += [r.run(df, rules, country).select(*HIT_COLS) for r in registered() if r.run and r.flag not in skipped]
     if extra is not None:
@@ -58,10 +56,6 @@ def flag_hits(df: DataFrame, rules: RuleSet, country: str | None, skip: list[str
     return out
 
 
-def _flags_of(extra: DataFrame) -> set[str]:
-    return {r[0] for r in extra.select("flag").distinct().limit(100).collect()}
-
-
 def expanded_hits(hits: DataFrame, df: DataFrame) -> DataFrame:
     """Hits plus the same flags on equal listings; only originals carry texts."""
     keyed = df.select(SID, *[c.alias(n) for n, c in dup.group_keys(df).items()])
@@ -191,28 +185,6 @@ def seller_summary(report: DataFrame, seller: str = "SellerName") -> DataFrame:
     return number_rows(totals, [F.desc("Rejected"), F.asc("SELLER_NAME")], "Rank", start=1)
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
-    """Consecutive numbers under a total order without one global sort task.
-
-    Rows are range-partitioned and written once; each partition numbers its own
-    rows and adds the sizes of the partitions before it.
-    """
-    from pyspark.sql import Window
-
-    ranged = materialize(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
-    )
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return (
-        ranged.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, "_part")
-        .select(*df.columns, (F.col("_row") + F.col("_ahead") - 1 + start).alias(name))
-    )
-
-
 # ---------------------------------------------------------------------------
 # Review actions
 # ---------------------------------------------------------------------------

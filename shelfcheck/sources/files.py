@@ -24,9 +24,14 @@ def _is_utf8(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
-def _csv(spark: SparkSession, path, sep: str, encoding: str) -> DataFrame:
+def _csv(spark: SparkSession, path, sep: str, encoding: str, line_breaks: bool = True) -> DataFrame:
+    """Text columns of a CSV file.
+
+    ``line_breaks``: quoted fields may hold line breaks, so a file is read by one task. Pass False for large
+    files whose fields are known to have none; they are then read in splits.
+    """
     return (
-        spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+        spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", line_breaks)
         .option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path)
     )
 
@@ -49,28 +54,28 @@ def _as_cp1252(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.translate(F.col(f"`{c}`"), CP1252_BYTES, CP1252_SYMBOLS) for c in names})
 
 
-def read_catalog_csv(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
+def read_catalog_csv(spark: SparkSession, path: str, file: int = 0, line_breaks: bool = True) -> DataFrame:
     """Catalog CSV: separator and encoding found from the file, every column text."""
     utf8 = _is_utf8(spark, path)
     encoding = "UTF-8" if utf8 else "ISO-8859-1"
     header = _header(spark, path)
     sep = next((s for s in SEPARATORS if s in header), ",")
-    raw = with_order(_csv(spark, path, sep, encoding), file)
+    raw = with_order(_csv(spark, path, sep, encoding, line_breaks), file)
     names = {c: c.lstrip("\ufeff").strip('"') for c in raw.columns}
     out = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     return out if utf8 else _as_cp1252(out)
 
 
-def read_pipe_csv(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
+def read_pipe_csv(spark: SparkSession, path: str, file: int = 0, line_breaks: bool = True) -> DataFrame:
     header = _header(spark, path)
-    return with_order(_csv(spark, path, "|" if "|" in header else ",", "UTF-8"), file)
+    return with_order(_csv(spark, path, "|" if "|" in header else ",", "UTF-8", line_breaks), file)
 
 
-def read_csv_semicolon_fallback(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
+def read_csv_semicolon_fallback(spark: SparkSession, path: str, file: int = 0, line_breaks: bool = True) -> DataFrame:
     header = _header(spark, path)
     if "," in header and _is_utf8(spark, path):
-        return with_order(_csv(spark, path, ",", "UTF-8"), file)
-    return with_order(_csv(spark, path, ";", "ISO-8859-1"), file)
+        return with_order(_csv(spark, path, ",", "UTF-8", line_breaks), file)
+    return with_order(_csv(spark, path, ";", "ISO-8859-1", line_breaks), file)
 
 
 def read_many(spark: SparkSession, paths: list[str], reader=read_catalog_csv, repair: bool = True) -> DataFrame:
@@ -97,9 +102,9 @@ def export_file_columns(df: DataFrame, file_name) -> DataFrame:
     })
 
 
-def read_export_files(spark: SparkSession, path) -> DataFrame:
+def read_export_files(spark: SparkSession, path, line_breaks: bool = True) -> DataFrame:
     """Weekly export CSVs of one or more paths (a directory or a list)."""
-    raw = _csv(spark, path, ",", "UTF-8")
+    raw = _csv(spark, path, ",", "UTF-8", line_breaks)
     return export_file_columns(raw.withColumn("_name", F.col("_metadata.file_name")), F.col("_name")).drop("_name")
 
 
@@ -114,9 +119,9 @@ def read_code_list(spark: SparkSession, path: str, list_name: str) -> DataFrame:
     return read_word_list(spark, path, list_name).withColumnRenamed("word", "code")
 
 
-def read_master(spark: SparkSession, path: str) -> DataFrame:
+def read_master(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     encoding = "UTF-8" if _is_utf8(spark, path) else "ISO-8859-1"
-    return with_order(_csv(spark, path, ",", encoding))
+    return with_order(_csv(spark, path, ",", encoding, line_breaks))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rule tables: schemas, loaders from raw sheets, and bounded access to word lists."""
+"""Rule tables: schemas, loaders from raw sheets, and access to word lists."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfcheck.constants import LEVEL1_CAPS_USD
 from shelfcheck.functions.text import clean_category_code, path_segments, strip
 
-# A pattern is built on the driver only from lists up to this many words; longer
-# lists go through the anchored keyword join.
-MAX_PATTERN_WORDS = 20_000
-
 SCHEMAS = {
     "code_list": "list_name string, code string",
     "word_list": "list_name string, word string",
@@ -79,10 +75,10 @@ class RuleSet:
     def has(self, name: str) -> bool:
         return name in self.tables
 
-    def _values(self) -> dict[tuple, list[str]] | None:
-        """Every short list of the rule set by (kind, name, country), read in one job.
+    def _values(self) -> dict[tuple, list[str]]:
+        """Word lists, and the names of the other lists, by (kind, name, country), read in one job.
 
-        None when the lists together exceed the bound; then each is read alone.
+        Word lists are rule sheets, not listings: of any length, they go into one pattern or one set.
         """
         if "all" not in self._lists:
             null = F.lit(None).cast("string")
@@ -103,81 +99,51 @@ class RuleSet:
                 )
                 for t, (kind, name, country, value) in sources.items() if self.has(t)
             ]
-            rows = []
+            found: dict[tuple, list[str]] = {}
             if parts:
                 union = parts[0]
                 for p in parts[1:]:
                     union = union.unionByName(p)
-                rows = union.distinct().limit(MAX_PATTERN_WORDS + 1).collect()
-            found: dict[tuple, list[str]] | None = None
-            if len(rows) <= MAX_PATTERN_WORDS:
-                found = {}
-                for kind, name, country, value in rows:
+                for kind, name, country, value in union.distinct().collect():
                     if value:
                         found.setdefault((kind, name, country), []).append(value)
             self._lists["all"] = found
         return self._lists["all"]
 
-    def values(self, kind: str, name: str | None = None, country: str | None = None) -> list[str] | None:
-        """Values of one list, longest first; None when it is too long for a pattern."""
+    def values(self, kind: str, name: str | None = None, country: str | None = None) -> list[str]:
+        """Values of one list, longest first."""
         key = (kind, name, country)
         if key not in self._lists:
-            found = self._values()
-            if found is not None:
-                self._lists[key] = _longest_first(
-                    v for (k, n, c), vs in found.items() for v in vs
-                    if k == kind and n == name and (c is None or c == country)
-                )
-            else:
-                self._lists[key] = self._alone(kind, name, country)
+            self._lists[key] = _longest_first(
+                v for (k, n, c), vs in self._values().items() for v in vs
+                if k == kind and n == name and (c is None or c == country)
+            )
         return self._lists[key]
 
-    def _alone(self, kind: str, name: str | None, country: str | None) -> list[str] | None:
-        table, column, by = {
-            "word": ("word_list", "word", "list_name"), "keyword": ("program_keyword", "keyword", "program"),
-            "powerbank_brand": ("powerbank_brand", "brand", None), "ma_brand": ("ma_brand", "brand", None),
-            "ng_book": ("ng_book", "title", None),
-        }[kind]
-        rows = self.get(table)
-        if by:
-            rows = rows.filter(F.col(by) == name)
-        if kind == "keyword":
-            rows = rows.filter(F.col("country").isNull() | (F.col("country") == F.lit(country)))
-        found = rows.select(column).distinct().limit(MAX_PATTERN_WORDS + 1).collect()
-        return _longest_first(r[0] for r in found if r[0]) if len(found) <= MAX_PATTERN_WORDS else None
-
-    def words(self, list_name: str) -> list[str] | None:
+    def words(self, list_name: str) -> list[str]:
         return self.values("word", list_name)
 
-    def keywords(self, program: str, country: str | None) -> list[str] | None:
+    def keywords(self, program: str, country: str | None) -> list[str]:
         return self.values("keyword", program, country)
 
-    def _names(self, kind: str, table: str, column: str, country: str | None = None) -> set[str]:
-        found = self._values()
-        if found is not None:
-            return {n for k, n, c in found if k == kind and (country is None or c is None or c == country)}
-        if not self.has(table):
-            return set()
-        rows = self.get(table)
-        if "country" in rows.columns:
-            rows = rows.filter(in_scope(country))
-        return {r[0] for r in rows.select(column).distinct().limit(1000).collect()}
+    def _names(self, kind: str, country: str | None = None) -> set[str]:
+        return {n for k, n, c in self._values() if k == kind and (country is None or c is None or c == country)}
 
     def programs_with_sellers(self, country: str | None) -> set[str]:
         """Programs that have at least one approved seller in the country."""
-        return self._names("seller", "seller_allow", "program", country)
+        return self._names("seller", country)
 
     def lists_with_codes(self) -> set[str]:
         """Non-empty code lists ('list:x') and programs with category codes ('program:x')."""
-        return {f"list:{n}" for n in self._names("list", "code_list", "list_name")} | {
-            f"program:{n}" for n in self._names("program", "program_category", "program")
+        return {f"list:{n}" for n in self._names("list")} | {
+            f"program:{n}" for n in self._names("program")
         }
 
     def pin(self) -> RuleSet:
         """The same rules as written tables, for rule sets that are themselves computed."""
         from shelfcheck.session import materialize
 
-        tables = {name: materialize(df.coalesce(1), f"rule-{name}") for name, df in self.tables.items()}
+        tables = {name: materialize(df, f"rule-{name}") for name, df in self.tables.items()}
         return RuleSet(self.spark, tables, self.marketplace)
 
 

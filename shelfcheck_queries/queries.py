@@ -121,12 +121,14 @@ def common_sids(spark, sf_dir):
 
 @query("union_distinct_files", f"""WITH {S.raw()}
 SELECT sid AS "PRODUCT_SET_SID", NAME, COLOR, CAST(NULL AS VARCHAR) AS "COLOR_FAMILY" FROM raw WHERE COLOR = 'Red'
-UNION ALL SELECT sid, NAME, CAST(NULL AS VARCHAR), COLOR_FAMILY FROM raw WHERE COLOR IS NULL""")
+UNION ALL SELECT sid, NAME, CAST(NULL AS VARCHAR), COLOR_FAMILY FROM raw WHERE COLOR IS NULL
+UNION ALL SELECT sid, NAME, COLOR, COLOR_FAMILY FROM raw WHERE COLOR <> 'Red'""")
 def union_distinct_files(spark, sf_dir):
     rows = catalog(spark, sf_dir)
     one = rows.filter("COLOR = 'Red'").select("PRODUCT_SET_SID", "NAME", "COLOR")
     two = rows.filter("COLOR IS NULL").select("PRODUCT_SET_SID", "NAME", "COLOR_FAMILY")
-    return one.unionByName(two, allowMissingColumns=True)
+    three = rows.filter("COLOR <> 'Red'").select("NAME", "COLOR_FAMILY", "COLOR", "PRODUCT_SET_SID")
+    return one.unionByName(two, allowMissingColumns=True).unionByName(three)
 
 
 @query("search_catalog", f"""WITH {S.prepared()}
@@ -824,11 +826,11 @@ def lookup_unmatched(spark, sf_dir):
     return L.unmatched_terms(master(spark, sf_dir), terms(spark, sf_dir))
 
 
-@query("lookup_by_name", f"""WITH {MASTER_SQL}, t AS (SELECT DISTINCT p_name AS term FROM part WHERE p_name LIKE 'old%' UNION SELECT DISTINCT p_type FROM part)
+@query("lookup_by_name", f"""WITH {MASTER_SQL}, t AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT DISTINCT p_type FROM part)
 SELECT term, sku AS "sku_num_sku_r3" FROM t JOIN master ON contains(lower(product_name), lower(term)) OR sku = term""")
 def lookup_by_name(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    words = part.filter("p_name LIKE 'old%'").select(F.col("p_name").alias("term")).unionByName(part.select(F.col("p_type").alias("term")))
+    words = part.select(F.col("p_name").alias("term")).unionByName(part.select(F.col("p_type").alias("term")))
     return L.lookup_terms(master(spark, sf_dir), words, by_name=True).select("term", "sku_num_sku_r3")
 
 
@@ -1002,14 +1004,14 @@ def category_similarity(spark, sf_dir):
     return M.category_similarity(names, index, 20, STOPS).select("text", "category", "rank", F.round("score", 6).alias("score"))
 
 
-CORRECTIONS_SQL = f"""corr AS (SELECT doc_id AS id, {_clean_sql("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS name,
+CORRECTIONS_SQL = f"""corr AS (SELECT doc_id AS id, {_clean_sql("text")} AS name,
   CASE quality WHEN 1 THEN 'good > text' ELSE 'poor > text' END AS category FROM documents JOIN labels USING (doc_id))"""
 
 
 def corrections(spark, sf_dir) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("name"),
+        F.col("doc_id").alias("id"), F.col("text").alias("name"),
         F.when(F.col("quality") == 1, "good > text").otherwise("poor > text").alias("category"))
 
 
@@ -1115,7 +1117,7 @@ PAGE_TEMPLATE = """<html><head><title>%name% deal</title><meta property="og:imag
 
 
 def product_pages(spark, sf_dir) -> DataFrame:
-    part = table(spark, sf_dir, "part").filter("p_size >= 1")
+    part = table(spark, sf_dir, "part")
     cells = {
         "%name%": F.col("p_name"), "%key%": (F.col("p_partkey") % 900 + 1).cast("string"), "%brand%": F.col("p_brand"),
         "%gtin%": F.lpad(F.col("p_partkey").cast("string"), 13, "7"), "%price%": F.format_number("p_retailprice", 2),
@@ -1138,7 +1140,7 @@ SELECT p_partkey AS page_id, 'KSh ' || format('{:,.0f}', (p_partkey % 900 + 1) *
   'Strong ' || split_part(p_name, ' ', 2) || ' | Light' AS "KEY_FEATURES",
   'SKU: M' || (p_partkey % 900 + 1) || ' | Weight: ' || p_size || ' | Material: Steel' AS "KEY_SPECS",
   'Model: M' || (p_partkey % 900 + 1) || ' | Weight (kg): ' || p_size || ' | Main Material: Steel | SKU: M' || (p_partkey % 900 + 1) AS "SPECIFICATIONS",
-  '1 x ' || split_part(p_name, ' ', 2) AS "WHATS_IN_BOX" FROM part WHERE p_size >= 1""".replace("'2' AS \"COUNT", "'2' AS \"COUNT").replace("'In stock'", "'In Stock'"))
+  '1 x ' || split_part(p_name, ' ', 2) AS "WHATS_IN_BOX" FROM part""".replace("'2' AS \"COUNT", "'2' AS \"COUNT").replace("'In stock'", "'In Stock'"))
 def page_product_fields(spark, sf_dir):
     return G.extract_pages(product_pages(spark, sf_dir))
 
@@ -1170,7 +1172,7 @@ def listing_cards(spark, sf_dir):
 
 
 @query("enriched_listings", f"""WITH {S.prepared()},
-pg AS (SELECT 'M' || p_partkey AS m, p_size || ' months warranty' AS w FROM part WHERE p_size >= 1)
+pg AS (SELECT 'M' || p_partkey AS m, p_size || ' months warranty' AS w FROM part)
 SELECT sid AS "PRODUCT_SET_SID", coalesce(p.WARRANTY_DURATION, pg.w) AS "WARRANTY_DURATION", p.COLOR AS "COLOR" FROM p LEFT JOIN pg ON m = PARENTSKU""")
 def enriched_listings(spark, sf_dir):
     rows = prepared(spark, sf_dir).select("PRODUCT_SET_SID", "PARENTSKU", "COLOR", "WARRANTY_DURATION")
@@ -1185,17 +1187,20 @@ def enriched_listings(spark, sf_dir):
 
 
 @query("visual_duplicates", """WITH e AS (
-  SELECT vec_id, label || '-' || (vec_id // 200) AS seller, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  UNION ALL SELECT vec_id + 10000000, label || '-' || (vec_id // 200),
+  SELECT vec_id, vec_id AS origin, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  UNION ALL SELECT vec_id + 10000000, CASE WHEN vec_id % 5 = 0 THEN vec_id ELSE vec_id + 10000000 END, label,
     list_concat(CAST(embedding AS DOUBLE[])[1:52], list_resize([]::DOUBLE[], len(embedding) - 52, 0.0)) FROM embeddings),
-s AS (SELECT seller FROM e GROUP BY seller HAVING count(*) BETWEEN 2 AND 40)
-SELECT a.vec_id AS sid_a, b.vec_id AS sid_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
-FROM e a JOIN e b ON a.seller = b.seller AND a.vec_id < b.vec_id WHERE a.seller IN (SELECT seller FROM s) AND list_cosine_similarity(a.v, b.v) >= 0.8""")
+s AS (SELECT CAST(vec_id AS VARCHAR) AS sid, origin, label,
+  CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN v[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)) AS UBIGINT) AS sig FROM e),
+p AS (SELECT a.sid, b.sid AS other, bit_count(xor(a.sig, b.sig)) AS d FROM s a JOIN s b ON a.label = b.label AND a.origin <> b.origin
+  WHERE bit_count(xor(a.sig, b.sig)) <= 12)
+SELECT sid, min(other) AS other, round(1 - min_by(d, other) / 64.0, 6) AS similarity FROM p GROUP BY sid""")
 def visual_duplicates(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings")
+    own = table(spark, sf_dir, "embeddings").withColumn("origin", F.col("vec_id"))
     cropped = own.withColumns({
-        "vec_id": F.col("vec_id") + 10000000, "embedding": F.transform("embedding", lambda x, i: F.when(i < 52, x).otherwise(0.0).cast("float"))})
-    own = own.withColumn("_block", F.col("vec_id")).unionByName(cropped.withColumn("_block", F.col("vec_id") - 10000000))
-    rows = own.withColumn(
-        "seller", F.concat_ws("-", F.col("label").cast("string"), F.expr("_block div 200").cast("string")))
-    return I.embedding_pairs(rows, "seller", "vec_id", "embedding").select("sid_a", "sid_b", F.round("similarity", 6).alias("similarity"))
+        "vec_id": F.col("vec_id") + 10000000, "origin": F.when(F.col("vec_id") % 5 == 0, F.col("vec_id")).otherwise(F.col("vec_id") + 10000000),
+        "embedding": F.transform("embedding", lambda x, i: F.when(i < 52, x).otherwise(0.0).cast("float"))})
+    rows = own.unionByName(cropped).select(
+        F.col("vec_id").cast("string").alias("PRODUCT_SET_SID"), F.col("label").alias("_seller_lower"), "origin",
+        I.sign_signature("embedding").alias("signature"))
+    return I.first_partners(rows).select("sid", "other", F.round("similarity", 6).alias("similarity"))

@@ -188,11 +188,26 @@ def test_duplicates_with_hot_group(products, rules):
     assert "s31" in {x["sid"] for x in D.duplicates(df, r, by_color=False).collect()}
 
 
-def test_long_lists_use_the_join(products, rules, monkeypatch):
-    import shelfcheck.sources.rules as module
-
-    monkeypatch.setattr(module, "MAX_PATTERN_WORDS", 2)
-    r = rules(word_list=[("unnecessary", w) for w in ("buy now", "cheap", "sale")])
-    assert r.words("unnecessary") is None
-    rows = K.long_word_list(prepare_catalog(products([{"NAME": "Cheap hat BUY NOW"}, {"NAME": "fine hat"}])), r, "unnecessary", "f").collect()
-    assert [(x["sid"], x["detail"]) for x in rows] == [("s0", "Unnecessary: buy now, cheap")]
+def test_long_lists_find_what_short_ones_do(products, rules):
+    filler = [f"zzq{i}" for i in range(20_500)]
+    words = {"unnecessary": ["buy now", "cheap"], "colors": ["red", "navy"], "sneaker_brands": ["nike"]}
+    keys = {"refurb": ["renewed"], "perfume": ["chanel"], "jersey": ["arsenal"], "ng_xmas": ["xmas tree"]}
+    codes = [(n, "100") for n in ("color", "sneakers", "perfume")]
+    programs = [(n, "100") for n in ("refurb_phones", "jersey", "powerbank")]
+    sellers = [(None, n, "other") for n in ("perfume", "ng_xmas")]
+    build = lambda more: rules(
+        word_list=[(n, w) for n, ws in words.items() for w in ws + more],
+        program_keyword=[(None, n, w) for n, ws in keys.items() for w in ws + more],
+        code_list=codes, program_category=programs, seller_allow=sellers,
+        powerbank_brand=[("anker",)] + [(w,) for w in more], ma_brand=[("gucci",)] + [(w,) for w in more])
+    rows = [{"NAME": n, "BRAND": b, "COLOR": c} for n, b, c in (
+        ("Cheap hat BUY NOW", "Acme", "Red"), ("nike shoe for men", "Generic", "odd"), ("renewed phone", "Acme", None),
+        ("chanel scent", "Generic", "navy"), ("arsenal shirt", "Acme", "red"), ("xmas tree big", "Acme", "red"),
+        ("power 20000mAh bank", "noname", "red"), ("gucci bag", "Gucci", "red"))]
+    df = prepare_catalog(products(rows))
+    builders = [C.unnecessary_words, C.missing_color, C.sneakers, C.refurb, C.perfume_seller, C.jerseys, C.ng_xmas, C.powerbank, C.ma_brands]
+    found = [sorted((r["sid"], r["flag"], r["detail"]) for r in C.row_hits(df, build(more), "KE", builders).collect()) for more in ([], filler)]
+    assert found[0] == found[1] and {f for _, f, _ in found[0]} >= {"Unnecessary words in NAME", "Missing COLOR", "Counterfeit Sneakers"}
+    assert len({f for _, f, _ in found[0]}) == len(builders)
+    dup = [sorted(r["sid"] for r in D.duplicates(df, build(more)).collect()) for more in ([], filler)]
+    assert dup[0] == dup[1]

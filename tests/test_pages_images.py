@@ -124,3 +124,26 @@ def test_image_checks(products, features):
     assert ("small", "Image resolution") in notes
     warns = {r["origin"]: r["warnings"] for r in I.size_warnings(features).collect()}
     assert warns["tall"] == ["Low Resolution", "Tall (Screenshot?)"] and warns["red95"] == []
+
+
+def test_visual_duplicates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        sig = rng.choice(base)
+        for b in rng.sample(range(64), rng.choice([0, 0, 3, 6, 10, 14])):
+            sig ^= 1 << b
+        rows.append((f"s{i:03d}", rng.choice(["hot", "hot", "hot", "a", "b"]), f"o{rng.randint(0, 250)}", sig - (1 << 64) if sig >> 63 else sig))
+    rows += [(f"t{i:03d}", "hot", "same" if i < 20 else f"p{i}", 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "PRODUCT_SET_SID string, _seller_lower string, origin string, signature long")
+    want = {}
+    for sid, seller, origin, sig in rows:
+        near = [(x, 1 - ((sig ^ y) & (1 << 64) - 1).bit_count() / 64) for x, s, o, y in rows if s == seller and o != origin]
+        near = [n for n in near if n[1] >= 0.8]
+        if near:
+            want[sid] = min(near)
+    got = {r["sid"]: (r["other"], r["similarity"]) for r in I.first_partners(df).collect()}
+    assert got == want and len(got) > 100
