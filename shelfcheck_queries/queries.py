@@ -412,8 +412,8 @@ def apply_decisions(spark, sf_dir):
 REAPPROVED = "Unnecessary words in NAME"
 
 
-@query("reapprove", f"""WITH before AS ({S.report_ctes("KE")} SELECT * FROM report),
-again AS ({S.report_ctes("KE", (REAPPROVED,), f"sid IN (SELECT ProductSetSid FROM before WHERE FLAG = '{REAPPROVED}')")} SELECT * FROM report)
+@query("reapprove", f"""WITH before AS MATERIALIZED ({S.report_ctes("KE")} SELECT * FROM report),
+again AS MATERIALIZED ({S.report_ctes("KE", (REAPPROVED,), f"sid IN (SELECT ProductSetSid FROM before WHERE FLAG = '{REAPPROVED}')")} SELECT * FROM report)
 SELECT b.ProductSetSid, b.ParentSKU,
   CASE WHEN a.ProductSetSid IS NULL THEN b.Status WHEN a.FLAG = '' THEN 'Approved' ELSE 'Rejected' END AS Status,
   coalesce(a.Reason, b.Reason) AS Reason, coalesce(a.Comment, b.Comment) AS Comment,

@@ -475,8 +475,11 @@ def report_ctes(country: str, skip: tuple = (), where: str = "TRUE") -> str:
     prep = prepared(country)
     if scope:
         prep = prep.replace("\np AS (", "\np0 AS (") + f", p AS (SELECT * FROM p0 WHERE {where})"
-    return f"""WITH {prep}, {CATEGORY}, {hits_cte(country, skip)},
-keyed AS (SELECT sid, {same} AS dup_key, {key} AS match_key FROM p),
+    # read by several parts below, so made once
+    prep = prep.replace("\np AS (", "\np AS MATERIALIZED (").replace(", p AS (SELECT * FROM p0", ", p AS MATERIALIZED (SELECT * FROM p0")
+    hits = hits_cte(country, skip).replace(", hits AS (", ", hits AS MATERIALIZED (")
+    return f"""WITH {prep}, {CATEGORY}, {hits},
+keyed AS MATERIALIZED (SELECT sid, {same} AS dup_key, {key} AS match_key FROM p),
 spread AS (
   SELECT DISTINCT k.sid, h.flag FROM (SELECT DISTINCT flag, dup_key FROM hits JOIN keyed USING (sid)) h JOIN keyed k USING (dup_key)
   UNION
