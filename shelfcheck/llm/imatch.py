@@ -65,7 +65,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     linked = dealt.withColumns({"next": F.lead(here).over(within), "prev": F.lag(here).over(within)}).join(ends, "range")
     at = F.coalesce("next", "after"), F.coalesce("prev", "before")
     return saved(linked.select(
-        *KEY, "n", "copies", *[at[0][k].alias(f"next_{k}") for k in KEY], *[at[1][k].alias(f"prev_{k}") for k in KEY],
+        *KEY, "id", "n", "copies", *[at[0][k].alias(f"next_{k}") for k in KEY], *[at[1][k].alias(f"prev_{k}") for k in KEY],
         at[1]["n"].alias("prev_n")), "neighbours")
 
 
@@ -73,7 +73,8 @@ def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Every row with its edited text: the last quarter of its characters replaced by the first of the next document."""
     rows = _rows(docs, id_col, text_col)
     near = neighbours(rows)
-    full = rows.join(near, KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("h")))
+    # only the key and the text, so that the heads below read the same exchange
+    full = rows.drop("id").join(near, KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("h")))
     heads = full.where("copy = 1").select(
         *[F.col(f"prev_{k}").alias(k) for k in KEY], F.expr("substring(text, 1, cast(floor(prev_n / 4) as int))").alias("head"))
     both = full.join(heads, KEY, "left")
