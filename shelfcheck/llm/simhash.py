@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
     firsts = linked.groupBy("root").agg(F.min("_first").alias("component_id"))
     linked = linked.join(firsts, "root").select("fp", "component_id")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "_first").alias("component_id"))
+    named = saved(named, "components")  # a join of two tables, so that a fingerprint with many rows can be split
     return prints.join(named, "fp").select(id_col, *keys, "fp", "component_id")
 
 
