@@ -59,6 +59,12 @@ def _responses(table: np.ndarray, padded: np.ndarray, blocks: int) -> np.ndarray
     return out.reshape(blocks, BLOCK // STEP, FILTERS)
 
 
+def _block_maxima(table: np.ndarray, padded: np.ndarray, blocks: int, step: int = 8192) -> np.ndarray:
+    """The largest response in each block, for so many blocks at a time that a long text needs little memory."""
+    parts = [_responses(table, padded[a * BLOCK :], min(step, blocks - a)).max(1) for a in range(0, blocks, step)]
+    return np.concatenate(parts)
+
+
 def _pooled(net: Network, top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """Chunk maxima (of a block and the next one of the text), their mean and maximum over each text."""
     inner = np.ones(len(top), bool)
@@ -78,7 +84,7 @@ def _sigmoid(x):
 def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One probability for each text."""
     padded, first = _padded(data, offsets)
-    top = _responses(net.table, padded, int(first[-1])).max(1)
+    top = _block_maxima(net.table, padded, int(first[-1]))
     _, _, mean, most = _pooled(net, top, first)
     return _sigmoid(mean @ net.mean_w + most @ net.max_w + net.shift)
 
