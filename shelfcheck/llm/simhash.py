@@ -15,7 +15,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +79,10 @@ def fingerprints(docs: DataFrame, keys: list[str], size: int = 3, text_col: str
 
 def _offsets(radius: int) -> list[tuple[int, ...]]:
     """Differences of block counts within the radius, one of each pair of opposite ones, and none."""
-    every = itertools.product(range(-radius, radius + 1), repeat=BLOCKS)
-    return [x for x in every if sum(map(abs, x)) <= radius and x >= (0,) * BLOCKS]
+    found: list[tuple[int, ...]] = [()]
+    for _ in range(BLOCKS):
+        found = [(*x, d) for x in found for d in range(-radius, radius + 1) if sum(map(abs, x)) + abs(d) <= radius]
+    return [x for x in found if x >= (0,) * BLOCKS]
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:

@@ -123,7 +123,10 @@ def test_forest_keeps_components():
     assert len(set(a)) == len(set(b)) and len(set(zip(a, b, strict=True))) == len(set(a))
 
 
-def test_simhash_links_of_near_fingerprints(spark):
+@pytest.mark.parametrize("blocks", [2, 4, 8])
+def test_simhash_links_of_near_fingerprints(spark, monkeypatch, blocks):
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
+    monkeypatch.setattr(simhash, "CHUNK", 40)
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(200)]
     prints = set(base)
