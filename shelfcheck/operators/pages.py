@@ -30,12 +30,15 @@ SPEC_LABELS = (
     r"item\s+weight|package|box\s+contents|box\s+content|included|features?|specification|certified|certification|"
     r"standard)"
 )
-FURNITURE_WORDS = (
-    "share this product add cart wishlist compare buy now view more details description reviews rating sold by "
-    "seller store official report incorrect information see all promotions delivery returns policy similar products "
-    "from brand print email copy link tweet pin like follow followers score shipping express fulfilled verified "
-    "in on at and or the a an with for of to is are get set go new top hot sale free"
-).split()
+# Words of page furniture, which are no variation values.
+FURNITURE_WORDS = [
+    "share", "this", "product", "add", "cart", "wishlist", "compare", "buy", "now", "view", "more", "details",
+    "description", "reviews", "rating", "sold", "by", "seller", "store", "official", "report", "incorrect",
+    "information", "see", "all", "promotions", "delivery", "returns", "policy", "similar", "products", "from",
+    "brand", "print", "email", "copy", "link", "tweet", "pin", "like", "follow", "followers", "score", "shipping",
+    "express", "fulfilled", "verified", "in", "on", "at", "and", "or", "the", "a", "an", "with", "for", "of", "to",
+    "is", "are", "get", "set", "go", "new", "top", "hot", "sale", "free",
+]
 SIZE_PATTERN = (
     r"(?i)^((EU|UK|US|EU/UK)\s*\d{1,3}(\.\d)?|\d{1,3}(\.\d)?|(XS|S|M|L|XL|XXL|XXXL|3XL|4XL|5XL)|"
     r"(ONE\s*SIZE|FREE\s*SIZE)|\d{1,3}\s*(cm|mm|in|inch|inches))$"

@@ -363,6 +363,7 @@ def fill_missing_image(df: DataFrame, enriched: DataFrame) -> DataFrame:
 # Pasted ids and links
 # ---------------------------------------------------------------------------
 
+# Tokens that are measures, suffixes of known ids.
 MEASURE = r"(?i)^[\dA-Z]*(ML|KG|GB|TB|CM|MM|GM|MG|PC|PCS|L)+[\dA-Z]*$"
 SUFFIX = r"(?i)(NAFAMZ|GANAFAMZ|HANAFAMZ|FANAFAMZ)$"
 

@@ -89,3 +89,11 @@ def test_attributes(spark):
     got = [r[0] for r in df.select(L.product_attributes(F.col("n"), F.col("c"), F.col("b"))).collect()]
     assert got[0]["base_name"] == "sony phone dark" and got[0]["colors"] == ["blue", "red"]
     assert got[1]["base_name"] == "hat" and got[2]["base_name"] == "acme"
+
+
+def test_fill_takes_one_page(spark):
+    from shelfcheck.operators import postqc as P
+
+    df = spark.createDataFrame([("A-1", None, None)], "PRODUCT_SET_SID string, COLOR string, MODEL string")
+    pages = spark.createDataFrame([(2, "A-1", "Red", "m1"), (1, "A-1", "Blue", "z9")], "page_id long, PRODUCT_SET_SID string, COLOR string, MODEL string")
+    assert [(r["COLOR"], r["MODEL"]) for r in P.fill_from_pages(df, pages, ["COLOR", "MODEL"]).collect()] == [("Blue", "z9")]

@@ -132,3 +132,11 @@ def test_sinks(spark, tmp_path):
     live = spark.createDataFrame([("s1", 1), ("s2", 2), ("s3", 3)], "PRODUCT_SET_SID string, _x int")
     out = {r["PRODUCT_SET_SID"]: (r["FINAL_FLAG"], r["FLAG_REASON"]) for r in sinks.export_post_qc(live, report).collect()}
     assert out == {"s1": ("F", "donâ€™t"), "s2": ("ok", "ok"), "s3": ("ok", "ok")}
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    from shelfcheck.sources.files import read_catalog_csv
+
+    (tmp_path / "a.csv").write_text('PRODUCT_SET_SID,NAME\nx1,"first line\nline two"\nx2,"say ""hi"""\n', encoding="utf-8")
+    rows = {r["PRODUCT_SET_SID"]: r["NAME"] for r in read_catalog_csv(spark, str(tmp_path / "a.csv")).collect()}
+    assert rows == {"x1": "first line\nline two", "x2": 'say "hi"'}

@@ -77,3 +77,11 @@ def test_local_price_and_parse(spark):
 
 def test_alnum_key_folds_accents(spark):
     assert values(spark, ["Électro-Ménager 2"], T.alnum_key) == ["electromenager2"]
+
+
+def test_alnum_key_folds_by_compatibility(spark):
+    import unicodedata
+
+    texts = ["Điện thoại Thế ﬁne Ａ1", "Crème Brûlée ½ ㎏", "İstanbul ǅ ﬃ", "Ωmega ß", "e\u0301te\u0301", "plain 12", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.alnum_key("t")).collect()]
+    assert got == ["".join(c for c in unicodedata.normalize("NFKD", t).lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789") for t in texts]
