@@ -25,7 +25,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, most: int = 900_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 450_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
