@@ -52,6 +52,10 @@ SELLER_NOISE = r"(?i)seller|store|view|follow|score|performance|information|rati
 STOP_HEADS = (
     r"(?i)^(specifications?|customer\s+feedback|related\s+results|seller\s+info|promotions?|delivery|return\s+policy)"
 )
+# What marks a description, and blocks of page furniture inside one.
+DESCRIPTION_CLASSES = [("-prd-desc", "div"), ("description", "div"), ("description", "section"), ("product-desc", "div"), ("-fs14", "div")]
+FURNITURE_CLASSES = "nav|bread|cart|seller|rate|review|footer|header|sidebar|related|promo|banner"
+TEXT_TAGS = "p|ul|ol|h2|h3|h4"
 TITLE_COLORS = rf"(?iU)\b({TWO_WORD_COLORS}|{PLAIN_COLORS})\b"
 
 PAGE_FIELDS = [
@@ -66,6 +70,10 @@ PAGE_FIELDS = [
 # Markup helpers
 # ---------------------------------------------------------------------------
 
+#: Elements that cannot hold one of their own kind.
+FLAT_TAGS = ("p", "h2", "h3", "h4")
+_EDGE = "\x00"
+
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
@@ -101,6 +109,34 @@ def class_text(html: Column, names: list[str], tags: str = r"\w+") -> Column:
     return F.coalesce(*[found(plain(by_class(html, n, tags), "")) for n in names])
 
 
+def elements(markup: Column, tags: str, opening: str = "") -> Column:
+    """Outermost elements of the kinds ``tags`` whose opening tag matches, each whole and with its own tags.
+
+    The markup is cut before each opening and closing tag of these kinds; tags of the element's own name open and
+    close levels, and it ends with the tag that closes the first one. Paragraphs and headings cannot nest, so they
+    end at their first closing tag. An element that is never closed reaches to the end.
+    """
+    marked = F.transform(F.split(markup, rf"(?i)(?=</?(?:{tags})\b)"), lambda x: F.struct(
+        x.alias("text"), F.lower(F.regexp_extract(x, rf"(?i)^</?({tags})\b", 1)).alias("tag"),
+        x.startswith("</").alias("closes"), x.rlike(rf"(?is)^<(?:{tags})\b{opening}").alias("starts"),
+    ))
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = acc["depth"] > 0
+        depth = F.when(~inside, x["starts"].cast("int")).when(x["tag"] != acc["tag"], acc["depth"]).when(
+            x["closes"], acc["depth"] - 1).when(x["tag"].isin(*FLAT_TAGS), acc["depth"]).otherwise(acc["depth"] + 1)
+        text = F.when(~inside, F.concat(F.lit(_EDGE), x["text"])).when(
+            depth == 0, F.regexp_extract(x["text"], r"^</[^>]*>", 0)).otherwise(x["text"])
+        return F.struct(
+            depth.alias("depth"), F.when(inside, acc["tag"]).otherwise(x["tag"]).alias("tag"),
+            F.when(inside | x["starts"], F.array_append(acc["out"], text)).otherwise(acc["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("tag"), F.array().cast("array<string>").alias("out"))
+    kept = F.aggregate(marked, start, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.filter(F.split(kept, _EDGE), lambda x: x != "")
+
+
 def items(markup: Column) -> Column:
     """Texts of the list items of a fragment."""
     raw = F.regexp_extract_all(markup, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
@@ -292,9 +328,7 @@ def page_variations(pages: DataFrame) -> DataFrame:
 
 
 def spec_block(html: Column) -> Column:
-    return F.concat_ws(" ", F.regexp_extract_all(
-        html, F.lit(r"(?is)<(?:div|section|ul)\b[^>]*class=[\"'][^\"']*spec[^\"']*[\"'][^>]*>(.*?)</(?:ul|section|div)>"), F.lit(1)
-    ))
+    return F.concat_ws(" ", elements(html, "div|section|ul", r"[^>]*\bclass=[\"'][^\"']*spec"))
 
 
 def page_specs(pages: DataFrame, ld: dict[str, Column]) -> DataFrame:
@@ -411,17 +445,23 @@ def page_warranty(html: Column, text: Column) -> dict[str, Column]:
 
 
 def page_description(pages: DataFrame, out: str = "_description") -> DataFrame:
-    """Parts between the details heading and the next stop heading, each once (by its first 120 characters)."""
+    """Parts between the details heading and the next stop heading, each once (by its first 120 characters).
+
+    Parts are outermost elements: what lies in one is not repeated after it. Blocks of page furniture and blocks
+    without image of at most 30 characters give only the paragraphs, lists and headings in them.
+    """
     html = F.col("html")
     stop = STOP_HEADS[len("(?i)^"):]
     after = F.regexp_extract(html, r"(?is)<h[234]\b[^>]*>[^<]*product\s+details?[^<]*</h[234]>(.*)$", 1)
     cut = F.regexp_replace(after, rf"(?is)<h[234]\b[^>]*>\s*{stop}.*$", "")
-    alone = F.coalesce(
-        found(by_class(html, r"-prd-desc", "div")), found(by_class(html, r"[\w-]*description[\w-]*", "div|section")),
-    )
-    staged = pages.withColumn("_parts", F.regexp_extract_all(
-        cut, F.lit(r"(?is)(<(p|ul|ol|h2|h3|h4)\b[^>]*>.*?</\2>)"), F.lit(1)
-    )).withColumn("_alone", F.when(F.size("_parts") == 0, alone))
+    # Most pages have one of the two, so the pieces of the other are not made.
+    alone = F.coalesce(*[F.when(html.rlike(rf"(?i){name}"), F.get(elements(html, tags, rf"[^>]*\bclass=[\"'][^\"']*{name}"), F.lit(0)))
+                         for name, tags in DESCRIPTION_CLASSES])
+    parts = elements(cut, f"{TEXT_TAGS}|div|figure", rf"(?:(?<!<div)|(?![^>]*\bclass=[\"'][^\"']*(?:{FURNITURE_CLASSES})))")
+    short = lambda x: x.rlike(r"(?i)^<div\b") & ~x.rlike(r"(?i)<img\b") & (F.length(plain(x)) <= 30)
+    staged = pages.withColumn("_parts", F.when(cut != "", parts).otherwise(F.array().cast("array<string>"))).withColumn(
+        "_parts", F.flatten(F.transform("_parts", lambda x: F.when(short(x), elements(x, TEXT_TAGS)).otherwise(F.array(x))))
+    ).withColumn("_alone", F.when(F.size("_parts") == 0, alone))
     part = lambda x: F.struct(
         F.substring(F.regexp_replace(x, r"\s+", " "), 1, 120).alias("key"), strip(x).alias("part")
     )

@@ -1170,14 +1170,14 @@ PAGE_TEMPLATE = """<html><head><title>%name% deal</title><meta property="og:imag
 <h2>Product details</h2><p>The %name% is here.</p><p>The %name% is here.</p><h2>Specifications</h2><p>none</p></body></html>"""
 
 
-def product_pages(spark, sf_dir) -> DataFrame:
+def product_pages(spark, sf_dir, template: str = PAGE_TEMPLATE) -> DataFrame:
     part = table(spark, sf_dir, "part")
     cells = {
         "%name%": F.col("p_name"), "%key%": (F.col("p_partkey") % 900 + 1).cast("string"), "%brand%": F.col("p_brand"),
         "%gtin%": F.lpad(F.col("p_partkey").cast("string"), 13, "7"), "%price%": F.format_number("p_retailprice", 2),
         "%size%": F.col("p_size").cast("string"), "%type%": F.col("p_type"), "%noun%": F.split_part("p_name", F.lit(" "), F.lit(2)),
     }
-    html = F.lit(PAGE_TEMPLATE)
+    html = F.lit(template)
     for mark, value in cells.items():
         html = F.replace(html, F.lit(mark), value)
     return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
@@ -1199,6 +1199,25 @@ def page_product_fields(spark, sf_dir):
     return G.extract_pages(product_pages(spark, sf_dir))
 
 
+NESTED_BLOCKS = """<html><body><div class="row"><div class="-prd-desc x"><div>The %name% <div>in size %size%</div></div><p>of %brand%</p></div>
+<p>outside</p></div><div class="card specs"><div><ul><li>Model: M%key%</li></ul></div><ul><li>Finish: %noun%</li></ul></div><ul><li>Not: part</li></ul></body></html>"""
+NESTED_DETAILS = """<html><body><h2>Product details</h2><div>The %name% in a longer block <div>of size %size%</div> ends here</div><div>small<p>kept %key%</p></div>
+<div class="promo-box"><p class="note">%brand%</p></div><ul><li>a<ul><li>%noun%</li></ul></li><li>c</li></ul><h3>Delivery terms</h3><p>none</p></body></html>"""
+
+
+@query("page_nested_blocks", """WITH n AS (SELECT *, split_part(p_name, ' ', 2) AS noun, CAST(p_partkey % 900 + 1 AS VARCHAR) AS key FROM part)
+SELECT p_partkey AS page_id, 'blocks' AS form, '<div class="-prd-desc x"><div>The ' || p_name || ' <div>in size ' || p_size || '</div></div><p>of ' || p_brand || '</p></div>' AS description,
+  'Model: M' || key || ' | Finish: ' || noun || ' | SKU: M' || key AS specifications FROM n
+UNION ALL
+SELECT p_partkey, 'details', '<div>The ' || p_name || ' in a longer block <div>of size ' || p_size || '</div> ends here</div>' || chr(10) || '<p>kept ' || key || '</p>' || chr(10)
+  || '<p class="note">' || p_brand || '</p>' || chr(10) || '<ul><li>a<ul><li>' || noun || '</li></ul></li><li>c</li></ul>', NULL FROM n""")
+def page_nested_blocks(spark, sf_dir):
+    forms = [G.extract_pages(product_pages(spark, sf_dir, html)).select("page_id", F.lit(form).alias("form"), F.col("DESCRIPTION").alias("description"),
+                                                                       F.col("SPECIFICATIONS").alias("specifications"))
+             for form, html in (("blocks", NESTED_BLOCKS), ("details", NESTED_DETAILS))]
+    return forms[0].unionByName(forms[1])
+
+
 CARD = """<article class="prd _fb" data-id="%key%" data-seller="s%size%"><a class="core" href="/p-%key%.html"><img data-src="/i/%key%.png" src="x"/>
 <h3 class="name">%name% A</h3><div class="brand">%brand%</div><div class="prc">KSh %price%</div><div class="old">KSh 9,%size%</div><div class="bdg _dsct">10%</div>
 <div class="stars _s" style="width:%stars%%"></div><div class="rev">(%size%)</div></a></article>

@@ -23,6 +23,11 @@ HTML = {
     "official badge": '<body><a href="/c/JMALL">mall</a></body>',
     "details": "<h2>Product details</h2><p>one</p><p>one</p><ul><li>two</li></ul><h2>Specifications</h2><p>three</p>",
     "box": "<b>What's in the box</b><div><ul><li>1 x phone</li><li>cable</li></ul></div>",
+    "nested": '<div class="-prd-desc"><div>first <div>inner</div></div><p>second</p></div><p>after</p>'
+              '<div class="x specs"><div><ul><li>Model: M1</li></ul></div><ul><li>Color: Red</li></ul></div><ul><li>Not: this</li></ul>',
+    "nested details": '<h2>Product details</h2><div>a long first block <div>with more in it</div> and an end</div><div>short<p>kept</p></div>'
+                      '<div class="promo-x"><p class="rate">text</p></div><ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><h3>Delivery</h3><p>no</p>',
+    "unclosed": '<div class="-prd-desc"><div>rest',
     "plain": "<p>nothing</p>",
 }
 
@@ -58,6 +63,15 @@ def test_texts(fields):
     assert fields["plain"]["STOCK_STATUS"] == "In Stock"
 
 
+def test_nested_blocks(fields):
+    assert fields["nested"]["DESCRIPTION"] == '<div class="-prd-desc"><div>first <div>inner</div></div><p>second</p></div>'
+    assert fields["nested"]["SPECIFICATIONS"] == "Model: M1 | Color: Red | SKU: M1"
+    assert fields["nested details"]["DESCRIPTION"].split("\n") == [
+        "<div>a long first block <div>with more in it</div> and an end</div>", "<p>kept</p>", '<p class="rate">text</p>',
+        "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>"]
+    assert fields["unclosed"]["DESCRIPTION"] == '<div class="-prd-desc"><div>rest'
+
+
 def test_listing(spark):
     html = '<nav class="breadcrumb"><span>Home</span><span>Phones</span></nav><a href="/l?page=3">3</a><b data-page="7"></b>'
     df = spark.createDataFrame([(html,), ("<p/>",)], "html string")
