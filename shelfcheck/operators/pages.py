@@ -328,7 +328,9 @@ def page_variations(pages: DataFrame) -> DataFrame:
 
 
 def spec_block(html: Column) -> Column:
-    return F.concat_ws(" ", elements(html, "div|section|ul", r"[^>]*\bclass=[\"'][^\"']*spec"))
+    marked = r"[^>]*\bclass=[\"'][^\"']*spec"
+    # Pages without such a block are not cut into pieces.
+    return F.concat_ws(" ", F.when(html.rlike(rf"(?i)<\w+{marked}"), elements(html, "div|section|ul", marked)))
 
 
 def page_specs(pages: DataFrame, ld: dict[str, Column]) -> DataFrame:

@@ -1153,7 +1153,25 @@ def listing_page_count(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", G.listing_page_count(F.col("html")).alias("pages"))
 
 
-@query("page_fields")
+# The stored pages are prose: breadcrumb-like lists and headings, but no product markup. The SQL looks for the markup and
+# the phrases that a field could come from; a page that had one would read 'marked' in every field and so not match.
+PRODUCT_MARKUP = (r"(?i)ld\+json|dataLayer|__STORES__|og:image|data-rating|#reviews|jmall|<form|<button|<h[234]|"
+                  r"class=[\"'][^\"']*(prc|-b -ltr|dsct|discount|stock|avail|stars|revw|spec|-pvs|seller|store|desc|-fs14|-fw|var|size|color)")
+PRODUCT_PHRASES = (r"(?i)no\s+ratings?|verified\s+rating|in\s+stock|out\s+of\s+stock|sold\s+out|low\s+stock|only\s+\d+\s+left|hurry|warranty|"
+                   r"guarantee|seller\s+info|official\s+store|\bmodel\s*[:-]|gtin|weight\s*[(:-]")
+COLOR_WORDS = (r"(?i)\b(black|white|silver|gold|blue|red|green|purple|pink|grey|gray|titanium|midnight|starlight|ivory|champagne|rose|copper|"
+               r"yellow|orange|violet|navy|cream|brown|coral|aqua|cyan|teal|lilac|maroon|beige|olive|turquoise)\b")
+EMPTY_FIELDS = ["PRICE", "DISCOUNT", "MODEL", "GTIN", "BRAND", "MAIN_IMAGE", "WEIGHT", "COLOR", "COUNT_VARIATIONS", "SIZES_AVAILABLE",
+                "PRODUCT_WARRANTY", "WARRANTY_DURATION", "RATING", "REVIEW_COUNT", "SELLER_NAME", "DESCRIPTION", "KEY_FEATURES", "KEY_SPECS",
+                "SPECIFICATIONS", "WHATS_IN_BOX"]
+
+
+@query("page_fields", f"""WITH h AS ({ORACLES['page_titles']}), c AS ({ORACLES['page_category_path']}),
+m AS (SELECT page_id, url, path, regexp_matches(html, {S.lit(PRODUCT_MARKUP)}) OR regexp_matches(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), {S.lit(PRODUCT_PHRASES)})
+  OR regexp_matches(heading, {S.lit(COLOR_WORDS)}) AS marked FROM pages JOIN h USING (page_id) JOIN c USING (page_id))
+SELECT page_id, url, path AS "CATEGORY_PATH", CASE WHEN marked THEN 'marked' ELSE 'In Stock' END AS "STOCK_STATUS",
+  CASE WHEN marked THEN 'marked' ELSE 'No' END AS "IS_OFFICIAL_STORE", CASE WHEN marked THEN 'marked' ELSE 'None' END AS "COLOR_IN_TITLE",
+  {", ".join(f"CASE WHEN marked THEN 'marked' END AS \"{f}\"" for f in EMPTY_FIELDS)} FROM m""")
 def page_fields(spark, sf_dir):
     return G.extract_pages(table(spark, sf_dir, "pages"))
 
