@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "prepare_catalog", "prepare_catalog_ng", "fill_metadata", "chk_restricted_brand", "chk_prohibited", "chk_country_ng",
     "chk_powerbank", "all_row_hits", "chk_duplicates", "final_report", "final_report_ma", "reapprove", "quality_report",
-    "weekly_insights", "keyword_category", "category_similarity", "page_product_fields", "listing_cards", "visual_duplicates",
+    "weekly_insights", "keyword_category", "category_similarity", "page_product_fields", "page_nested_blocks", "page_fields", "predicted_categories",
+    "wrong_category", "listing_cards", "visual_duplicates",
 ]
 NAMES = list(QUERIES) if os.environ.get("FULL_ORACLE") else SAMPLE
 
