@@ -40,7 +40,20 @@ NAME_WEIGHTS = {
 LEAST, SHORTEST = 0.6, 8
 #: A value put together from more characters than this is not a constant to propagate.
 LONGEST = 4096
-_HINT = re.compile("|".join(("passw", "passp", "pwd", "secret", "token", "key", "private", "auth", "credential", "bearer")))
+
+
+def hints() -> list[str]:
+    """Words of which every name that can reach ``LEAST`` holds one: all but the lightest, which together fall short."""
+    need, out = (LEAST - 0.4) / 0.6 - 1e-5, []
+    total = 0.0
+    for word, weight in sorted(NAME_WEIGHTS.items(), key=lambda x: x[1]):
+        total += weight
+        if total >= need:
+            out.append(word)
+    return sorted(x for x in out if not any(y != x and y in x for y in out))
+
+
+_HINT = re.compile("|".join(hints()))
 _TOKEN = re.compile(r"""
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
   | (?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)
@@ -131,7 +144,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def lexed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Literals of sensitive names that no base span covers. A text without any sensitive word has none."""
+    """Literals of sensitive names that no base span covers. A text without any word of ``hints`` has none."""
     low = text.lower()
     if not _HINT.search(low) or not ("=" in text or ":" in text):
         return []

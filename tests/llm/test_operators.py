@@ -183,3 +183,12 @@ def test_lexer_pairs_and_constants():
     assert max(len(v) for _, v, _ in secret_scan.pairs(grown)) <= 2 * secret_scan.LONGEST
     assert secret_scan.redact('db_password: "s3cr3tPa55"') == 'db_[REDACTED]"'
     assert secret_scan.redact(None) is None and secret_scan.redact("plain words") == "plain words"
+
+
+def test_lexing_does_not_depend_on_the_prefilter(monkeypatch):
+    words = sorted(secret_scan.NAME_WEIGHTS)
+    texts = [f'{a}_{b} = "aB3dE5gH9kLm"' for a in words for b in words] + [f'{a}: "aB3dE5gH9kLm-+/xyz"' for a in words]
+    found = [secret_scan.lexed_spans(t, []) for t in texts]
+    monkeypatch.setattr(secret_scan, "_HINT", re.compile(""))
+    assert found == [secret_scan.lexed_spans(t, []) for t in texts]
+    assert secret_scan.redact('api_pass = "aB3dE5gH9kLm"') == 'api_pass = "[REDACTED]"'
