@@ -2,7 +2,8 @@
 
 Three fixed patterns give the base spans. Beside them each text is lexed as source or configuration: names,
 string literals, bare words and the marks between them become pairs (name, literal) for ``name = "x"``,
-``name: x``, ``"name": "x"``, ``name := x``, ``export NAME=x`` and for keyword arguments; a literal that is
+``name: x``, ``"name": "x"``, ``name := x``, ``export NAME=x``, ``a["name"] = x``, ``name: type = x``,
+``var name type = x`` and for keyword arguments; a literal that is
 the name of an earlier assignment takes that one's value (constants are propagated, joined with ``+`` as well), so
 ``k = "..."; password = k`` is found at the first place too. A literal scores by the sensitive words in its target
 name, its length, its kinds of characters and its entropy; from ``LEAST`` on it is a span of kind ``lexed``, unless
@@ -55,13 +56,20 @@ def hints() -> list[str]:
 
 _HINT = re.compile("|".join(hints()))
 _TOKEN = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<string>"(?:[^"\\\n]|\\.)*"|(?!(?<=&)'[a-z_]+\s)'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
   | (?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)
   | (?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])
   | (?P<bare>[A-Za-z0-9/][A-Za-z0-9+/_.=\-]*)
   | (?P<line>\n)
   | (?P<other>[^\s])
 """, re.X | re.A)
+_MARKS = ("=", ":", ":=", "=>")
+#: Words after which, or as which, a name before a colon is not declared there.
+_FLOW = frozenset(("if elif else while for in and or not is case when switch default try finally except catch with as return lambda do"
+                   " then class").split())
+#: Words that stand before the name of a type, and names of types that stand behind the name declared.
+_BEFORE_TYPES = frozenset("mut const dyn readonly unsigned".split())
+_TYPES = frozenset("string str byte rune text varchar char".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 
 
@@ -95,39 +103,155 @@ def _tokens(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def _brackets(tokens) -> dict[int, int]:
+    """Place of the opening bracket of every closing one."""
+    opens, out = [], {}
+    for i, (kind, said, _, _) in enumerate(tokens):
+        if kind == "op" and said == "[":
+            opens.append(i)
+        elif kind == "op" and said == "]" and opens:
+            out[i] = opens.pop()
+    return out
+
+
+def _path(tokens, opens: dict[int, int], j: int) -> tuple[str, int]:
+    """The operand that ends at token j, as a name with its subscripts joined by dots, and its first token."""
+    parts, first = [], j + 1
+    while j >= 0:
+        kind, said = tokens[j][:2]
+        if kind in ("name", "string"):
+            parts.append(said)
+            first = j
+            if kind == "name" and j > 1 and tokens[j - 1][1] == "." and j - 2 in opens:
+                j -= 2
+                continue
+            break
+        if j not in opens:
+            break
+        first, j = opens[j], j - 1
+        while j > first:
+            if tokens[j][0] in ("name", "string"):
+                parts.append(tokens[j][1])
+            j = opens.get(j, j) - 1
+        j = first - 1
+        if j < 0 or tokens[j][0] != "name" and j not in opens:
+            break
+    return ".".join(reversed(parts)), first
+
+
+def _after_type(tokens, i: int) -> int | None:
+    """Place of the ``=`` behind the type that starts at token i, on one line."""
+    depth, word, first = 0, False, i
+    while i < len(tokens):
+        kind, said = tokens[i][:2]
+        if kind in ("name", "string", "bare"):
+            if word:
+                return None
+            word = said not in _BEFORE_TYPES and tokens[i - 1][1] != "'"
+        elif kind == "op" and (said == "=" and not depth or said == ">=" and depth == 1):
+            return i if i > first else None
+        elif said in ("[", "<"):
+            depth, word = depth + 1, False
+        elif said in ("]", ">") and depth:
+            depth, word = depth - 1, True
+        elif kind == "other" and said in "|&*?!'." or said == "," and depth:
+            word = False
+        else:
+            return None
+        i += 1
+    return None
+
+
+def _typed(tokens, opens: dict[int, int], first: int, least: int) -> int | None:
+    """Place of the name on the same line before what starts at token ``first``, over ``*``, ``&`` and ``[]``."""
+    j = first - 1
+    while j >= least:
+        if tokens[j][0] == "name":
+            return j
+        if tokens[j][1] in ("*", "&"):
+            j -= 1
+        elif j in opens and all(t[0] == "bare" for t in tokens[max(opens[j] + 1, j - 2) : j]) and j - opens[j] <= 2:
+            j = opens[j] - 1
+        else:
+            return None
+    return None
+
+
+def _read(tokens, known, j: int):
+    """The known constant that the operand at token j names, subscripts included, and the token behind it."""
+    found, said, k = None, tokens[j][1], j + 1
+    if said in known:
+        found = known[said], k
+    while k + 2 < len(tokens) and tokens[k][1] == "[" and tokens[k + 1][0] in ("string", "name") and tokens[k + 2][1] == "]":
+        said, k = f"{said}.{tokens[k + 1][1]}", k + 3
+        if said in known:
+            found = known[said], k
+    return found
+
+
 def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value, places of its literals) of every assignment, constants propagated."""
-    tokens, known, out, i = _tokens(text), {}, [], 0
-    while i + 2 < len(tokens) + 1:
-        if i + 2 >= len(tokens) or tokens[i][0] not in ("name", "string") or tokens[i + 1][1] not in ("=", ":", ":=", "=>"):
-            i += 1
+    """(target name, value, places of its literals) of every assignment, constants propagated.
+
+    The target of a mark is the operand before it: a name, a string, or either with subscripts (``a["b"] =`` is
+    ``a.b``). With a type between, in ``name: type =`` and ``name type =``, the name before the type is a target
+    too. ``name type =`` cannot be told from ``type name =``, so there both are.
+    """
+    tokens, known, out, done = _tokens(text), {}, [], 0
+    opens = _brackets(tokens)
+    for m in range(1, len(tokens) - 1):
+        mark = tokens[m][1]
+        if mark not in _MARKS or m <= done:
+            continue
+        last = m - 1
+        if mark == ":" and tokens[last][1] in ("?", "!") and last:
+            last -= 1
+        if last < done or tokens[last][0] not in ("name", "string") and last not in opens:
+            continue
+        name, first = _path(tokens, opens, last)
+        if not name:
             continue
-        name, j, value, places = tokens[i][1], i + 2, [], []
+        plain, start, names, keep = last == m - 1 and last not in opens, m + 1, [name], [name]
+        if mark == ":":
+            before = tokens[first - 1][:2] if first else ("line", "")
+            after = _after_type(tokens, start)
+            valued = after is not None and after + 1 < len(tokens) and (
+                tokens[after + 1][0] == "string" or tokens[after + 1][0] == "name" and _read(tokens, known, after + 1))
+            if valued and name not in _FLOW and (before[0] in ("line", "other") or before[1] in tuple(";({,[") or before[0] == "name" and before[1] not in _FLOW):
+                names, start = [name, _path(tokens, opens, after - 1)[0]], after + 1
+            elif valued:
+                continue  # a statement behind a colon: its own mark follows
+            elif not plain and tokens[start][0] != "string":
+                continue
+        elif mark == "=" and (t := _typed(tokens, opens, first, done)) is not None:
+            names.append(tokens[t][1])
+            if t and tokens[t - 1][1] in ("var", "const", "let") or name in _TYPES:
+                keep = [tokens[t][1]]
+        j, value, places = start, [], []
         while j < len(tokens):
             kind, said, a, b = tokens[j]
-            if kind == "name" and said in known:
-                value.append(known[said][0])
-                places += known[said][1]
+            if kind == "name" and (got := _read(tokens, known, j)):
+                (one, where), j = got
+                value.append(one)
+                places += where
             elif kind in ("string", "bare", "name"):
                 value.append(said)
                 places.append((a, b))
+                j += 1
             else:
                 break
-            j += 1
             if j < len(tokens) and tokens[j][1] == "+" and tokens[j][0] == "op":
                 j += 1
                 continue
             break
         if value:
             said = "".join(value)
-            out.append((name, said, places))
-            if len(said) <= LONGEST:
-                known[name] = (said, places)
-            else:
-                known.pop(name, None)
-            i = j
-        else:
-            i += 1
+            out += [(x, said, places) for x in names if x]
+            for x in keep:
+                if len(said) <= LONGEST:
+                    known[x] = (said, places)
+                else:
+                    known.pop(x, None)
+            done = j
     return out
 
 

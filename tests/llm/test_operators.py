@@ -192,3 +192,25 @@ def test_lexing_does_not_depend_on_the_prefilter(monkeypatch):
     monkeypatch.setattr(secret_scan, "_HINT", re.compile(""))
     assert found == [secret_scan.lexed_spans(t, []) for t in texts]
     assert secret_scan.redact('api_pass = "aB3dE5gH9kLm"') == 'api_pass = "[REDACTED]"'
+
+
+@pytest.mark.parametrize("line", [
+    'config["db_passphrase"] = "{}"', 'os.environ["CLIENT_SECRET"] = "{}"', "$config['db']['client_secret'] = '{}';", 'a[CLIENT_SECRET] = "{}"',
+    'config["client_secret"].value = "{}"', 'config["db_passphrase"]: str = "{}"', 'char client_secret[32] = "{}";', '{{[CLIENT_SECRET]: "{}"}}',
+    'client_secret: str = "{}"', 'def f(a, client_passphrase: Optional[str] = "{}", n: int = 3):', 'clientSecret?: string | null = "{}";',
+    'private readonly clientSecret: Map<string, string> = "{}";', 'const CLIENT_SECRET: &str = "{}";', "static CLIENT_SECRET: &'static str = \"{}\"; // don't",
+    'var authToken string = "{}"', 'const (\n\tauthToken string = "{}"\n)', 'var clientSecret *pkg.Text = "{}"', 'var clientSecret []byte = "{}"',
+    'String clientPassphrase = "{}";', 'else: passphrase = "{}"', 'cfg["k"] = "{}"\nclient_secret = cfg["k"]', 'var k string = "{}"\npassphrase = k',
+    'k: str = "{}"\npassphrase: str = k', 'if ready: k = "{}"\npassphrase = k',
+])
+def test_targets_with_subscripts_and_types(line):
+    text, want = line.format("aB3dE5gH9kLm"), line.format("[REDACTED]")
+    assert secret_scan.redact(text) == want
+
+
+@pytest.mark.parametrize("text", [
+    'if secret: y = "aB3dE5gH9kLm"', 'name: str = "aB3dE5gH9kLm"\npassword: str\n', 'if k in ["password", "token"]: continue_processing()',
+    'x[0] = "aB3dE5gH9kLm"', '<input type=password id="aB3dE5gH9kLm">', 'client_secret: SecretString = "short"',
+])
+def test_neighbours_that_are_no_targets(text):
+    assert secret_scan.lexed_spans(text, []) == []
