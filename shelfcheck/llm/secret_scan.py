@@ -39,7 +39,7 @@ NAME_WEIGHTS = {
     "client": 0.1, "bearer": 0.4, "salt": 0.2, "connection": 0.1,
 }
 LEAST, SHORTEST = 0.6, 8
-#: A value put together from more characters than this is not a constant to propagate.
+#: Of a value put together from more characters than this, ``pairs`` gives so many; the value itself has no bound.
 LONGEST = 4096
 
 
@@ -83,15 +83,63 @@ def name_score(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(x.lower(), 0.0) for x in dict.fromkeys(_PARTS.findall(name))))
 
 
-def literal_score(name: str, literal: str) -> float:
-    """0 to 1: how likely the literal, given to this name, is a secret."""
-    if len(literal) < SHORTEST or any(c.isspace() for c in literal):
+def _score(name: str, counts: dict[str, int], n: int) -> float:
+    """0 to 1 for a literal of n characters, by how often it has each of them."""
+    if n < SHORTEST or any(c.isspace() for c in counts):
         return 0.0
-    kinds = sum(any(t(c) for c in literal) for t in (str.islower, str.isupper, str.isdigit)) + (not literal.isalnum())
-    shape = min(1.0, entropy(literal) / 4) * (0.5 if kinds < 2 else 1.0)
+    kinds = sum(any(t(c) for c in counts) for t in (str.islower, str.isupper, str.isdigit)) + (not all(c.isalnum() for c in counts))
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    shape = min(1.0, bits / 4) * (0.5 if kinds < 2 else 1.0)
     return round(0.6 * name_score(name) + 0.4 * shape, 6)
 
 
+def literal_score(name: str, literal: str) -> float:
+    """0 to 1: how likely the literal, given to this name, is a secret."""
+    return _score(name, Counter(literal), len(literal))
+
+
+class Value:
+    """A literal, or literals joined: its length, the counts of its characters and its parts, which are shared.
+
+    ``text`` is the whole value, or the first LONGEST characters of a longer joined one. ``parts`` is a place
+    (start, end) or a list of two ``parts``.
+    """
+
+    __slots__ = ("text", "length", "parts", "_counts")
+
+    def __init__(self, text: str, length: int, parts, counts: Counter | None = None):
+        self.text, self.length, self.parts, self._counts = text, length, parts, counts
+
+    @property
+    def counts(self) -> Counter:
+        return Counter(self.text) if self._counts is None else self._counts
+
+    def __add__(self, other: Value) -> Value:
+        length, counts, text = self.length + other.length, None, self.text
+        if length > LONGEST:
+            counts = self.counts + other.counts
+            if length >> 512:  # only x = x + x again and again gets there; the shares stay and the numbers stay short
+                counts = Counter({c: k >> 256 or 1 for c, k in counts.items()})
+                length = counts.total()
+        if self.length == len(self.text):
+            text += other.text
+        return Value(text if length <= LONGEST else text[:LONGEST], length, [self.parts, other.parts], counts)
+
+
+def _places(parts, seen: dict[int, object]) -> list[tuple[int, int]]:
+    """The places in ``parts`` that are not in ``seen``, each once."""
+    out, todo = [], [parts]
+    while todo:
+        x = todo.pop()
+        if id(x) not in seen:
+            seen[id(x)] = x
+            if isinstance(x, tuple):
+                out.append(x)
+            else:
+                todo += reversed(x)
+    return out
+
+
 def _tokens(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, value, start, end); a string's value and place are those between its quotes."""
     out = []
@@ -190,7 +238,12 @@ def _read(tokens, known, j: int):
 
 
 def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value, places of its literals) of every assignment, constants propagated.
+    """(target name, value, places of its literals) of every assignment; a joined value up to LONGEST characters."""
+    return [(name, value.text, _places(value.parts, {})) for name, value in assignments(text)]
+
+
+def assignments(text: str) -> list[tuple[str, Value]]:
+    """(target name, value) of every assignment, constants propagated.
 
     The target of a mark is the operand before it: a name, a string, or either with subscripts (``a["b"] =`` is
     ``a.b``). With a type between, in ``name: type =`` and ``name type =``, the name before the type is a target
@@ -226,31 +279,23 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             names.append(tokens[t][1])
             if t and tokens[t - 1][1] in ("var", "const", "let") or name in _TYPES:
                 keep = [tokens[t][1]]
-        j, value, places = start, [], []
+        j, value = start, None
         while j < len(tokens):
             kind, said, a, b = tokens[j]
             if kind == "name" and (got := _read(tokens, known, j)):
-                (one, where), j = got
-                value.append(one)
-                places += where
+                one, j = got
             elif kind in ("string", "bare", "name"):
-                value.append(said)
-                places.append((a, b))
-                j += 1
+                one, j = Value(said, len(said), (a, b)), j + 1
             else:
                 break
+            value = one if value is None else value + one
             if j < len(tokens) and tokens[j][1] == "+" and tokens[j][0] == "op":
                 j += 1
                 continue
             break
-        if value:
-            said = "".join(value)
-            out += [(x, said, places) for x in names if x]
-            for x in keep:
-                if len(said) <= LONGEST:
-                    known[x] = (said, places)
-                else:
-                    known.pop(x, None)
+        if value is not None:
+            out += [(x, value) for x in names if x]
+            known.update(dict.fromkeys(keep, value))
             done = j
     return out
 
@@ -272,10 +317,10 @@ def lexed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.lower()
     if not _HINT.search(low) or not ("=" in text or ":" in text):
         return []
-    found = set()
-    for name, value, places in pairs(text):
-        if literal_score(name, value) >= LEAST:
-            found.update((a, 3, b) for a, b in places)
+    found, seen = set(), {}
+    for name, value in assignments(text):
+        if value.length >= SHORTEST and 0.6 * name_score(name) + 0.4 >= LEAST - 1e-5 and _score(name, value.counts, value.length) >= LEAST:
+            found.update((a, 3, b) for a, b in _places(value.parts, seen))
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     covered = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
     return sorted(x for x in found if not covered(x[0], x[2]))

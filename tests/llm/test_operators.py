@@ -214,3 +214,18 @@ def test_targets_with_subscripts_and_types(line):
 ])
 def test_neighbours_that_are_no_targets(text):
     assert secret_scan.lexed_spans(text, []) == []
+
+
+def test_long_constants_are_propagated():
+    rng = random.Random(5)
+    long, tail = ("".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789+/", k=n)) for n in (6000, 3000))
+    assert secret_scan.redact(f'blob = "{long}"; private_key = blob') == 'blob = "[REDACTED]"; private_key = blob'
+    text = f'a = "{tail}"\nb = a + "{long}"\nc = b + a\nprivate_key = c'
+    assert secret_scan.redact(text) == 'a = "[REDACTED]"\nb = a + "[REDACTED]"\nc = b + a\nprivate_key = c'
+    grown = 'x = "aB3dE5gH9kLm"\n' + "x = x + x\n" * 5000 + "passphrase = x"
+    assert secret_scan.redact(grown).startswith('x = "[REDACTED]"\nx = x + x\n')
+    many = "x = aB3dE5gH9kLm\n" + "x = x + aB3dE5gH9kLm\n" * 3000 + "passphrase = x"
+    assert len(secret_scan.lexed_spans(many, [])) == 3001
+    # joined or whole, a value has the same score
+    joined = secret_scan.Value(tail, len(tail), (0, 1)) + secret_scan.Value(long, len(long), (1, 2))
+    assert secret_scan._score("private_key", joined.counts, joined.length) == secret_scan.literal_score("private_key", tail + long)
