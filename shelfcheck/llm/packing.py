@@ -2,7 +2,7 @@
 
 Pieces are counted by length, so the plan works on at most ``capacity`` counts whatever the number of documents.
 From the longest length down, the gap that a piece leaves in a sequence is looked up among single lengths, sums
-of two and sums of three; every combination found is consumed as often as the counts allow. What remains goes
+of two and sums of three, all that are free; every combination found is consumed as often as the counts allow. What remains goes
 best-fit into the tightest open sequence, runs of equal lengths at once. Each step of the first part uses up a
 length, and each run of the second fills or opens one kind of sequence, so the plan stays in proportion to the
 capacity and is sent to the tasks as it is. Pieces find their place by their number within their length.
@@ -24,9 +24,6 @@ from .bestfit import best_fit_runs
 from .common import numbered, saved
 from .pieces import encoder
 
-#: Combinations that one length may consume before what is left of it goes to best fit.
-_ROUNDS = 10_000
-
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,31 +59,51 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _pair(free: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two free lengths of this sum, the most equal ones left for later."""
-    if total < 2:
+class _Free:
+    """Counts of free lengths, and the lengths as bits of one number, upwards and downwards.
+
+    Two of the lengths sum to a total where the upward bits meet the downward bits shifted by the total, so a pair
+    of any sum is looked up in one step over capacity/64 words.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.n, self.capacity, self.up, self.down = [0] * (capacity + 1), capacity, 0, 0
+        for length, n in counts.items():
+            self.add(length, n)
+
+    def add(self, length: int, n: int) -> None:
+        self.n[length] += n
+        if (self.n[length] > 0) != bool(self.up >> length & 1):
+            self.up ^= 1 << length
+            self.down ^= 1 << self.capacity - length
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two free lengths of this sum, the smallest with the largest."""
+        met = self.up & self.down >> self.capacity - total
+        if total % 2 == 0 and self.n[total // 2] == 1:
+            met &= ~(1 << total // 2)
+        if not met:
+            return None
+        low = (met & -met).bit_length() - 1
+        return total - low, low
+
+    def complement(self, gap: int, most: int) -> tuple[int, ...] | None:
+        """One, two or three free lengths that sum to the gap. No combination with a length above ``most`` is there."""
+        if gap > 3 * most:
+            return None
+        if self.n[gap]:
+            return (gap,)
+        if two := self.pair(gap):
+            return two
+        # the longest of three has a third of the gap at least
+        for b in range(min(most, gap - 2), -(-gap // 3) - 1, -1):
+            if self.n[b]:
+                self.add(b, -1)
+                two = self.pair(gap - b)
+                self.add(b, 1)
+                if two:
+                    return (b, *two)
         return None
-    low = np.arange(1, total // 2 + 1)
-    found = low[(free[low] > 0) & (free[total - low] > 0)]
-    for a in found[:2]:
-        if a * 2 != total or free[a] > 1:
-            return int(total - a), int(a)
-    return None
-
-
-def _complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three free lengths that sum to the gap."""
-    if free[gap] > 0:
-        return (gap,)
-    if two := _pair(free, gap):
-        return two
-    for b in np.flatnonzero(free[:gap])[::-1][:64]:
-        free[b] -= 1
-        two = _pair(free, int(gap - b))
-        free[b] += 1
-        if two:
-            return (int(b), *two)
-    return None
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -95,9 +112,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int
     The piece with number r of its length, in the last row with rank <= r, goes to sequence
     ``first + (r - rank) // per`` at ``offset + (r - rank) % per * length``.
     """
-    free = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        free[length] = n
+    free = _Free(counts, capacity)
     taken, rows, used = np.zeros(capacity + 1, np.int64), [], 0
 
     def consume(parts: list[tuple[int, int]], times: int) -> None:
@@ -106,24 +121,23 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int
         for length, per in parts:
             rows.append((length, taken[length], per, used, offset))
             taken[length] += per * times
-            free[length] -= per * times
+            free.add(length, -per * times)
             offset += per * length
         used += times
 
-    if free[capacity]:
-        consume([(capacity, 1)], int(free[capacity]))
+    if free.n[capacity]:
+        consume([(capacity, 1)], free.n[capacity])
     for a in range(capacity - 1, 0, -1):
-        for _ in range(_ROUNDS):
-            if not free[a]:
-                break
-            free[a] -= 1
-            rest = _complement(free, capacity - a)
-            free[a] += 1
+        # each round uses up a length, and lengths above a found nothing in their turn
+        while free.n[a]:
+            free.add(a, -1)
+            rest = free.complement(capacity - a, a)
+            free.add(a, 1)
             if rest is None:
                 break
             parts = {x: (a, *rest).count(x) for x in (a, *rest)}
-            consume(list(parts.items()), int(min(free[x] // k for x, k in parts.items())))
-    left = [(x, int(free[x])) for x in range(capacity, 0, -1) if free[x]]
+            consume(list(parts.items()), min(free.n[x] // k for x, k in parts.items()))
+    left = [(x, free.n[x]) for x in range(capacity, 0, -1) if free.n[x]]
     runs, bins = best_fit_runs(left, capacity)
     # a sequence's fill at each run: the same for all bins of a run, kept by their first bin
     fills: dict[int, int] = {}

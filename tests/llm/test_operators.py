@@ -229,3 +229,25 @@ def test_long_constants_are_propagated():
     # joined or whole, a value has the same score
     joined = secret_scan.Value(tail, len(tail), (0, 1)) + secret_scan.Value(long, len(long), (1, 2))
     assert secret_scan._score("private_key", joined.counts, joined.length) == secret_scan.literal_score("private_key", tail + long)
+
+
+def test_triples_beyond_many_longer_lengths():
+    # 2000 + 700 + 698 + 698 = 4096; the other lengths are in no combination, and more than 64 are longer than each of these
+    counts = {2000: 1, 700: 1, 698: 2, **dict.fromkeys([*range(1400, 1500), *range(2101, 2181)], 1)}
+    plan, _ = packing.packing_plan(counts, 4096)
+    assert len({int(row[3]) for row in plan if row[0] in (2000, 700, 698)}) == 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_complements_against_all_combinations(seed):
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(seed)
+    capacity = rng.choice([12, 40])
+    counts = {x: rng.choice([0, 0, 1, 1, 2, 3]) for x in range(1, capacity)}
+    free = packing._Free(counts, capacity)
+    for gap in range(1, capacity):
+        there = [c for k in (1, 2, 3) for c in combinations_with_replacement(range(1, gap + 1), k)
+                 if sum(c) == gap and all(counts[x] >= c.count(x) for x in c)]
+        got = free.complement(gap, capacity)
+        assert (got is None) == (not there) and (got is None or len(got) == len(there[0]) and tuple(sorted(got)) in there)
