@@ -93,17 +93,25 @@ def _features(bgr: np.ndarray) -> dict:
 
 
 def image_features(images: DataFrame) -> DataFrame:
-    """One feature row per image of the Spark image source; pixels stay in the tasks that decode them."""
+    """One feature row per image of the Spark image source; pixels stay in the tasks that decode them.
+
+    Of an image that could not be decoded all features but the origin are null.
+    """
     flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for origin, h, w, channels, data in batch.itertuples(index=False):
+                if h < 1 or w < 1:
+                    rows.append({"origin": origin})
+                    continue
                 pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, channels)
                 bgr = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., :3]
                 rows.append({"origin": origin, **_features(bgr)})
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in FEATURES.split(", ")])
+            # as objects, since a missing number would turn signatures into floats
+            table = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in FEATURES.split(", ")], dtype=object)
+            yield table.where(table.notna(), None)
 
     return flat.mapInPandas(run, FEATURES)
 
@@ -254,11 +262,12 @@ def sign_signature(vector: str) -> Column:
 
 
 def image_notes(df: DataFrame, features: DataFrame) -> DataFrame:
-    """Advisory notes (sid, note): low resolution, low coverage, marginal sharpness."""
+    """Advisory notes (sid, note): not decodable, low resolution, low coverage, marginal sharpness."""
     rows = attach_features(df, features)
     small = (F.col("width") <= 200) & (F.col("height") <= 200)
     note = lambda cond, *p: F.when(cond, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p]))
     notes = F.array_compact(F.array(
+        note(F.col("width").isNull(), "Broken Image"),
         note(~small & (F.col("width") < 300) & (F.col("height") < 300),
              "Image resolution low (", _size(), "px) — consider upgrading"),
         note(F.col("coverage").between(MIN_COVERAGE, WARN_COVERAGE) & (F.col("coverage") < WARN_COVERAGE),
@@ -270,9 +279,10 @@ def image_notes(df: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def size_warnings(features: DataFrame) -> DataFrame:
-    """Low resolution, tall and wide warnings per image."""
+    """Broken, low resolution, tall and wide warnings per image."""
     ratio = F.when(F.col("width") > 0, F.col("height") / F.col("width")).otherwise(1.0)
     return features.select("origin", F.array_compact(F.array(
+        F.when(F.col("width").isNull(), "Broken Image"),
         F.when((F.col("width") < 300) | (F.col("height") < 300), "Low Resolution"),
         F.when(ratio > 1.5, "Tall (Screenshot?)").when(ratio < 0.6, "Wide Aspect"),
     )).alias("warnings"))

@@ -125,8 +125,8 @@ def read_master(spark: SparkSession, path: str, line_breaks: bool = True) -> Dat
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images: ``image.origin, height, width, nChannels, data`` (BGR bytes)."""
-    return spark.read.format("image").option("dropInvalid", True).load(path)
+    """Images: ``image.origin, height, width, nChannels, data`` (BGR bytes); a file that cannot be decoded has height -1."""
+    return spark.read.format("image").option("dropInvalid", False).load(path)
 
 
 def read_pages(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:

@@ -120,6 +120,21 @@ def test_features(features):
     assert (got["tall"]["width"], got["tall"]["height"]) == (100, 400)
 
 
+def test_broken_images(spark, products, tmp_path):
+    png(tmp_path / "good.png", square(400, 0.95))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG no picture")
+    features = I.image_features(read_images(spark, str(tmp_path)))
+    features = features.withColumn("origin", F.regexp_extract("origin", r"(\w+)\.png$", 1)).coalesce(1).cache()
+    got = {r["origin"]: r for r in features.collect()}
+    assert set(got) == {"good", "broken"} and got["broken"]["width"] is None and got["broken"]["signature"] is None
+    one = I.image_features(read_images(spark, str(tmp_path / "good.png"))).first()
+    assert got["good"]["width"] == 400 and got["good"]["signature"] == one["signature"]
+    df = prepare_catalog(products([{"PRODUCT_SET_SID": n, "MAIN_IMAGE": n, "COLOR": "Blue", "SELLER_NAME": "s"} for n in got]))
+    assert {r["sid"] for r in I.image_checks(df, features).collect()} == {"good"}
+    assert [r["note"] for r in I.image_notes(df, features).collect() if r["sid"] == "broken"] == ["Broken Image"]
+    assert {r["origin"]: r["warnings"] for r in I.size_warnings(features).collect()}["broken"] == ["Broken Image"]
+
+
 def test_image_checks(products, features):
     names = ["white", "black", "red30", "red65", "red95", "tall", "wide", "tiny", "small", "board", "grey", "pic", "copy"]
     df = prepare_catalog(products([{"PRODUCT_SET_SID": n, "MAIN_IMAGE": n, "COLOR": "Blue" if n == "red95" else "Red",
