@@ -15,7 +15,7 @@ def prose(rng: random.Random, n: int) -> str:
     return out[:1].upper() + out[1:] + "."
 
 
-def written(folder, documents, labels=(), benchmark=(), pages=()) -> str:
+def written(folder, documents, labels=(), benchmark=(), pages=(), embeddings=()) -> str:
     """Tables in a folder; the documents have columns whose names clash with those of results."""
     rows = list(documents)
     kinds = {
@@ -27,6 +27,9 @@ def written(folder, documents, labels=(), benchmark=(), pages=()) -> str:
         "benchmark": (pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("n_words", pa.string())]), [(i, t, "n") for i, t in benchmark]),
         "pages": (pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("digest", pa.string())]),
                   [(*p, "d") for p in pages]),
+        "embeddings": (pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("n", pa.string()),
+                                  ("w", pa.int32()), ("component", pa.string()), ("deviation", pa.float64())]),
+                       [(i, v, 0, "n", 1, "c", 0.5) for i, v in embeddings]),
     }
     for name, (schema, values) in kinds.items():
         columns = list(zip(*values, strict=True)) if values else [[] for _ in schema]
@@ -60,6 +63,7 @@ def corpus(tmp_path_factory):
         (25, 'k = "q8ZkP0wXv3Lm9"\napi_secret = k\n{"db_passwd": "zzzzzzzz"}'), (26, "token = token=abcdefghij secret:secret:secretsecret"),
         (28, "Licensed under the Apache License, Version 2.0. MIT license mit LICENSE"),
         (29, "the GNU General Public License general public; license mit"), (31, "MIT"), (32, "ﬁne Ａ1 Ünïcode \U0001f600 straße İ"),
+        (40, "<P>marked\nlines\n"), (41, "\n\n\n"), (43, "".join(f"line {i} 😀é <\n" for i in range(5000)) + "<S"), (44, "one\r\ntwo\u2028three"),
         (34, "a  b   c\n\nd <|endoftext|> don't  "), (35, "."), (37, ".."), (38, "The.."),
     ]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(rng, 60).split())) for i in range(60)]
@@ -67,7 +71,14 @@ def corpus(tmp_path_factory):
     labels = [(i, 1) for i in range(0, 300, 3)] + [(i, 0) for i, _ in bad] + [(5, None), (None, 1), (3, 1), (9999, 0)]
     pages = [(1, "u1", "<p>one</p>"), (2, "u2", "<p>two</p>"), (3, "u3", "<p>one</p>"), (7, "u7", "<p>one</p>"), (4, None, None),
              (5, "u5", ""), (6, "u6", "x" * 400_000), (None, "un", "<p>two</p>"), (8, "a\nb", "é€\U0001f600"), (7, "u7", "<p>one</p>")]
-    return written(tmp_path_factory.mktemp("corpus"), docs, labels, BENCH, pages)
+    turn = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(12)]
+    vectors: list[tuple] = []
+    for i in range(400):
+        base = [rng.gauss(0, 0.3 / (1 + k // 2)) for k in range(12)]
+        vectors.append((i if i else None, [sum(a * b for a, b in zip(base, row, strict=True)) for row in turn]))
+    vectors += [vectors[5], vectors[5], (900, None), (901, []), (902, [1.0] * 11), (903, [float("nan"), *[0.1] * 11]), (904, [0.1] * 11 + [None]),
+                (905, [float("-inf")] * 12), (906, [3e38] * 12), (907, [-0.0] * 12)]
+    return written(tmp_path_factory.mktemp("corpus"), docs, labels, BENCH, pages, vectors)
 
 
 @pytest.fixture(scope="session")

@@ -241,3 +241,82 @@ def test_op10_token_files(spark, corpus):
         at += r["n_tokens"]
     order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in found]
     assert order == sorted(order)
+
+
+def four_word_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+
+
+def linked_components(ids, sets, per_cent=80):
+    """(size, component, kept) of each row, by comparing every pair of sets."""
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= per_cent * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, k in enumerate(ids):
+        if k is not None:
+            least[root(i)].append(k)
+    out = []
+    for i, k in enumerate(ids):
+        component = (min(least[root(i)], default=None)) if sets[i] else k
+        out.append({"doc_id": k, "n_shingles": len(sets[i]), "component_id": component, "kept": k == component})
+    return out
+
+
+def test_op11_near_dedup(spark, corpus):
+    docs = read(corpus, "documents")
+    want = linked_components([d["doc_id"] for d in docs], [four_word_set(d["text"]) for d in docs])
+    assert counted(rows(spark, corpus, "op11_odd_sketch_near_dedup")) == counted(want)
+    assert len({r["component_id"] for r in want}) < len(want) - 5
+
+
+def test_op12_whitening(spark, corpus):
+    good = []
+    for r in read(corpus, "embeddings"):
+        v = r["embedding"]
+        if v and len(v) == 12 and all(c is not None and np.isfinite(c) and abs(c) < 1e12 for c in v):
+            good.append((r["vec_id"], [int(np.floor(1024 * float(c))) + 100_000 for c in v]))
+    n, x = len(good), np.array([v for _, v in good], object)
+    sums = x.sum(0)
+    y = ((n * x - sums) / n).astype(np.float64)
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    values, vectors = values[::-1][:8], vectors[:, ::-1][:, :8]
+    found = rows(spark, corpus, "op12_refined_whitening")
+    assert len(found) == 8 * n and {r["n"] for r in found} == {n}
+    deviations = Counter((i, sum(int(a) ** 2 for a in n * v - sums)) for (i, _), v in zip(good, x, strict=True))
+    assert Counter((r["vec_id"], r["deviation"]) for r in found) == Counter({k: 8 * c for k, c in deviations.items()})
+    white = y @ (vectors / np.sqrt(values))
+    for k in range(8):
+        got = sorted((r["vec_id"] is not None, r["vec_id"] or 0, r["whitened"]) for r in found if r["component"] == k + 1)
+        want = [sorted((i is not None, i or 0, s * w) for (i, _), w in zip(good, white[:, k], strict=True)) for s in (1, -1)]
+        assert min(max(abs(a[2] - b[2]) for a, b in zip(got, w, strict=True)) for w in want) < 1e-9
+    assert max(abs(r["explained"] - values[r["component"] - 1] / np.trace(y.T @ y / n)) for r in found) < 1e-12
+    assert len({r["identity_error"] for r in found}) == 1 and found[0]["identity_error"] < 1e-10
+
+
+def test_op13_fill_in_middle(spark, corpus):
+    want = []
+    for d in read(corpus, "documents"):
+        text = d["text"] or ""
+        units = re.findall(r"[^\n]*\n|[^\n]+", text)
+        digest = hashlib.sha256(f"7:{'' if d['doc_id'] is None else d['doc_id']}".encode()).hexdigest()
+        h = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+        a, b = sorted(x % (len(units) + 1) for x in h[:2])
+        pre, mid, suf = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        plain = not text or any(m in text for m in ("<P>", "<S>", "<M>"))
+        form = "plain" if plain else "spm" if h[3] % 100 < 50 else "psm"
+        out = text if plain else f"<S>{suf}<P>{pre}<M>{mid}" if form == "spm" else f"<P>{pre}<S>{suf}<M>{mid}"
+        want.append({"doc_id": d["doc_id"], "n": len(units), "form": form, "prefix_chars": None if plain else len(pre), "middle_chars": None if plain else len(mid),
+                     "output_sha256": hashlib.sha256(out.encode()).hexdigest(), "restored_sha256": hashlib.sha256(text.encode()).hexdigest()})
+    assert counted(rows(spark, corpus, "op13_skip_list_fim")) == counted(want)
+    assert {r["form"] for r in want} == {"plain", "psm", "spm"}
