@@ -6,11 +6,13 @@ which bit (sample number, sample) mod ``BITS`` is flipped for every sample. The
 parity of the samples that differ, and its population count estimates a high similarity closely, so that of the classes
 that meet in a band only those that can reach the similarity are confirmed, on full sets.
 
-Classes meet in three rounds, so that a large group of near copies never lists its pairs: first every class of a band
-bucket meets the bucket's pivot; the links so confirmed are contracted to components; then, in buckets that still hold
-several components, tiles of at most ``CHUNK`` classes are compared by their sketches, and the classes outside the
-pivot's component are confirmed against the nearest class of another component, and after contracting once more
-against all. No pair of one component is looked at again, and no pair of two components in a bucket is left out.
+Classes meet in two rounds, so that a large group of near copies never lists its pairs: first every class of a band
+bucket meets the bucket's pivot; the links so confirmed are contracted to components. Then, in buckets that still hold
+several components, tiles of some ``CHUNK`` classes are compared by their sketches, those outside the pivot's component
+with all. Only the classes that the sketches leave a partner in another component go on, with 32-bit prints of their
+full sets, to be compared exactly in the same tiles; of the pairs that reach the similarity there, one for each class
+and other component leaves the task and is confirmed. No pair of one component is looked at again, and no pair of two
+components in a bucket is left out.
 
 What can be lost: a pair at the similarity exactly meets in no band with probability (1 - s**ROWS)**BANDS, 4e-7 at 0.8,
 and is over the sketch's limit with less than 1e-6; both fall quickly above it.
@@ -189,31 +191,68 @@ def _near(a: str, b: str, most: int) -> Column:
     return sum(bits[1:], bits[0]) <= most
 
 
-def _compare(most: int, per_cent: int, nearest: bool):
-    """Pairs of two tiles that sketches and sizes allow and that are in different components."""
+def _tile(tile) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Components (as 64-bit numbers), classes, set sizes and sketches of a tile's classes."""
+    comp, cls, n, sketch = (tile.values.field(i) for i in range(4))
+    words = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return comp.to_numpy(zero_copy_only=False), cls.to_pylist(), n.to_numpy(zero_copy_only=False), words.reshape(len(cls), -1)
+
+
+def _partnered(most: int, per_cent: int):
+    """Of each pair of tiles, the classes that sketches and sizes leave a partner in another component."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        def read(tile):
-            cls, comp, n, sketch = (tile.values.field(i) for i in range(4))
-            words = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            return cls.to_pylist(), comp.to_pylist(), n.to_numpy(zero_copy_only=False), words.reshape(len(cls), -1)
+        for batch in batches:
+            keys, found = [], []
+            for key, home, guest in zip(*batch.columns, strict=True):
+                (ac, a, an, ask), (bc, b, bn, bsk) = _tile(home), _tile(guest)
+                met, own = np.zeros(len(b), bool), len(found)
+                for i in range(len(a)):
+                    fits = np.flatnonzero((bc != ac[i]) & (100 * np.minimum(bn, an[i]) >= per_cent * np.maximum(bn, an[i])))
+                    fine = fits[np.bitwise_count(bsk[fits] ^ ask[i]).sum(1, dtype=np.int64) <= most]
+                    if len(fine):
+                        met[fine] = True
+                        found.append(a[i])
+                found += [b[j] for j in np.flatnonzero(met).tolist()]
+                keys += [key.as_py()] * (len(found) - own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "cls"])
+
+    return run
+
+
+def _prints_of(tile) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of the hashes in a tile's sets, all together, and where each set starts."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.values.field(3)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    return (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), starts
+
+
+def _linked(per_cent: int):
+    """Of each pair of tiles, pairs of classes whose sets reach the similarity by 32-bit prints, which never show less
+    than the sets have in common: one for each home class and other component."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
         for batch in batches:
             a_out, b_out = [], []
-            for home, guest in zip(batch.column(0), batch.column(1), strict=True):
-                (a, ac, an, ask), (b, bc, bn, bsk) = read(home), read(guest)
-                number = {c: i for i, c in enumerate({*ac, *bc})}
-                ac, bc = (np.array([number[c] for c in x]) for x in (ac, bc))
+            for _, home, guest in zip(*batch.columns, strict=True):
+                (ac, a, an), (bc, b, bn) = ([tile.values.field(i) for i in range(3)] for tile in (home, guest))
+                ac, bc, an, bn = (x.to_numpy(zero_copy_only=False) for x in (ac, bc, an, bn))
+                (x, x_at), (y, y_at) = _prints_of(home), _prints_of(guest)
+                said, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+                x, y, marked = number[: len(x)], number[len(x) :], np.zeros(len(said), bool)
                 for i in range(len(a)):
-                    fits = np.flatnonzero((bc != ac[i]) & (100 * np.minimum(bn, an[i]) >= per_cent * np.maximum(bn, an[i])))
-                    bits = np.bitwise_count(bsk[fits] ^ ask[i]).sum(1, dtype=np.int64)
-                    fine = np.flatnonzero(bits <= most)
-                    if nearest and len(fine):
-                        fine = fine[[bits[fine].argmin()]]
-                    a_out += [a[i]] * len(fine)
-                    b_out += [b[j] for j in fits[fine].tolist()]
+                    own = x[x_at[i] : x_at[i + 1]]
+                    marked[own] = True
+                    both = np.add.reduceat(marked[y], y_at[:-1], dtype=np.int64)
+                    marked[own] = False
+                    hits = np.flatnonzero((bc != ac[i]) & (100 * both >= per_cent * (an[i] + bn - both)))
+                    hits = hits[np.unique(bc[hits], return_index=True)[1]]
+                    a_out += [a[i].as_py()] * len(hits)
+                    b_out += [b[j].as_py() for j in hits.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
 
     return run
@@ -228,7 +267,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str):
         self.docs, self.classes, self.size, self.per_cent, self.text_col = docs, classes, size, per_cent, text_col
-        self.most, self.links, self.tried = limit(per_cent / 100), None, None
+        self.most, self.links = limit(per_cent / 100), None
         keyed = classes.select(F.explode("bands").alias("key"), "cls").withColumn("c8", F.xxhash64("cls"))
         buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("c8").alias("pivot")).where("m > 1").drop("m")
         self.met = saved(keyed.join(buckets, "key"), "buckets")
@@ -242,34 +281,49 @@ class _Search:
         sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.per_cent
         return pairs.where(sized & _near("s_a", "s_b", self.most)).select("a", "b")
 
-    def across(self, roots: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of different components in one bucket; one side is outside the pivot's component."""
+    def across(self, roots: DataFrame) -> DataFrame:
+        """Pairs of different components in one bucket that reach the similarity; one is outside the pivot's component."""
         named = roots.select(F.col("node").alias("cls"), "root")
-        rows = self.met.join(named, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        first = F.min(F.when(F.col("c8") == F.col("pivot"), F.xxhash64("comp"))).alias("main")
-        mixed = rows.withColumn("p8", F.xxhash64("comp")).groupBy("key").agg(
-            first, F.count("*").alias("m"), F.min("p8").alias("low"), F.max("p8").alias("high")).where("low <> high")
-        rows = rows.join(mixed.select("key", "main", "m"), "key")
-        rows = rows.withColumn("outside", F.xxhash64("comp") != F.col("main")).join(self.classes.select("cls", "n", "sketch"), "cls")
-        rows = rows.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+        rows = self.met.join(named, "cls", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "cls"))).drop("root")
+        rows = rows.join(self._mixed(rows), "key").join(self.classes.select("cls", "n", "sketch"), "cls")
+        pairs = self._tiles(rows, F.lit(CHUNK), ["comp", "cls", "n", "sketch"])
+        left = saved(pairs.mapInArrow(_partnered(self.most, self.per_cent), "key long, cls binary").distinct(), "partnered")
+        sets = self.sets(left.select("cls").distinct())
+        rows = rows.drop("main", "m", "hashes").join(left, ["key", "cls"])
+        rows = rows.join(self._mixed(rows), "key").join(sets, "cls")
+        # a tile has some CHUNK sets of 64 shingles, or as many hashes in fewer sets
+        pairs = self._tiles(rows, F.least(F.lit(CHUNK), 1 + F.floor(64 * CHUNK * F.col("m") / F.col("hashes"))), ["comp", "cls", "n", "set"])
+        return _ordered(pairs.mapInArrow(_linked(self.per_cent), "a binary, b binary"))
+
+    @staticmethod
+    def _mixed(rows: DataFrame) -> DataFrame:
+        """Keys with several components: the pivot's one (or the least, where the pivot is gone), rows and hashes."""
+        pivot = F.min(F.when(F.col("c8") == F.col("pivot"), F.col("comp")))
+        size = F.sum("n") if "n" in rows.columns else F.lit(None).cast("long")
+        return rows.groupBy("key").agg(
+            F.coalesce(pivot, F.min("comp")).alias("main"), F.count("*").alias("m"), size.alias("hashes"),
+            (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
+
+    @staticmethod
+    def _tiles(rows: DataFrame, most: Column, columns: list[str]) -> DataFrame:
+        """(key, home tile, guest tile): all classes of a key outside its main component with all its classes."""
+        rows = rows.withColumn("outside", F.col("comp") != F.col("main")).withColumn("chunks", F.ceil(F.col("m") / most).cast("int"))
         rows = rows.withColumn("chunk", F.pmod(F.col("c8"), F.col("chunks")).cast("int"))
-        tiles = rows.groupBy("key", "chunk", "chunks", "outside").agg(F.collect_list(F.struct("cls", "comp", "n", "sketch")).alias("tile"))
-        tiles = saved(tiles, "tiles")
+        tiles = saved(rows.groupBy("key", "chunk", "chunks", "outside").agg(F.collect_list(F.struct(*columns)).alias("tile")), "tiles")
         homes = tiles.where("outside").select(  # the smaller side goes to the chunks of the other, so that a hot key is many tasks
             "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("home"), F.col("tile").alias("a"))
         guests = tiles.select("key", "chunk", "outside", F.col("tile").alias("b"))
         met = homes.join(guests, ["key", "chunk"]).where(~F.col("outside") | (F.col("chunk") >= F.col("home")))
-        schema = "a binary, b binary"
-        return _ordered(met.select("a", "b").mapInArrow(_compare(self.most, self.per_cent, nearest), schema))
+        return met.select("key", "a", "b")
+
+    def sets(self, needed: DataFrame) -> DataFrame:
+        classes = self.classes.join(needed, "cls").select("cls", F.col("text").alias("_text"))
+        return _full_sets(self.docs, classes, self.size, self.text_col)
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Adds the pairs that reach the similarity on full sets to the links; whether there was any."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "candidates")
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        sets = _full_sets(self.docs, self.classes.join(needed, "cls").select("cls", "text").withColumnRenamed("text", "_text"), self.size, self.text_col)
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         found = saved(both.mapInArrow(_confirmed(self.per_cent), "a binary, b binary"), "links")
@@ -282,9 +336,7 @@ def components(docs: DataFrame, classes: DataFrame, size: int, per_cent: int, te
     search = _Search(docs, classes, size, per_cent, text_col)
     search.confirm(search.by_pivot())
     roots = saved(star_components(search.links), "roots")
-    if search.confirm(search.across(roots, nearest=True)):
-        roots = saved(star_components(search.links), "roots")
-    if search.confirm(search.across(roots, nearest=False)):
+    if search.confirm(search.across(roots)):
         roots = saved(star_components(search.links), "roots")
     return roots
 
