@@ -578,16 +578,19 @@ def fill_rate(spark, sf_dir):
 
 
 @query("resolve_category_code", f"""WITH {S.raw()}, {S.CATEGORY},
-names AS (SELECT lower(trim(split_part(path, ' > ', 3))) AS name, max_by(code, code) AS code FROM cat WHERE path LIKE 'LARGE%' GROUP BY 1)
+names AS (SELECT lower(trim(split_part(path, ' > ', 3))) AS name, max_by(code, code) AS code FROM cat GROUP BY 1),
+named AS (SELECT sid, CATEGORY || CASE CAST(regexp_extract(sid, 'P(\\d+)', 1) AS BIGINT) % 7 WHEN 0 THEN ' Extra!' WHEN 1 THEN ' > other' ELSE '' END AS CATEGORY FROM raw)
 SELECT sid AS "PRODUCT_SET_SID", CATEGORY, coalesce((SELECT code FROM names WHERE name = split_part(CATEGORY, ' > ', 3)),
-  (SELECT code FROM names WHERE name = split_part(CATEGORY, ' > ', 2)), regexp_replace(lower(split_part(CATEGORY, ' > ', 3)), '[^a-z0-9]', '_', 'g')) AS "CATEGORY_CODE"
-FROM raw""")
+  (SELECT code FROM names WHERE name = split_part(CATEGORY, ' > ', 2)), (SELECT code FROM names WHERE name = lower(split_part(CATEGORY, ' > ', 1))), regexp_replace(lower(string_split(CATEGORY, ' > ')[-1]), '[^a-z0-9]', '_', 'g')) AS "CATEGORY_CODE"
+FROM named""")
 def resolve_category_code(spark, sf_dir):
     from shelfcheck.adapter import categories
 
-    names = categories(spark, sf_dir).filter("path LIKE 'LARGE%'").groupBy(
+    names = categories(spark, sf_dir).groupBy(
         F.lower(F.split_part("path", F.lit(" > "), F.lit(3))).alias("name")).agg(F.max("code").alias("code"))
-    rows = catalog(spark, sf_dir).select("PRODUCT_SET_SID", "CATEGORY")
+    kind = F.regexp_extract("PRODUCT_SET_SID", r"P(\d+)", 1).cast("long") % 7
+    tail = F.when(kind == 0, " Extra!").when(kind == 1, " > other").otherwise("")
+    rows = catalog(spark, sf_dir).select("PRODUCT_SET_SID", F.concat("CATEGORY", tail).alias("CATEGORY"))
     return P.resolve_category_code(rows, names)
 
 
@@ -886,16 +889,19 @@ def keyword_category(spark, sf_dir):
     return L.keyword_categories(rows.select(L.query_string(rows).alias("query")), reference(spark, sf_dir))
 
 
-@query("resolve_category", f"""WITH {S.CATEGORY}, r AS (SELECT CAST(code AS BIGINT) AS seq, path, 'E' || code AS export FROM cat WHERE path LIKE 'LARGE%'),
-t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN substr(c.path, instr(c.path, ' > ') + 3) ELSE c.path END AS category
+@query("resolve_category", f"""WITH {S.CATEGORY}, r AS (SELECT CAST(code AS BIGINT) AS seq, path, 'E' || code AS export FROM cat),
+t AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN substr(c.path, instr(c.path, ' > ') + 3) WHEN 1 THEN 'Shop > ' || c.path
+  WHEN 2 THEN c.path || ' other' ELSE c.path END AS category
   FROM part JOIN cat c ON c.path = p_type || ' > ' || split_part(p_name, ' ', 2) || ' > ' || split_part(p_name, ' ', 1))
 SELECT category, coalesce((SELECT max_by(export, seq) FROM r WHERE path = category),
   (SELECT min_by(export, seq) FROM r WHERE ends_with(path, category) OR ends_with(category, path)), category) AS export FROM t""")
 def resolve_category(spark, sf_dir):
     paths = table(spark, sf_dir, "part").select(
         F.concat_ws(" > ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("path"), "p_partkey")
-    rows = paths.select(F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("path", "^[^>]* > ", "")).otherwise(F.col("path")).alias("category"))
-    return L.resolve_category(rows, reference(spark, sf_dir).filter("path LIKE 'LARGE%'"))
+    kind = F.col("p_partkey") % 5
+    rows = paths.select(F.when(kind == 0, F.regexp_replace("path", "^[^>]* > ", "")).when(kind == 1, F.concat(F.lit("Shop > "), "path")).when(
+        kind == 2, F.concat("path", F.lit(" other"))).otherwise(F.col("path")).alias("category"))
+    return L.resolve_category(rows, reference(spark, sf_dir))
 
 
 @query("value_tags", f"WITH {MASTER_SQL} SELECT DISTINCT type AS tag FROM master UNION SELECT DISTINCT family FROM master")
@@ -1045,6 +1051,10 @@ def category_rules(spark, sf_dir) -> RuleSet:
 # Listings in a category other than their own: the type level is rotated for every third model.
 ROTATED = "replace(replace(replace(CATEGORY, 'ECONOMY', 'LARGE'), 'MEDIUM', 'SMALL'), 'bolt', 'rod')"
 
+# Of these, some without a category and some under Miscellaneous; and codes, of which a third are blank.
+GIVEN = f"CASE WHEN coalesce(try_cast({{code}} AS BIGINT), 0) % 7 = 0 THEN '' WHEN coalesce(try_cast({{code}} AS BIGINT), 0) % 11 = 0 THEN 'Miscellaneous' ELSE {ROTATED} END"
+GIVEN_CODE = "CASE WHEN coalesce(try_cast({code} AS BIGINT), 0) % 3 = 1 THEN '' ELSE {code} END"
+
 
 # Names with their clean text, the twenty nearest categories with the keyword boost of each, and the staged choice.
 PREDICTED_SQL = f"""{INDEX_SQL},
@@ -1084,8 +1094,11 @@ def _long_words_sql(c: str) -> str:
 
 WRONG_SQL = f"""WITH {S.prepared()}, {S.CATEGORY}, {PREDICTED_SQL},
 paths AS (SELECT lower(path) AS lp, max_by(path, CAST(code AS BIGINT)) AS path FROM cat GROUP BY 1),
-listed AS (SELECT sid, p.NAME, predicted, trim({ROTATED}) AS cur FROM p LEFT JOIN predicted ON predicted.NAME = p.NAME),
-both_paths AS (SELECT l.*, lower(cur) AS cl, coalesce(paths.path, cur) AS full_path FROM listed l LEFT JOIN paths ON lp = lower(cur)),
+given AS (SELECT sid, p.NAME, predicted, trim({GIVEN.format(code="cat")}) AS given, {GIVEN_CODE.format(code="cat")} AS code
+  FROM p LEFT JOIN predicted ON predicted.NAME = p.NAME),
+listed AS (SELECT sid, NAME, predicted, cat.path AS code_path, CASE WHEN lower(given) IN ('', 'nan', 'none', 'miscellaneous')
+  THEN coalesce(cat.path, given) ELSE given END AS cur FROM given LEFT JOIN cat USING (code)),
+both_paths AS (SELECT l.*, lower(cur) AS cl, coalesce(code_path, paths.path, cur) AS full_path FROM listed l LEFT JOIN paths ON lp = lower(cur)),
 levels AS (SELECT *, {_levels_sql('predicted')} AS pl, {_levels_sql('cur')} AS lv, {_levels_sql('full_path')} AS fl FROM both_paths
   WHERE cl NOT IN ('', 'nan', 'none'))
 SELECT sid, 'Wrong Category' AS flag, CASE WHEN contains(cl, 'miscellaneous') THEN 'Category is ''Miscellaneous'''
@@ -1102,8 +1115,10 @@ WHERE contains(cl, 'miscellaneous') OR (predicted <> '' AND lower(predicted) <>
 
 @query("wrong_category", WRONG_SQL)
 def wrong_category(spark, sf_dir):
-    base = catalog(spark, sf_dir).drop("CATEGORY_CODE").withColumn("CATEGORY", F.expr(ROTATED)).withColumn("CATEGORY_CODE", F.lit(""))
-    return M.wrong_category(materialize(cat.prepare_catalog(base), "prepared"), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
+    rows = prepared(spark, sf_dir).withColumns({
+        "CATEGORY": F.expr(GIVEN.format(code="substring_index(CATEGORY_CODE, '.', 1)")),
+        "CATEGORY_CODE": F.expr(GIVEN_CODE.format(code="substring_index(CATEGORY_CODE, '.', 1)"))})
+    return M.wrong_category(materialize(rows, "given"), category_rules(spark, sf_dir), stop_words=STOPS).select("sid", "flag", "detail")
 
 
 @query("predicted_categories", f"WITH {S.prepared()}, {S.CATEGORY}, {PREDICTED_SQL} SELECT NAME, predicted FROM predicted")

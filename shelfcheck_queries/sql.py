@@ -369,7 +369,8 @@ WHERE rn = 1 AND (seller IS NULL OR seller <> seller_l)""",
 
 
 def hit(text: str, word_expr: str) -> str:
-    return f"regexp_matches({text}, '(?:^|[^\\w])' || {word_expr} || '(?:$|[^\\w])')"
+    # the pattern differs from row to row, so it is built only where the word occurs at all
+    return f"CASE WHEN contains({text}, {word_expr}) THEN regexp_matches({text}, '(?:^|[^\\w])' || {word_expr} || '(?:$|[^\\w])') ELSE FALSE END"
 
 
 def prohibited_sql() -> str:
