@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 
-from shelfcheck.llm import fim, oddsketch, whitening
+from shelfcheck.llm import fim, oddsketch, secret_scan, whitening
 
 from .test_queries import counted, four_word_set, linked_components
 
@@ -144,3 +145,100 @@ def test_forms_are_reversible(text):
         assert fim.restore(form, out) == text
     assert forms == ({"plain"} if text in ("", "<P>") else {"psm", "spm"})
     assert {fim.transform(i, text, rate=0)[1] for i in range(20)} == {"plain"}
+
+
+# ---------------------------------------------------------------------------
+# Secret scan: forms, time, generated files
+# ---------------------------------------------------------------------------
+
+SECRET = "aB3dE5gH9kLm2"
+
+
+@pytest.mark.parametrize("text", [
+    "don't set client_key = \"%s\", it's live", "# user's note: auth_key = '%s'", "# the users' note: auth_key = '%s'",
+    'private_key = ("%s")', 'private_key = f"%s"', "private_key = rb'%s'", 'private_key = """%s"""', "private_key = '''\n  %s\n'''",
+    '#define CLIENT_AUTH_KEY "%s"', "<private_key>%s</private_key>", '<add key="db_passphrase" value="%s"/>', 'private_key:\n  "%s"\n',
+    "private_key: >-\n  %s\n", 'config.set("db_passphrase", "%s")', 'Authorization: "Bearer %s"', "Authorization: Bearer %s",
+    'secretkey = "%s"', 'accesskey = "%s"', 'privatekey = "%s"', 'authkey = "%s"', 'dbpass = "%s"', 'userpwd = "%s"', 'auth_tokens = ["%s"]',
+    'auth_tokens = ["zZ9yY8xX7wW6", "%s",\n "qQ1wW2eE3rR4"]', 'signing_key = "%s"', 'encryption_key = "%s"', '{\\"private_key\\": \\"%s\\"}',
+    "let k: &'static str = \"%s\"; let private_key = k;", 'private_key = os.getenv("PRIVATE_KEY", "%s")', '{"a": "it\'s", "private_key": "%s"}'])
+def test_forms_of_secrets(text):
+    text %= SECRET
+    found = [text[a:b] for a, _, b in secret_scan.lexed_spans(text, [])]
+    assert SECRET in found and not {"os.getenv", "PRIVATE_KEY"} & set(found)
+
+
+@pytest.mark.parametrize("text", ['monkey = "%s"', 'passport_no = "%s"', 'compass: "%s"', 'author: "%s"', 'tokenizer = "%s"', "private_key = read(%s)",
+                                  "it's a pass: 'abc' key", "The key, in short: walk slowly and well", 'row.set("colour", "%s")'])
+def test_ordinary_texts_have_no_secret(text):
+    text = text % SECRET if "%s" in text else text
+    assert secret_scan.lexed_spans(text, []) == []
+
+
+def test_closings_equal_a_scan_from_each_mark():
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice('"\'`\\\\ab=\n ') for _ in range(rng.randint(0, 40)))
+        got = secret_scan._closings(text)
+        run = lambda i: len(text[:i]) - len(text[:i].rstrip("\\"))
+        for i, c in enumerate(text):
+            if c not in "\"'`":
+                assert i not in got
+                continue
+            own = run(i) if run(i) % 2 and c != "`" else 0
+            line = text.find("\n", i) if "\n" in text[i:] else len(text)
+            ends = [j for j in range(i + 1, line) if text[j] == c and (run(j) if run(j) % 2 and c != "`" else 0) == own]
+            assert got.get(i) == ((ends[0] - own, ends[0]) if ends else None)
+
+
+@pytest.mark.parametrize("unit", ['{\\"a\\": \\"b\\", \\"key\\": 1} ', "don't \"x 'k ` key= ", 'private_key["a"]["b"]', "\"\"\"'''key=", "\\\\\\ key=",
+                                  "<key a key: <key>x", "key: ( key: [ a: b = ", '"a", ("key", "b" '])
+def test_lexing_takes_time_in_proportion(unit):
+    def took(n):
+        start = time.perf_counter()
+        secret_scan.lexed_spans("private_key " + unit * (n // len(unit)), [])
+        return time.perf_counter() - start
+
+    took(1 << 12)
+    assert took(1 << 20) < 40 * took(1 << 16) + 2
+
+
+def test_ten_megabytes_of_escaped_json():
+    start = time.perf_counter()
+    assert secret_scan.lexed_spans("key " + '{\\"a\\": \\"b\\"} ' * 770_000, []) == []
+    assert time.perf_counter() - start < 240
+
+
+def generated(rng):
+    """(text, secrets) of a source or configuration file; the base patterns find none of the secrets."""
+    value = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rng.randint(12, 32)))
+    name = rng.choice(["private_key", "auth_key", "db_passphrase", "signing_key", "accesskey", "clientCredential", "smtp_pwd", "encryptionKey"])
+    plain = rng.choice(["region", "colour", "monkey", "author", "user_name", "key_size", "title", "checksum_of_page"])
+    forms = {
+        "py": '{n} = "{v}"\n', "py2": "self.{n}: str = '{v}'\n", "py3": 'os.environ["{n}"] = ("{v}")\n', "go": 'var {n} string = "{v}"\n', "go2": '{n} := "{v}"\n',
+        "java": 'private static final String {n} = "{v}";\n', "java2": 'props.setProperty("{n}", "{v}");\n', "yaml": "{n}: {v}\n", "yaml2": '{n}:\n  "{v}"\n',
+        "toml": '{n} = "{v}"\n', "env": "export {n}={v}\n", "json": '  "{n}": "{v}",\n', "sh": "{n}='{v}'\n", "c": '#define {n} "{v}"\n', "xml": "<{n}>{v}</{n}>\n",
+        "js": "const k = '{v}';\nlet {n} = k;\n"}
+    form = forms[rng.choice(sorted(forms))]
+    text, secrets = "# it's the users' file, don't edit\n", []
+    for _ in range(rng.randint(1, 6)):
+        v = value()
+        secret = rng.random() < 0.5
+        if secret:
+            secrets.append(v)
+        text += form.format(n=name if secret else plain, v=v) + rng.choice(["", "# note: all's well\n", "\n"])
+    return text, secrets
+
+
+def test_generated_files_precision_and_recall():
+    rng = random.Random(12)
+    hits = wrong = total = 0
+    for _ in range(2000):
+        text, secrets = generated(rng)
+        base = secret_scan.base_spans(text)
+        found = [text[a:b] for a, _, b in secret_scan.lexed_spans(text, base)]
+        hits += sum(x in secrets for x in found)
+        wrong += sum(x not in secrets for x in found)
+        total += len(secrets)
+    print("recall", hits / total, "precision", hits / (hits + wrong))
+    assert hits >= 0.97 * total and hits >= 0.97 * (hits + wrong)
