@@ -185,9 +185,9 @@ def _confirmed(per_cent: int):
     return run
 
 
-def _near(a: str, b: str, most: int) -> Column:
+def _near(a: str, b: str, most: int, words: int) -> Column:
     """Native population count of the exclusive-or of two sketches, within the limit."""
-    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)]
     return sum(bits[1:], bits[0]) <= most
 
 
@@ -265,9 +265,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 class _Search:
     """The classes of one corpus and how they meet; every step is a written table."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str):
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str, most: int, words: int):
         self.docs, self.classes, self.size, self.per_cent, self.text_col = docs, classes, size, per_cent, text_col
-        self.most, self.links = limit(per_cent / 100), None
+        self.most, self.words, self.links = most, words, None
         keyed = classes.select(F.explode("bands").alias("key"), "cls").withColumn("c8", F.xxhash64("cls"))
         buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("c8").alias("pivot")).where("m > 1").drop("m")
         self.met = saved(keyed.join(buckets, "key"), "buckets")
@@ -279,7 +279,7 @@ class _Search:
         for side in "ab":
             pairs = pairs.join(own.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
         sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.per_cent
-        return pairs.where(sized & _near("s_a", "s_b", self.most)).select("a", "b")
+        return pairs.where(sized & _near("s_a", "s_b", self.most, self.words)).select("a", "b")
 
     def across(self, roots: DataFrame) -> DataFrame:
         """Pairs of different components in one bucket that reach the similarity; one is outside the pivot's component."""
@@ -331,9 +331,13 @@ class _Search:
         return not found.isEmpty()
 
 
-def components(docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str) -> DataFrame:
-    """(node, root) of the classes that have a link. ``classes`` is a written table: cls, n, text, sketch, bands."""
-    search = _Search(docs, classes, size, per_cent, text_col)
+def components(docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str, most: int | None = None,
+               words: int = BITS // 64) -> DataFrame:
+    """(node, root) of the classes that have a link. ``classes`` is a written table: cls, n, text, sketch, bands.
+
+    ``most`` bounds the bits by which the sketches, of so many 64-bit words, of a linked pair differ.
+    """
+    search = _Search(docs, classes, size, per_cent, text_col, limit(per_cent / 100) if most is None else most, words)
     search.confirm(search.by_pivot())
     roots = saved(star_components(search.links), "roots")
     if search.confirm(search.across(roots)):

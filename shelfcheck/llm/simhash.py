@@ -161,6 +161,117 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
     return prints.join(named, "fp").select(id_col, *keys, "fp", "component_id")
 
 
+# ---------------------------------------------------------------------------
+# Groups of verified similarity
+# ---------------------------------------------------------------------------
+
+#: Fingerprints of a text for the search at a similarity of word shingles, each with a hash function of its own over
+#: pairs of words; bands are so many bits wide, and linked texts differ by so many bits at most.
+FINGERPRINTS, BAND_BITS, WIDE_RADIUS = 8, 20, 112
+
+
+def gram_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """64-bit hashes of the word n-grams of each run of word hashes; a shorter run is one gram, an empty run none."""
+
+    def rolled(w: np.ndarray, k: int) -> np.ndarray:
+        g = np.full(len(w) - k + 1, 0x243F6A8885A308D3, np.uint64)
+        for j in range(k):
+            g = (g ^ w[j : len(w) - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            g ^= g >> np.uint64(32)
+        return g
+
+    whole = rolled(hashes, size) if len(hashes) >= size else np.empty(0, np.uint64)
+    return [whole[a : b - size + 1] if b - a >= size else rolled(hashes[a:b], b - a) if b > a else hashes[:0]
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def wide_fingerprints(grams: list[np.ndarray]) -> np.ndarray:
+    """FINGERPRINTS majorities over seeded hashes, as words of one row for each list of hashes."""
+    offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
+    flat, out = np.concatenate([np.empty(0, np.uint64), *grams]), []
+    for seed in range(FINGERPRINTS):
+        mixed = (flat ^ np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        out.append(majority(mixed * np.uint64(0x9E3779B97F4A7C15), offsets))
+    return np.stack(out, 1) if grams else np.empty((0, FINGERPRINTS), np.uint64)
+
+
+def band_values(words: np.ndarray) -> np.ndarray:
+    """Numbered values of the bands of BAND_BITS bits of each row of words."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+    n = bits.shape[1] // BAND_BITS
+    values = bits[:, : n * BAND_BITS].reshape(len(words), n, BAND_BITS).astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+    return values + (np.arange(n, dtype=np.int64) << BAND_BITS)
+
+
+def _grouped(size: int):
+    def run(batches) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column(part.num_columns - 1)
+                offsets = np.asarray(lists.offsets)
+                flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
+                offsets = (offsets - offsets[0]).astype(np.int64)
+                sets = [np.unique(g) for g in gram_hashes(flat, offsets, size)]
+                words = wide_fingerprints(gram_hashes(flat, offsets, 2))
+                bands = band_values(words)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                     pa.array(list(words.view(np.int64)), longs), pa.array([b if len(s) else [] for b, s in zip(bands, sets, strict=True)], longs)],
+                    [*part.schema.names[:-1], "_n", "_cls", "_sketch", "_bands"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                   keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: the id, ``keys`` and component_id, the smallest id that links of this similarity reach.
+
+    Candidates agree in a band of one of their fingerprints over pairs of words and differ by ``WIDE_RADIUS`` bits at
+    most; they are confirmed by the Jaccard similarity of their sets of word shingles. A pair that has just the
+    similarity by edits spread over a long text is met with a probability of 0.97, one above it sooner. Texts without
+    words are equal; null ids are never the smallest.
+    """
+    from . import oddsketch
+
+    hashes = F.transform(words(F.col(text_col), NON_SPACE_GAP), lambda w: F.xxhash64(w))
+    text = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = docs.select(F.col(id_col).alias("_id"), *keys, text.alias("_text"), hashes.alias("_h"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_h").dtypes)
+    rows = saved(rows.mapInArrow(_grouped(size), schema + ", _n long, _cls binary, _sketch array<long>, _bands array<long>"), "wide-prints")
+    classes = saved(rows.groupBy(F.col("_cls").alias("cls")).agg(
+        F.min("_id").alias("first"), F.min("_text").alias("text"), F.first("_n").alias("n"), F.first("_sketch").alias("sketch"),
+        F.first("_bands").alias("bands")), "wide-classes")
+    roots = oddsketch.components(docs, classes, size, per_cent, text_col, WIDE_RADIUS, FINGERPRINTS)
+    named = classes.select("cls", "first").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    named = saved(named.select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-named")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = saved(named.join(least, "root").select(F.col("cls").alias("_cls"), F.col("root").alias("_root"), "component_id"), "wide-ids")
+    return rows.select("_id", *keys, "_cls").join(named, "_cls").select(F.col("_id").alias(id_col), *keys, "_root", "component_id")
+
+
+def _first_of_each(docs: DataFrame, found, group: str, id_col: str, text_col: str) -> DataFrame:
+    """The documents, all columns, with one row of each group of ``found(keyed)``: the smallest id, of equal ids one row."""
+    keyed = docs.withColumn("_llm_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    best = found(keyed).groupBy(group).agg(
+        F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_llm_key").alias("k"))).alias("m"))
+    best = best.select(F.col("m.i").alias("_llm_id"), F.col("m.k").alias("_llm_k")).distinct()
+    kept = keyed.join(best, keyed[id_col].eqNullSafe(F.col("_llm_id")) & (keyed["_llm_key"] == F.col("_llm_k")), "left_semi")
+    return kept.dropDuplicates([id_col, "_llm_key"]).select(docs.columns)
+
+
+def one_of_similar(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row of each group of ``similar_groups``: the smallest id, of equal ids one row."""
+    return _first_of_each(docs, lambda keyed: similar_groups(keyed, size, per_cent, id_col, text_col, ("_llm_key",)), "_root", id_col, text_col)
+
+
 def one_of_each(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one row of each component: the smallest id, of equal ids one row."""
     keyed = docs.withColumn("_llm_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
