@@ -102,6 +102,11 @@ class PieceEncoder:
         return b"".join([self._encode([p])[0] for p in pieces])
 
 
+def release() -> None:
+    """Lets go of the tables of ids, so that a worker that turns to another operator has their memory again."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each vocabulary file and Python process."""
     if path not in _ENCODERS:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, groups
+from .pieces import release
 
 WIDTH, STEP, BLOCK, FILTERS, EMBED = 8, 2, 32, 16, 6
 SAMPLE, LONGEST = 2500, 32_768
@@ -175,6 +176,7 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text", out: str = "sc
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        release()
         for batch in batches:
             data, offsets = buffers(batch.column(at))
             parts = [scores(net, data, offsets[a : b + 1]) for a, b in groups(offsets)]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACE_GAP, saved, words
 from .components import star_components
+from .pieces import release
 
 BLOCKS, CHUNK = 4, 2048
 _LANES = np.uint64(0x0001000100010001)
@@ -210,6 +211,7 @@ def _grouped(size: int):
 
         import pyarrow as pa
 
+        release()
         longs = pa.list_(pa.int64())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
