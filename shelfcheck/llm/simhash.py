@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str
 
 #: Fingerprints of a text for the search at a similarity of word shingles, each with a hash function of its own over
 #: pairs of words; bands are so many bits wide, and linked texts differ by so many bits at most.
-FINGERPRINTS, BAND_BITS, WIDE_RADIUS = 8, 20, 112
+FINGERPRINTS, BAND_BITS, WIDE_RADIUS = 12, 24, 168
 
 
 def gram_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
