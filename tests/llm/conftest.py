@@ -63,7 +63,7 @@ def corpus(tmp_path_factory):
         (25, 'k = "q8ZkP0wXv3Lm9"\napi_secret = k\n{"db_passwd": "zzzzzzzz"}'), (26, "token = token=abcdefghij secret:secret:secretsecret"),
         (28, "Licensed under the Apache License, Version 2.0. MIT license mit LICENSE"),
         (29, "the GNU General Public License general public; license mit"), (31, "MIT"), (32, "ﬁne Ａ1 Ünïcode \U0001f600 straße İ"),
-        (40, "<P>marked\nlines\n"), (41, "\n\n\n"), (43, "".join(f"line {i} 😀é <\n" for i in range(5000)) + "<S"), (44, "one\r\ntwo\u2028three"),
+        (40, "<P>marked\nlines\n"), (41, "\n\n\n"), (43, "".join(f"line {i} 😀é <\n" for i in range(300)) + "<S"), (44, "one\r\ntwo\u2028three"),
         (34, "a  b   c\n\nd <|endoftext|> don't  "), (35, "."), (37, ".."), (38, "The.."),
     ]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(rng, 60).split())) for i in range(60)]
