@@ -262,6 +262,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _with_class(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows with the columns that ``table`` has for their class.
+
+    A class is joined once with the list of its rows, one for each band at most, not once for each row.
+    """
+    own = [c for c in rows.columns if c != "cls"]
+    listed = rows.groupBy("cls").agg(F.collect_list(F.struct(*own)).alias("_rows")).join(table, "cls")
+    extra = [c for c in table.columns if c != "cls"]
+    return listed.select("cls", *extra, F.explode("_rows").alias("_r")).select("_r.*", "cls", *extra)
+
+
 class _Search:
     """The classes of one corpus and how they meet; every step is a written table."""
 
@@ -285,12 +296,12 @@ class _Search:
         """Pairs of different components in one bucket that reach the similarity; one is outside the pivot's component."""
         named = roots.select(F.col("node").alias("cls"), "root")
         rows = self.met.join(named, "cls", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "cls"))).drop("root")
-        rows = rows.join(self._mixed(rows), "key").join(self.classes.select("cls", "n", "sketch"), "cls")
+        rows = _with_class(rows.join(self._mixed(rows), "key"), self.classes.select("cls", "n", "sketch"))
         pairs = self._tiles(rows, F.lit(CHUNK), ["comp", "cls", "n", "sketch"])
         left = saved(pairs.mapInArrow(_partnered(self.most, self.per_cent), "key long, cls binary").distinct(), "partnered")
         sets = self.sets(left.select("cls").distinct())
-        rows = rows.drop("main", "m", "hashes").join(left, ["key", "cls"])
-        rows = rows.join(self._mixed(rows), "key").join(sets, "cls")
+        rows = rows.drop("main", "m", "hashes", "sketch").join(left, ["key", "cls"])
+        rows = _with_class(rows.join(self._mixed(rows), "key"), sets)
         # a tile has some CHUNK sets of 64 shingles, or as many hashes in fewer sets
         pairs = self._tiles(rows, F.least(F.lit(CHUNK), 1 + F.floor(64 * CHUNK * F.col("m") / F.col("hashes"))), ["comp", "cls", "n", "set"])
         return _ordered(pairs.mapInArrow(_linked(self.per_cent), "a binary, b binary"))
