@@ -140,3 +140,30 @@ def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('PRODUCT_SET_SID,NAME\nx1,"first line\nline two"\nx2,"say ""hi"""\n', encoding="utf-8")
     rows = {r["PRODUCT_SET_SID"]: r["NAME"] for r in read_catalog_csv(spark, str(tmp_path / "a.csv")).collect()}
     assert rows == {"x1": "first line\nline two", "x2": 'say "hi"'}
+
+
+def test_records_over_many_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(5)
+    pieces = ["plain", 'say "hi"', "two\nlines", "\n\nblank", "a;b", "a,b", "tab\tin", '"', "é", "x" * 90, "long\n" * 60, "5\" wide", ""]
+    rows = [[str(i), "".join(rng.choice(pieces) for _ in range(3)), rng.choice(pieces)] for i in range(900)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for sep, encoding in [(",", "utf-8"), (";", "cp1252"), ("\t", "utf-8")]:
+            path = tmp_path / f"r{ord(sep)}.csv"
+            with open(path, "w", encoding=encoding, newline="") as f:
+                out = csv.writer(f, delimiter=sep, lineterminator="\n")
+                out.writerow(["PRODUCT_SET_SID", "NAME", "BRAND"])
+                out.writerows(rows)
+                f.write(f'900{sep}7" screen{sep}unquoted\n\n901{sep}"end{sep}""\nlast"{sep}')
+            df = files.read_catalog_csv(spark, str(path))
+            assert df.select("_seq.block").distinct().count() > 20
+            got = [[r["PRODUCT_SET_SID"], r["NAME"] or "", r["BRAND"] or ""] for r in df.orderBy("_seq").collect()]
+            assert got == [*rows, ["900", '7" screen', "unquoted"], ["901", f'end{sep}"\nlast', ""]], (sep, encoding)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
