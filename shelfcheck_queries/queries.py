@@ -1310,3 +1310,6 @@ def visual_duplicates(spark, sf_dir):
         F.col("vec_id").cast("string").alias("PRODUCT_SET_SID"), F.col("label").alias("_seller_lower"), "origin",
         I.sign_signature("embedding").alias("signature"))
     return I.first_partners(rows).select("sid", "other", F.round("similarity", 6).alias("similarity"))
+
+
+from shelfcheck_queries import sources  # noqa: E402, F401
