@@ -157,8 +157,8 @@ def load_refurb_sellers(spark, sf_dir):
     return rules.load_refurb_sellers(sheet, "KE").select("program", "seller").distinct()
 
 
-@query("load_price_caps", """SELECT 'KE' AS country, CAST(p_partkey AS VARCHAR) AS code, p_size * 100.0 AS cap_local FROM part
-UNION ALL SELECT 'UG', CAST(p_partkey AS VARCHAR), p_size * 10.0 FROM part WHERE p_partkey % 2 = 0""")
+@query("load_price_caps", """SELECT 'KE' AS country, CAST(p_partkey AS VARCHAR) AS code, CAST(p_size * 100 AS DOUBLE) AS cap_local FROM part
+UNION ALL SELECT 'UG', CAST(p_partkey AS VARCHAR), CAST(p_size * 10 AS DOUBLE) FROM part WHERE p_partkey % 2 = 0""")
 def load_price_caps(spark, sf_dir):
     sheet = table(spark, sf_dir, "part").selectExpr(
         "p_name AS name", "concat('00', p_partkey) AS category_code", "CAST(p_size * 100 AS STRING) AS KE",
@@ -235,3 +235,111 @@ def lookup_inputs(spark, sf_dir):
     rows = catalog(spark, sf_dir).select("_seq", F.when(key % 2 == 0, link).otherwise(F.col("PRODUCT_SET_SID")).alias("line"))
     found = P.parse_lookup_inputs(rows, [("shop.co.ke", "KE"), ("shop.com.ng", "NG")])
     return found.select("input", "sku", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("country_hint", F.lit("")).alias("country"))
+
+
+@query("choose_prices", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(CAST(p_size AS DOUBLE) AS VARCHAR)
+  ELSE CAST(round(p_retailprice, 2) AS VARCHAR) END AS sale, sale AS regular FROM part""")
+def choose_prices(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("KSh "), F.format_number("p_retailprice", 2))).otherwise("").alias("SALE_PRICE"),
+        F.concat(F.lit("KES "), F.col("p_size").cast("string")).alias("PRICE"))
+    return P.choose_prices(rows).select("p_partkey", F.col("GLOBAL_SALE_PRICE").alias("sale"), F.col("GLOBAL_PRICE").alias("regular"))
+
+
+@query("variation_list", """SELECT p_partkey, nullif(concat_ws(' | ', CASE WHEN p_size % 2 = 0 THEN 'Red' END, CASE WHEN p_size % 3 = 0 THEN 'S,M' END), '')
+  AS variations FROM part""")
+def variation_list(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_size % 2 = 0 THEN 'Red' ELSE 'nan' END AS COLOR",
+                                                   "CASE WHEN p_size % 3 = 0 THEN 'S,M' END AS SIZES_AVAILABLE")
+    return P.build_variation_list(rows).select("p_partkey", F.col("LIST_VARIATIONS").alias("variations"))
+
+
+@query("fill_missing_image", f"""WITH {S.raw()}
+SELECT sid AS "PRODUCT_SET_SID", CASE WHEN COLOR IS NULL THEN '' ELSE 'c' END AS mark,
+  coalesce(max(CASE WHEN partkey % 2 = 0 THEN MAIN_IMAGE END) OVER (PARTITION BY sid), '') AS "MAIN_IMAGE" FROM raw""")
+def fill_missing_image(spark, sf_dir):
+    rows = catalog(spark, sf_dir)
+    even = F.split_part(F.substring("PRODUCT_SET_SID", 2, 40), F.lit("-"), F.lit(1)).cast("long") % 2 == 0
+    own = rows.select("PRODUCT_SET_SID", F.when(F.col("COLOR").isNull(), "").otherwise("c").alias("mark"))
+    return P.fill_missing_image(own, rows.where(even).select("PRODUCT_SET_SID", "MAIN_IMAGE"))
+
+
+@query("category_fallback", f"""WITH {S.raw()} SELECT sid AS "PRODUCT_SET_SID", CASE WHEN COLOR = 'Red' THEN 'path of ' || BRAND ELSE CATEGORY END AS "CATEGORY" FROM raw""")
+def category_fallback(spark, sf_dir):
+    rows = catalog(spark, sf_dir).select(
+        "PRODUCT_SET_SID", F.when(F.col("COLOR") == "Red", "").otherwise(F.col("CATEGORY")).alias("CATEGORY"),
+        F.concat(F.lit("path of "), "BRAND").alias("CATEGORY_PATH"))
+    return P.category_fallback(rows).select("PRODUCT_SET_SID", "CATEGORY")
+
+
+@query("unresolved_categories", f"""WITH {S.raw()} SELECT DISTINCT CATEGORY AS "CATEGORY" FROM raw WHERE COLOR IS NULL""")
+def unresolved_categories(spark, sf_dir):
+    code = F.when(F.col("COLOR").isNotNull(), F.substring_index("CATEGORY_CODE", ".", 1)).otherwise("open")
+    return P.unresolved_categories(catalog(spark, sf_dir).select("CATEGORY", code.alias("CATEGORY_CODE")))
+
+
+@query("resolved_count", f"""WITH {S.raw()} SELECT count(COLOR) AS resolved, count(*) AS total FROM raw""")
+def resolved_count(spark, sf_dir):
+    code = F.when(F.col("COLOR").isNotNull(), F.substring_index("CATEGORY_CODE", ".", 1)).otherwise("open")
+    return P.resolved_count(catalog(spark, sf_dir).select(code.alias("CATEGORY_CODE")))
+
+
+@query("filter_seller", f"""WITH {S.raw()} SELECT sid AS "PRODUCT_SET_SID", SELLER_NAME AS "SELLER_NAME" FROM raw
+WHERE SELLER_NAME IN ('Supplier#000000003', 'Supplier#000000007')""")
+def filter_seller(spark, sf_dir):
+    from shelfcheck.operators.catalog import filter_values
+
+    rows = catalog(spark, sf_dir).select("PRODUCT_SET_SID", "SELLER_NAME")
+    return filter_values(rows, "SELLER_NAME", ["Supplier#000000003", "Supplier#000000007"])
+
+
+@query("load_category_map", "SELECT CAST(p_partkey AS VARCHAR) AS code, p_type || ' / ' || p_name AS path, p_partkey AS seq FROM part")
+def load_category_map(spark, sf_dir):
+    sheet = _sheet(spark, sf_dir, "part", "p_partkey", category_name="p_name", category_code="concat(p_partkey, '.0')",
+                   Category_Path="concat(p_type, ' / ', p_name)")
+    return rules.load_category_map(sheet).select("code", "path", "seq")
+
+
+@query("load_category_names", """SELECT lower(p_name) AS name, CAST(max(p_partkey) AS VARCHAR) AS code FROM part GROUP BY 1
+UNION ALL SELECT 'seg ' || p_size, CAST(min(p_partkey) AS VARCHAR) FROM part GROUP BY 1""")
+def load_category_names(spark, sf_dir):
+    sheet = _sheet(spark, sf_dir, "part", "p_partkey", category_name="initcap(p_name)", category_code="concat(p_partkey, '.0')",
+                   Category_Path="concat(p_type, ' / Seg ', p_size)")
+    return rules.load_category_names(sheet)
+
+
+@query("load_ng_rice", """SELECT lower(p_brand) AS brand, list_sort(list_append(list(DISTINCT 'seller ' || (p_size % 4)), 'x')) AS sellers,
+  list_sort(list(DISTINCT CAST(p_size AS VARCHAR))) AS categories FROM part GROUP BY 1""")
+def load_ng_rice(spark, sf_dir):
+    sheet = table(spark, sf_dir, "part").selectExpr("p_brand AS Brand", "concat('Seller ', p_size % 4, ', X') AS Sellers", "concat(p_size, '.0') AS Cat")
+    return rules.load_ng_rice(sheet).select("brand", "sellers", "categories")
+
+
+@query("load_ng_tvs", """SELECT DISTINCT 'lg' AS brand, lower(s_name) AS seller FROM supplier WHERE s_suppkey % 2 = 0
+UNION SELECT 'sony', lower(s_name) FROM supplier WHERE s_suppkey % 3 = 0""")
+def load_ng_tvs(spark, sf_dir):
+    sheet = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS Category", "CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS LG",
+                                                        "CASE WHEN s_suppkey % 3 = 0 THEN concat(s_name, ' ') END AS Sony")
+    return rules.load_ng_tvs(sheet)[1]
+
+
+@query("load_ma_brands", """SELECT lower(p_brand) || ' ' || p_size AS brand,
+  list_sort(coalesce(list(DISTINCT 'vendor ' || (p_partkey % 5)) FILTER (WHERE p_partkey % 3 = 0), []::VARCHAR[])) AS sellers FROM part GROUP BY 1""")
+def load_ma_brands(spark, sf_dir):
+    sheet = _sheet(spark, sf_dir, "part", "p_partkey", Restricted_Brand="concat(p_brand, ' ', p_size)",
+                   Authorized_Vendors="CASE WHEN p_partkey % 3 = 0 THEN concat('Vendor ', p_partkey % 5) END")
+    restricted, prohibited = rules.load_ma_brands(sheet)
+    none = F.array().cast("array<string>").alias("sellers")
+    return restricted.select("brand", "sellers").unionByName(prohibited.select("brand", none))
+
+
+@query("load_keyword_list", "SELECT DISTINCT 'refurb' AS program, lower(p_name) AS keyword FROM part")
+def load_keyword_list(spark, sf_dir):
+    sheet = table(spark, sf_dir, "part").selectExpr("concat(' ', initcap(p_name)) AS Keywords")
+    return rules.load_keyword_list(sheet, "refurb").select("program", "keyword")
+
+
+@query("load_category_list", "SELECT DISTINCT 'books' AS program, CAST(p_size AS VARCHAR) AS code FROM part")
+def load_category_list(spark, sf_dir):
+    sheet = table(spark, sf_dir, "part").selectExpr("concat(p_size, '.0') AS Categories")
+    return rules.load_category_list(sheet, "books").select("program", "code")

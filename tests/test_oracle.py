@@ -13,6 +13,7 @@ SAMPLE = [
     "chk_powerbank", "all_row_hits", "chk_duplicates", "final_report", "final_report_ma", "reapprove", "quality_report",
     "weekly_insights", "keyword_category", "category_similarity", "page_product_fields", "page_nested_blocks", "page_fields", "predicted_categories",
     "wrong_category", "listing_cards", "visual_duplicates",
+    "read_catalog_csv", "read_master", "read_many", "load_prohibited", "load_restricted_brands", "load_price_caps", "lookup_inputs",
 ]
 NAMES = list(QUERIES) if os.environ.get("FULL_ORACLE") else SAMPLE
 
