@@ -44,7 +44,10 @@ def _write_part(folder: str, vocabulary: str, end_id: int, dtype: str):
                 out = store.open_output_stream(f"{path}.bin")
             lengths = []
             for text in batch.column(1):
-                ids = np.frombuffer(ids_of(text.as_py()), "<u4").astype(dtype)
+                ids = np.frombuffer(ids_of(text.as_py()), "<u4")
+                if len(ids) and ids.max() > np.iinfo(dtype).max:
+                    raise ValueError(f"token id {ids.max()} does not fit {dtype}; use <u4")
+                ids = ids.astype(dtype)
                 out.write(ids.tobytes() + end)
                 lengths.append(len(ids) + 1)
             docs.append(batch.column(0))
@@ -69,7 +72,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
                       id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
     """Write all documents in ascending id order; returns the manifest, one row for each file.
 
-    ``dtype`` must hold the largest id: ``<u2`` or ``<u4``.
+    ``dtype`` must hold the largest id, ``<u2`` or ``<u4``; an id beyond it stops the job.
     """
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -58,12 +58,17 @@ def _line(text) -> str:
     return "" if text is None else str(text).replace("\r", "%0D").replace("\n", "%0A")
 
 
-def page_record(page_id, url: str | None, payload: bytes, refers_to, is_response: bool, date: str) -> bytes:
-    """Response or revisit record of a page. Ids stand in fields of their own beside the record's URN."""
-    name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{x}')}>"
+def page_record(page_id, url: str | None, payload: bytes, refers_to, is_response: bool, date: str, place: str = "") -> bytes:
+    """Response or revisit record of a page. Ids stand in fields of their own beside the record's URN.
+
+    A response's URN is made from page id and payload, so that revisits can name it; a revisit's also from its place
+    (archive and number), so that repeated rows differ. Repeated rows that are all responses share a URN.
+    """
+    digest = payload_digest(payload)
+    name = lambda x, at="": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{x}:{digest}:{at}')}>"
     fields = {
-        "WARC-Record-ID": name(page_id), "WARC-Date": date, "WARC-Target-URI": _line(url),
-        "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}", "Content-Type": "application/http; msgtype=response",
+        "WARC-Record-ID": name(page_id) if is_response else name(page_id, place), "WARC-Date": date, "WARC-Target-URI": _line(url),
+        "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response",
         "X-Page-ID": _line(page_id), "X-Payload-Length": str(len(payload))}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if is_response:
@@ -72,8 +77,12 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to, is_response
         "WARC-Profile": PROFILE, "WARC-Refers-To": name(refers_to), "X-Refers-To-Page-ID": _line(refers_to)}, http)
 
 
-def write_archive(out, records: Iterator[bytes], date: str) -> tuple[int, int]:
-    """Write records to a binary stream; returns (records, bytes) written, the warcinfo left out of the first."""
+def write_archive(out, records: Iterator[bytes], date: str, archive: str = "") -> tuple[int, int]:
+    """Write records to a binary stream; returns (records, bytes) written, the warcinfo left out of the first.
+
+    The dictionary is learned from the first ``SAMPLE`` bytes of records, of each its first 128 KiB; all are written
+    whole. The warcinfo's URN is made from the archive's name.
+    """
     import zstandard as zstd
 
     held, size = [], 0
@@ -89,7 +98,7 @@ def write_archive(out, records: Iterator[bytes], date: str) -> tuple[int, int]:
     content = trained.as_bytes()
     packer = zstd.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
     total = out.write(struct.pack("<II", DICT_FRAME, len(content)) + content)
-    info = record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(len(content)))}>",
+    info = record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{archive}')}>",
                                "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
     total += out.write(packer.compress(info))
     n = 0
@@ -125,17 +134,20 @@ def _write(folder: str, date: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        context = TaskContext.get()
+        path = f"{folder}/pages-{context.partitionId():06d}-{context.taskAttemptId()}.warc.zst"
+
         def records() -> Iterator[bytes]:
+            n = 0
             for batch in batches:
                 for page_id, url, html, refers_to, first in zip(*batch.columns, strict=True):
-                    yield page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), first.as_py(), date)
+                    yield page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), first.as_py(), date, f"{path}:{n}")
+                    n += 1
 
         rows = records()
         start = next(rows, None)
         if start is None:
             return
-        context = TaskContext.get()
-        path = f"{folder}/pages-{context.partitionId():06d}-{context.taskAttemptId()}.warc.zst"
         store, local = filesystem(path)
         store.create_dir(os.path.dirname(local), recursive=True)
 
@@ -144,7 +156,7 @@ def _write(folder: str, date: str):
             yield from rows
 
         with store.open_output_stream(local, compression=None) as out:
-            n, size = write_archive(out, every(), date)
+            n, size = write_archive(out, every(), date, path)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
     return run

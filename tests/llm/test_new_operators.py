@@ -242,3 +242,21 @@ def test_generated_files_precision_and_recall():
         total += len(secrets)
     print("recall", hits / total, "precision", hits / (hits + wrong))
     assert hits >= 0.97 * total and hits >= 0.97 * (hits + wrong)
+
+
+def test_archive_records_have_urns_of_their_own():
+    import io
+
+    from shelfcheck.llm import warc
+
+    rows = [(1, "u", b"one", None, True), (2, "u", b"one", 1, False), (2, "u", b"one", 1, False), (2, "u", b"two", None, True)]
+    seen = []
+    for archive in ("a", "b"):
+        out = io.BytesIO()
+        records = (warc.page_record(*r, "2024-01-01T00:00:00Z", f"{archive}:{i}") for i, r in enumerate(rows))
+        warc.write_archive(out, records, "2024-01-01T00:00:00Z", archive)
+        fields = [f for f, _ in warc.read_archive(io.BytesIO(out.getvalue()))]
+        ids = [f["WARC-Record-ID"] for f in fields]
+        assert len(set(ids)) == 5 and fields[2]["WARC-Refers-To"] == fields[3]["WARC-Refers-To"] == ids[1]
+        seen += [ids[0], ids[2], ids[3]]
+    assert len(set(seen)) == 6
