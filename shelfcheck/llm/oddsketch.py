@@ -159,13 +159,20 @@ def _full(batches) -> Iterator:
 
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], ["cls", "set"])
+            [*batch.columns[:-1], pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], [*batch.schema.names[:-1], "set"])
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(cls, set) of the classes (cls, _text), each from one text; written."""
-    texts = docs.select(_text_key(text_col).alias("_text"), F.col(text_col).alias("t")).join(classes, "_text")
-    return saved(_hashed(texts.dropDuplicates(["cls"]), [F.col("cls")], size, "t").mapInArrow(_full, "cls binary, set binary"), "sets")
+    """The columns of the classes (cls, _text, ...; a written table) and the set of each, from one text; written.
+
+    Where the classes are few enough to broadcast, only their texts are shuffled; else each text is, once.
+    """
+    texts = docs.select(_text_key(text_col).alias("_text"), F.col(text_col).alias("t")).groupBy("_text").agg(F.max("t").alias("t"))
+    texts = texts.join(classes.select("_text"), "_text", "left_semi").join(classes, "_text")
+    own = classes.drop("_text")
+    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
+    rows = _hashed(texts, [F.col(c) for c in own.columns], size, "t")
+    return saved(rows.mapInArrow(_full, schema + ", set binary"), "sets")
 
 
 def _confirmed(per_cent: int):
@@ -285,7 +292,7 @@ class _Search:
 
     def by_pivot(self) -> DataFrame:
         pivots = self.met.where("c8 = pivot").select("key", F.col("cls").alias("b"))
-        pairs = _ordered(self.met.where("c8 <> pivot").select("key", F.col("cls").alias("a")).join(pivots, "key").select("a", "b"))
+        pairs = self.met.where("c8 <> pivot").select("key", F.col("cls").alias("a")).join(pivots, "key").select("a", "b").distinct()
         own = self.classes.select("cls", "n", "sketch")
         for side in "ab":
             pairs = pairs.join(own.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
@@ -328,15 +335,22 @@ class _Search:
         return met.select("key", "a", "b")
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        classes = self.classes.join(needed, "cls").select("cls", F.col("text").alias("_text"))
-        return _full_sets(self.docs, classes, self.size, self.text_col)
+        """The columns of ``needed`` (cls, ...; a row for each class) and the full sets."""
+        classes = needed.join(self.classes.select("cls", F.col("text").alias("_text")), "cls")
+        return _full_sets(self.docs, saved(classes, "needed"), self.size, self.text_col)
 
     def confirm(self, pairs: DataFrame) -> bool:
-        """Adds the pairs that reach the similarity on full sets to the links; whether there was any."""
+        """Adds the pairs that reach the similarity on full sets to the links; whether there was any.
+
+        A set goes to the partners of its class, which are pivots, one for each band at most, or classes of other components.
+        """
         pairs = saved(pairs, "candidates")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(
-            sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        sides = pairs.select(F.col("a").alias("cls"), F.col("b").alias("partner")).union(
+            pairs.select(F.col("b"), F.lit(None).cast("binary")).distinct())
+        sets = self.sets(sides.groupBy("cls").agg(
+            F.collect_list("partner").alias("partners"), F.bool_or(F.col("partner").isNull()).alias("is_partner")))
+        sent = sets.select(F.explode("partners").alias("b"), F.col("cls").alias("a"), F.col("set").alias("x"))
+        both = sent.join(sets.where("is_partner").select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         found = saved(both.mapInArrow(_confirmed(self.per_cent), "a binary, b binary"), "links")
         self.links = found if self.links is None else self.links.union(found)
         return not found.isEmpty()
