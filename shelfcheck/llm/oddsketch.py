@@ -154,25 +154,28 @@ def prints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_signed, f"_id {kind}, _text binary, n_shingles long, _cls binary, _sketch array<long>, _bands array<long>")
 
 
-def _full(batches) -> Iterator:
-    import pyarrow as pa
+def _full(halves: bool):
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], [*batch.schema.names[:-1], "set"])
+        for batch in batches:
+            sets = [((s >> np.uint64(32)).astype(np.uint32) if halves else s).tobytes() for s in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "set"])
+
+    return run
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, size: int, text_col: str) -> DataFrame:
+def _full_sets(docs: DataFrame, classes: DataFrame, size: int, text_col: str, halves: bool = False) -> DataFrame:
     """The columns of the classes (cls, _text, ...; a written table) and the set of each, from one text; written.
 
-    Where the classes are few enough to broadcast, only their texts are shuffled; else each text is, once.
+    With ``halves`` the upper 32 bits of each hash stand for it. Where the classes are few enough to broadcast, only their texts are shuffled; else each text is, once.
     """
     texts = docs.select(_text_key(text_col).alias("_text"), F.col(text_col).alias("t")).groupBy("_text").agg(F.max("t").alias("t"))
     texts = texts.join(classes.select("_text"), "_text", "left_semi").join(classes, "_text")
     own = classes.drop("_text")
     schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
     rows = _hashed(texts, [F.col(c) for c in own.columns], size, "t")
-    return saved(rows.mapInArrow(_full, schema + ", set binary"), "sets")
+    return saved(rows.mapInArrow(_full(halves), schema + ", set binary"), "sets")
 
 
 def _confirmed(per_cent: int):
@@ -230,10 +233,10 @@ def _partnered(most: int, per_cent: int):
 
 
 def _prints_of(tile) -> tuple[np.ndarray, np.ndarray]:
-    """Upper halves of the hashes in a tile's sets, all together, and where each set starts."""
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.values.field(3)]
+    """The 32-bit prints of a tile's sets, all together, and where each set starts."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in tile.values.field(3)]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    return (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), starts
+    return np.concatenate(sets), starts
 
 
 def _linked(per_cent: int):
@@ -306,7 +309,7 @@ class _Search:
         rows = _with_class(rows.join(self._mixed(rows), "key"), self.classes.select("cls", "n", "sketch"))
         pairs = self._tiles(rows, F.lit(CHUNK), ["comp", "cls", "n", "sketch"])
         left = saved(pairs.mapInArrow(_partnered(self.most, self.per_cent), "key long, cls binary").distinct(), "partnered")
-        sets = self.sets(left.select("cls").distinct())
+        sets = self.sets(left.select("cls").distinct(), halves=True)
         rows = rows.drop("main", "m", "hashes", "sketch").join(left, ["key", "cls"])
         rows = _with_class(rows.join(self._mixed(rows), "key"), sets)
         # a tile has some CHUNK sets of 64 shingles, or as many hashes in fewer sets
@@ -334,10 +337,10 @@ class _Search:
         met = homes.join(guests, ["key", "chunk"]).where(~F.col("outside") | (F.col("chunk") >= F.col("home")))
         return met.select("key", "a", "b")
 
-    def sets(self, needed: DataFrame) -> DataFrame:
-        """The columns of ``needed`` (cls, ...; a row for each class) and the full sets."""
+    def sets(self, needed: DataFrame, halves: bool = False) -> DataFrame:
+        """The columns of ``needed`` (cls, ...; a row for each class) and the full sets, or their 32-bit prints."""
         classes = needed.join(self.classes.select("cls", F.col("text").alias("_text")), "cls")
-        return _full_sets(self.docs, saved(classes, "needed"), self.size, self.text_col)
+        return _full_sets(self.docs, saved(classes, "needed"), self.size, self.text_col, halves)
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Adds the pairs that reach the similarity on full sets to the links; whether there was any.
