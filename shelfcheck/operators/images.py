@@ -38,7 +38,9 @@ MIN_COVERAGE, WARN_COVERAGE = 0.55, 0.75
 MIN_COLOR_SHARE, MIN_COLOR_PIXELS = 0.05, 200
 EXPOSURE_SHARE = 0.88
 BLUR_SCORE = 80.0
-SIMILARITY, BANDS = 0.80, 4
+SIMILARITY = 0.80
+# Signatures of a tile, and of those compared with another tile at once.
+TILE, ROWS_AT_ONCE = 4096, 256
 
 FEATURES = (
     "origin string, width int, height int, coverage double, foreground long, bright double, dark double, "
@@ -197,27 +199,43 @@ def color_mismatch(rows: DataFrame, rules: RuleSet | None) -> DataFrame:
     return _hits(scoped, "Image Color Mismatch", mismatch, detail, True)
 
 
-def _masks(bits: int) -> list[int]:
-    """All 16-bit numbers with at most so many bits."""
-    return [m for m in range(1 << 16) if m.bit_count() <= bits]
+def _near_pairs(batches):
+    """Pairs of signatures of two tiles, packed as big-endian words, that agree in enough bits; both ways."""
+    import pyarrow as pa
+
+    most = max(d for d in range(65) if 1.0 - d / 64.0 >= SIMILARITY)
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for seller, home, guest, same in zip(*(batch.column(i) for i in range(4)), strict=True):
+            home, guest = np.frombuffer(home.as_buffer(), ">u8").astype(np.uint64), np.frombuffer(guest.as_buffer(), ">u8").astype(np.uint64)
+            for at in range(0, len(home), ROWS_AT_ONCE):
+                part = home[at : at + ROWS_AT_ONCE]
+                differ = np.bitwise_count(part[:, None] ^ guest[None, :])
+                i, j = np.nonzero((differ <= most) & (differ > 0))
+                one, two = part[i].view(np.int64), guest[j].view(np.int64)
+                if not same.as_py():
+                    one, two = np.concatenate([one, two]), np.concatenate([two, one])
+                yield pa.RecordBatch.from_arrays([pa.repeat(seller, len(one)).cast(kind), pa.array(one), pa.array(two)],
+                                                 ["_seller_lower", "a", "b"])
 
 
 def _near_classes(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different signatures of one seller that agree in at least 80 % of the bits, both ways.
 
-    At most 12 of 64 bits differ, so one of four 16-bit bands differs in at most 3. One side offers each band's
-    values within one bit and the other those within two, and equal ones meet.
+    A seller's signatures are dealt over tiles of some ``TILE``, and every two tiles of a seller are compared in one
+    task by exclusive-or and bit counts: comparisons grow with the square of a seller's different signatures, but only
+    tiles and the pairs found are ever held or shuffled, and nothing is broadcast beyond Spark's own threshold.
     """
-    band = lambda i: F.shiftrightunsigned("signature", 16 * i).bitwiseAND(0xFFFF)
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("v")) for i in range(BANDS)]))
-    keyed = classes.select("_seller_lower", "signature", bands.alias("band"))
-    offer = lambda bits, name: keyed.select(
-        "*", F.explode(F.lit(_masks(bits)).cast("array<bigint>")).alias("mask")).select(
-        "_seller_lower", F.col("signature").alias(name), F.col("band.i").alias("band"), F.col("band.v").bitwiseXOR(F.col("mask")).alias("value"))
-    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = offer(1, "a").join(offer(2, "b"), ["_seller_lower", "band", "value"])
-    near = F.lit(1.0) - differ / F.lit(64.0) >= SIMILARITY
-    return pairs.filter((F.col("a") != F.col("b")) & near).select("_seller_lower", "a", "b").distinct()
+    key = ["_seller_lower"]
+    chunks = classes.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_chunks"))
+    dealt = classes.join(chunks, key).withColumn("_c", F.pmod(F.xxhash64("signature"), F.col("_chunks")).cast("int"))
+    words = F.array_join(F.collect_list(F.lpad(F.hex("signature"), 16, "0")), "")
+    tiles = materialize(dealt.groupBy(*key, "_c").agg(F.unhex(words).alias("home")), "tiles")
+    guests = tiles.select(*key, F.col("_c").alias("_g"), F.col("home").alias("guest"))
+    met = tiles.select(*key, "_c").join(guests.select(*key, "_g"), key).filter("_g >= _c").repartition(*key, "_c", "_g")
+    pairs = met.join(tiles, [*key, "_c"]).join(guests, [*key, "_g"])
+    return pairs.select(*key, "home", "guest", (F.col("_c") == F.col("_g")).alias("same")).mapInArrow(
+        _near_pairs, f"_seller_lower {dict(classes.dtypes)['_seller_lower']}, a long, b long")
 
 
 def first_partners(rows: DataFrame) -> DataFrame:

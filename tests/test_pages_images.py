@@ -176,3 +176,24 @@ def test_visual_duplicates_against_all_pairs(spark):
             want[sid] = min(near)
     got = {r["sid"]: (r["other"], r["similarity"]) for r in I.first_partners(df).collect()}
     assert got == want and len(got) > 100
+
+
+def test_visual_duplicates_over_several_tiles(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    monkeypatch.setattr(I, "TILE", 8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    rows = []
+    for i, sig in enumerate(base * 2):
+        for b in rng.sample(range(64), 0 if i < 40 else rng.choice([1, 12, 13])):
+            sig ^= 1 << b
+        rows.append((f"s{i:02d}", 3, f"o{i}", sig - (1 << 64) if sig >> 63 else sig))
+    df = spark.createDataFrame(rows, "PRODUCT_SET_SID string, _seller_lower int, origin string, signature long")
+    near = I._near_classes(df.select("_seller_lower", "signature"))
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan  # no neighbours of a value are listed, so none are broadcast
+    got = [tuple(r) for r in near.collect()]
+    sigs = {s for *_, s in rows}
+    want = {(3, a, b) for a in sigs for b in sigs if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 12}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
