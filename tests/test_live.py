@@ -97,3 +97,42 @@ def test_fill_takes_one_page(spark):
     df = spark.createDataFrame([("A-1", None, None)], "PRODUCT_SET_SID string, COLOR string, MODEL string")
     pages = spark.createDataFrame([(2, "A-1", "Red", "m1"), (1, "A-1", "Blue", "z9")], "page_id long, PRODUCT_SET_SID string, COLOR string, MODEL string")
     assert [(r["COLOR"], r["MODEL"]) for r in P.fill_from_pages(df, pages, ["COLOR", "MODEL"]).collect()] == [("Blue", "z9")]
+
+
+def _tables(spark, path):
+    """Two listings of one model that has a description, one of a model without."""
+    rows = {
+        "part": ([(0, "red ring", "Brand#1", "LARGE", 1, 10.0), (1, "hot bolt", "Brand#2", "SMALL", 2, 20.0)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "supplier": ([(0, "S0", 0), (1, "S1", 1)], "s_suppkey long, s_name string, s_nationkey int"),
+        "lineitem": ([(1, 0, 0, 1, 1.0, 9.0, 0.0, "R", "O"), (2, 0, 1, 2, 1.0, 8.0, 0.0, "N", "F"), (3, 1, 1, 3, 1.0, 9.0, 0.0, "A", "O")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_returnflag string, l_linestatus string"),
+        "events": ([(0, 250.0), (0, 100.0), (2, 400.0)], "user_id long, value double"),
+        "documents": ([(0, "a text with an <IMG src=x>"), (5, "of no model")], "doc_id long, text string"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_descriptions_join_after_everything_else(spark, tmp_path):
+    from shelfcheck_queries.queries import live
+
+    rows = live(spark, _tables(spark, tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # the outermost join brings the texts, so no join with the ratings or the rules shuffles them
+    assert "doc_id" in plan[: plan.index("user_id")]
+    got = sorted((r["PRODUCT_SET_SID"], r["DESCRIPTION"], r["RATING"], r["REVIEW_COUNT"]) for r in rows.collect())
+    text = "a text with an <IMG src=x>"
+    assert got == [("P0-0", text, 2.5, 0), ("P0-1", text, 2.5, 0), ("P1-1", None, None, None)]
+
+
+def test_image_tags_are_found_in_either_case_and_null_is_no_text(spark):
+    rules = RuleSet(spark, {})
+    df = spark.createDataFrame([("a", "x <IMG y"), ("b", "x <b> y"), ("c", "plain"), ("d", None)], "PRODUCT_SET_SID string, DESCRIPTION string")
+    from shelfcheck.operators import checks as C
+
+    base = df.withColumns({c: F.lit("x") for c in ("NAME", "BRAND", "CATEGORY_CODE", "_name_lower", "_brand_lower", "_seller_lower", "_cat_clean")})
+    hits = C.row_hits(base, rules, None, [P.description_checks]).filter("flag = 'Missing Images in Desc'")
+    assert sorted(r["sid"] for r in hits.collect()) == ["b", "c"]
