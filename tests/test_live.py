@@ -136,3 +136,20 @@ def test_image_tags_are_found_in_either_case_and_null_is_no_text(spark):
     base = df.withColumns({c: F.lit("x") for c in ("NAME", "BRAND", "CATEGORY_CODE", "_name_lower", "_brand_lower", "_seller_lower", "_cat_clean")})
     hits = C.row_hits(base, rules, None, [P.description_checks]).filter("flag = 'Missing Images in Desc'")
     assert sorted(r["sid"] for r in hits.collect()) == ["b", "c"]
+
+
+def test_a_shuffle_carries_no_texts_of_rows_out_of_scope(spark, products):
+    from shelfcheck.operators import catalog as cat
+
+    seen = []
+    whole = cat.materialize
+    cat.materialize = lambda df, name: seen.append(df) or whole(df, name)
+    try:
+        out = cat.prepare_catalog(products([{"PRODUCT_SET_SID": "a", "ACTIVE_STATUS_COUNTRY": "UG", "COLOR_FAMILY": "Blue"}, {"PRODUCT_SET_SID": "a"},
+                                            {"PRODUCT_SET_SID": "b", "ACTIVE_STATUS_COUNTRY": "UG"}]), "KE").collect()
+    finally:
+        cat.materialize = whole
+    assert [(r["PRODUCT_SET_SID"], r["COLOR_FAMILY"], r["COUNT_VARIATIONS"]) for r in out] == [("a", "Blue", 1)]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate"):].splitlines()
+    assert "_row" in grouped[1] and "CASE WHEN" in grouped[1]  # made in the projection below the aggregate
