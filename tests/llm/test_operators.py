@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfcheck.llm import bestfit, bytewords, components, packing, secret_scan, sharding, simhash, warc
+from shelfcheck.llm import bestfit, bytewords, components, packing, pieces, secret_scan, sharding, simhash, warc
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -251,3 +251,18 @@ def test_complements_against_all_combinations(seed):
                  if sum(c) == gap and all(counts[x] >= c.count(x) for x in c)]
         got = free.complement(gap, capacity)
         assert (got is None) == (not there) and (got is None or len(got) == len(there[0]) and tuple(sorted(got)) in there)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_plain_words_and_line_breaks_need_no_library_call(name, monkeypatch):
+    """New pieces of plain words, also two around a line break, have the library's ids without a call of the whole library."""
+    import public_tokenizers
+
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJéÀÿßñÖ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "!?"])
+    texts = [" ".join(word() + rng.choice(["", "", "\n" + word()]) for _ in range(40)) for _ in range(60)]
+    encoder = pieces.PieceEncoder(public_tokenizers.path(name), most=50)
+    want = encoder._encode(texts + ["a\n\nb", "a \nb", "\na", "a\n", "x.\n y", "a\u0301\nb", "don't\nI'm", "a1\nb"])
+    assert [encoder.ids(t) for t in texts + ["a\n\nb", "a \nb", "\na", "a\n", "x.\n y", "a\u0301\nb", "don't\nI'm", "a1\nb"]] == want
+    monkeypatch.setattr(encoder, "_encode", lambda _: pytest.fail("the whole library was called"))
+    assert [encoder.ids(t) for t in texts] == want[: len(texts)]
