@@ -40,6 +40,7 @@ from .simhash import shingle_hashes
 SAMPLES, BITS = 512, 1024
 BANDS, ROWS = 28, 4
 CHUNK = 1024
+MAP_CELLS = 1024
 _PIECE = 1 << 13
 
 _rng = np.random.default_rng(20)
@@ -165,12 +166,26 @@ def _full(halves: bool):
     return run
 
 
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is marked in a bit map of the keys: all that are among them, and few others.
+
+    The map has ``MAP_CELLS`` cells of 32 768 bits, whatever the number of keys, so it is broadcast.
+    """
+    place = F.xxhash64(key)
+    cell, at = F.shiftright(place, 15).bitwiseAND(MAP_CELLS - 1), place.bitwiseAND((1 << 15) - 1)
+    maps = keys.groupBy(cell.alias("_cell")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("_cell", cell).join(F.broadcast(saved(maps, "key-bits")), "_cell")
+    return kept.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).select(rows.columns)
+
+
 def _full_sets(docs: DataFrame, classes: DataFrame, size: int, text_col: str, halves: bool = False) -> DataFrame:
     """The columns of the classes (cls, _text, ...; a written table) and the set of each, from one text; written.
 
-    With ``halves`` the upper 32 bits of each hash stand for it. Where the classes are few enough to broadcast, only their texts are shuffled; else each text is, once.
+    With ``halves`` the upper 32 bits of each hash stand for it. Only texts of the classes, and few others, are shuffled.
     """
-    texts = docs.select(_text_key(text_col).alias("_text"), F.col(text_col).alias("t")).groupBy("_text").agg(F.max("t").alias("t"))
+    texts = docs.select(_text_key(text_col).alias("_text"), F.col(text_col).alias("t"))
+    texts = _among(texts, classes, "_text").groupBy("_text").agg(F.max("t").alias("t"))
     texts = texts.join(classes.select("_text"), "_text", "left_semi").join(classes, "_text")
     own = classes.drop("_text")
     schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)

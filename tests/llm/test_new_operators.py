@@ -260,3 +260,13 @@ def test_archive_records_have_urns_of_their_own():
         assert len(set(ids)) == 5 and fields[2]["WARC-Refers-To"] == fields[3]["WARC-Refers-To"] == ids[1]
         seen += [ids[0], ids[2], ids[3]]
     assert len(set(seen)) == 6
+
+
+def test_texts_are_dropped_before_the_shuffle_by_a_bit_map(spark):
+    """All rows whose key is wanted pass, repeated ones too, and few others; no keys, no rows; null keys match no other."""
+    rows = spark.createDataFrame([(f"t{i % 4000}", i) for i in range(5000)] + [(None, 1)], "k string, v long")
+    keys = spark.createDataFrame([(f"t{i}",) for i in range(0, 4000, 40)] * 2 + [("absent",)], "k string")
+    left = [r.k for r in oddsketch._among(rows, keys, "k").collect()]
+    want = [f"t{i % 4000}" for i in range(5000) if i % 4000 % 40 == 0]
+    assert not counted({"k": k} for k in want) - counted({"k": k} for k in left) and len(left) < len(want) + 20
+    assert oddsketch._among(rows, keys.limit(0), "k").count() == 0
