@@ -375,13 +375,15 @@ class _Search:
 
 
 def components(docs: DataFrame, classes: DataFrame, size: int, per_cent: int, text_col: str, most: int | None = None,
-               words: int = BITS // 64) -> DataFrame:
+               words: int = BITS // 64, more: DataFrame | None = None) -> DataFrame:
     """(node, root) of the classes that have a link. ``classes`` is a written table: cls, n, text, sketch, bands.
 
-    ``most`` bounds the bits by which the sketches, of so many 64-bit words, of a linked pair differ.
+    ``most`` bounds the bits by which the sketches, of so many 64-bit words, of a linked pair differ. ``more`` has pairs
+    (a, b) that are confirmed with those of the pivots.
     """
     search = _Search(docs, classes, size, per_cent, text_col, limit(per_cent / 100) if most is None else most, words)
-    search.confirm(search.by_pivot())
+    first = search.by_pivot()
+    search.confirm(first if more is None else _ordered(first.unionByName(more)))
     roots = saved(star_components(search.links), "roots")
     if search.confirm(search.across(roots)):
         roots = saved(star_components(search.links), "roots")

@@ -232,12 +232,27 @@ def _grouped(size: int):
     return run
 
 
+def tile_candidates(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of classes with words whose first fingerprints are equal or linked on the tiles (``links``).
+
+    The least class of a fingerprint stands for it, so that a fingerprint of many classes never lists its pairs.
+    """
+    prints = classes.where("n > 0").select("cls", F.get("sketch", F.lit(0)).alias("fp"))
+    pivots = saved(prints.groupBy("fp").agg(F.min("cls").alias("pivot")), "tile-pivots")
+    equal = prints.join(pivots, "fp").where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    near = links(pivots, radius)
+    for side in "ab":
+        near = near.join(pivots.select(F.col("fp").alias(side), F.col("pivot").alias("_" + side)), side)
+    return equal.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                    keys: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: the id, ``keys`` and component_id, the smallest id that links of this similarity reach.
 
-    Candidates agree in a band of one of their fingerprints over pairs of words and differ by ``WIDE_RADIUS`` bits at
-    most; they are confirmed by the Jaccard similarity of their sets of word shingles. A pair that has just the
+    Candidates are linked on the tiles of their first fingerprint over pairs of words, or agree in a band of one of
+    their fingerprints and differ by ``WIDE_RADIUS`` bits at most, which meets pairs that the tiles' few bits leave
+    out. All are confirmed by the Jaccard similarity of their sets of word shingles. A pair that has just the
     similarity by edits spread over a long text is met with a probability of 0.97, one above it sooner. Texts without
     words are equal; null ids are never the smallest.
     """
@@ -251,7 +266,7 @@ def similar_groups(docs: DataFrame, size: int = 5, per_cent: int = 80, id_col: s
     classes = saved(rows.groupBy(F.col("_cls").alias("cls")).agg(
         F.min("_id").alias("first"), F.min("_text").alias("text"), F.first("_n").alias("n"), F.first("_sketch").alias("sketch"),
         F.first("_bands").alias("bands")), "wide-classes")
-    roots = oddsketch.components(docs, classes, size, per_cent, text_col, WIDE_RADIUS, FINGERPRINTS)
+    roots = oddsketch.components(docs, classes, size, per_cent, text_col, WIDE_RADIUS, FINGERPRINTS, tile_candidates(classes))
     named = classes.select("cls", "first").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     named = saved(named.select("cls", "first", F.coalesce("root", "cls").alias("root")), "wide-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

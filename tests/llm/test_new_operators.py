@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from shelfcheck.llm import fim, oddsketch, secret_scan, whitening
+from shelfcheck.llm import fim, oddsketch, secret_scan, simhash, whitening
 
 from .test_queries import counted, four_word_set, linked_components
 
@@ -270,3 +270,11 @@ def test_texts_are_dropped_before_the_shuffle_by_a_bit_map(spark):
     want = [f"t{i % 4000}" for i in range(5000) if i % 4000 % 40 == 0]
     assert not counted({"k": k} for k in want) - counted({"k": k} for k in left) and len(left) < len(want) + 20
     assert oddsketch._among(rows, keys.limit(0), "k").count() == 0
+
+
+def test_candidates_of_the_simhash_tiles(spark):
+    """Classes with equal first fingerprints, or such that differ in three bits, are candidates; four bits are not."""
+    base = 0x0F0F_1234_5678_9ABC
+    rows = [(b"a", 5, [base, 1]), (b"b", 5, [base, 2]), (b"c", 5, [base ^ 0b111, 3]), (b"d", 5, [base ^ 0b1111 << 20, 4]), (b"e", 0, [base, 5])]
+    classes = spark.createDataFrame(rows, "cls binary, n long, sketch array<long>")
+    assert {frozenset(map(bytes, r)) for r in simhash.tile_candidates(classes).collect()} == {frozenset([b"a", b"b"]), frozenset([b"a", b"c"])}
