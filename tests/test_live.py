@@ -153,3 +153,20 @@ def test_a_shuffle_carries_no_texts_of_rows_out_of_scope(spark, products):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     grouped = plan[plan.index("Aggregate"):].splitlines()
     assert "_row" in grouped[1] and "CASE WHEN" in grouped[1]  # made in the projection below the aggregate
+
+
+def test_queries_of_few_columns_prepare_no_others(spark, monkeypatch):
+    """The first row of a set is one struct, which column pruning does not reach, so colours must not be read at all."""
+    from shelfcheck_queries import queries as Q
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, name):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(Q, "materialize", seen)
+    for name in ("chk_country_ng", "wrong_category"):
+        with pytest.raises(Seen) as plan:
+            Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "Aggregate" in str(plan.value) and "THEN Red" not in str(plan.value) and "12 months" not in str(plan.value)
