@@ -90,3 +90,18 @@ def test_search_and_page(products):
 def test_only_named_columns_are_carried(products):
     out = C.prepare_catalog(products([{"COLOR": "Red", "MAIN_IMAGE": "x"}]), columns=["COLOR"])
     assert "MAIN_IMAGE" not in out.columns and out.first()["COLOR"] == "Red"
+
+
+def test_rows_out_of_scope_are_not_grouped(spark, products, monkeypatch):
+    df = products([
+        {"PRODUCT_SET_SID": "a", "ACTIVE_STATUS_COUNTRY": "UG", "COLOR_FAMILY": "old"}, {"PRODUCT_SET_SID": "a"},
+        {"PRODUCT_SET_SID": "a", "COLOR_FAMILY": "new"}, {"PRODUCT_SET_SID": "b"}, {"PRODUCT_SET_SID": "b", "ACTIVE_STATUS_COUNTRY": "UG", "COLOR_FAMILY": "late"},
+        {"PRODUCT_SET_SID": "b", "COLOR_FAMILY": "later"}, {"PRODUCT_SET_SID": "c"}, {"PRODUCT_SET_SID": "c", "COLOR_FAMILY": "own"},
+        *[{"PRODUCT_SET_SID": f"u{i}", "ACTIVE_STATUS_COUNTRY": "UG", "COLOR_FAMILY": "x"} for i in range(50)],
+    ])
+    written = {}
+    plain = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda t, name="step": written.setdefault(name, plain(t, name)))
+    got = {r["PRODUCT_SET_SID"]: (r["COLOR_FAMILY"], r["COUNT_VARIATIONS"]) for r in C.prepare_catalog(df, "KE").collect()}
+    assert got == {"a": ("old", 2), "b": ("late", 2), "c": ("own", 2)}
+    assert written["outside"].count() < 10 and {r[0] for r in written["late"].select("PRODUCT_SET_SID").collect()} == {"a", "b"}
