@@ -183,23 +183,30 @@ def ld_fields(ld: Column) -> dict[str, Column]:
     }
 
 
-def page_embedded_json(html: Column) -> dict[str, Column]:
-    """Price, brand, category and image from a dataLayer or store object in a script."""
-    layer = F.coalesce(
-        found(F.regexp_extract(html, r"(?s)dataLayer\s*=\s*(\[.*?\])\s*;", 1)),
-        found(F.regexp_extract(html, r"(?s)dataLayer\.push\s*\((\{.*?\})\s*\)", 1)),
-    )
-    first = F.when(layer.startswith("["), F.get(F.from_json(layer, "array<string>"), F.lit(0))).otherwise(layer)
-    shop = F.coalesce(F.get_json_object(first, "$.ecommerce"), first)
-    detail = F.coalesce(F.get_json_object(shop, "$.detail"), shop)
-    product = F.coalesce(F.get_json_object(detail, "$.products[0]"), detail)
-    store = found(F.regexp_extract(html, r"(?s)__STORES__\s*=\s*(\{.+?\})\s*;", 1))
-    pdp = F.coalesce(F.get_json_object(store, "$.pdp"), store)
-    item = F.coalesce(F.get_json_object(pdp, "$.product"), pdp)
+def page_embedded_json(staged: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Price, brand, category and image from a dataLayer or store object in a script.
+
+    Every step down is a projection of its own: each text is searched and parsed once, however often the next step reads it.
+    """
+    html, layer, store = F.col("html"), F.col("_layer"), F.col("_store")
+    inside = lambda j, k: F.coalesce(F.get_json_object(j, f"$.{k}"), j)
+    staged = staged.withColumns({
+        "_layer": F.coalesce(
+            found(F.regexp_extract(html, r"(?s)dataLayer\s*=\s*(\[.*?\])\s*;", 1)),
+            found(F.regexp_extract(html, r"(?s)dataLayer\.push\s*\((\{.*?\})\s*\)", 1)),
+        ),
+        "_store": found(F.regexp_extract(html, r"(?s)__STORES__\s*=\s*(\{.+?\})\s*;", 1)),
+    })
+    staged = staged.withColumns({
+        "_layer": F.when(layer.startswith("["), F.get(F.from_json(layer, "array<string>"), F.lit(0))).otherwise(layer),
+        "_store": inside(store, "pdp"),
+    })
+    staged = staged.withColumns({"_layer": inside(layer, "ecommerce"), "_store": inside(store, "product")})
+    staged = staged.withColumn("_layer", inside(layer, "detail")).withColumn("_layer", inside(layer, "products[0]"))
     at = lambda j, k: found(F.get_json_object(j, f"$.{k}"))
-    return {
-        "PRICE": F.replace(F.coalesce(at(product, "price"), at(item, "price")), F.lit(","), F.lit("")),
-        "BRAND": at(product, "brand"), "CATEGORY_PATH": at(product, "category"), "MAIN_IMAGE": at(item, "image"),
+    return staged, {
+        "PRICE": F.replace(F.coalesce(at(layer, "price"), at(store, "price")), F.lit(","), F.lit("")),
+        "BRAND": at(layer, "brand"), "CATEGORY_PATH": at(layer, "category"), "MAIN_IMAGE": at(store, "image"),
     }
 
 
@@ -386,8 +393,8 @@ def link_texts(markup: Column) -> Column:
     return F.filter(F.transform(raw, lambda a: plain(a, "")), lambda t: t != "")
 
 
-def page_category_path(html: Column, home: list[str] = ("home",)) -> Column:
-    """Breadcrumb links joined by ' > ', home first link dropped; else the first short nav list."""
+def category_links(html: Column) -> Column:
+    """Texts of the breadcrumb links; else of the first short nav list."""
     marked = F.array_compact(F.array(*[
         found(F.regexp_extract(html, p, 1)) for p in (
             r"(?is)<ol\b[^>]*class=[\"'][^\"']*breadcrumb[^\"']*[\"'][^>]*>(.*?)</ol>",
@@ -403,7 +410,12 @@ def page_category_path(html: Column, home: list[str] = ("home",)) -> Column:
     plausible = F.filter(F.transform(lists, link_texts), lambda t: (
         F.size(t).between(3, 7) & (F.size(F.array_distinct(t)) == F.size(t)) & F.forall(t, lambda x: F.length(x) < 50)
     ))
-    path = F.coalesce(crumbs, F.get(plausible, F.lit(0)))
+    return F.coalesce(crumbs, F.get(plausible, F.lit(0)))
+
+
+def page_category_path(html: Column, home: list[str] = ("home",), links: Column | None = None) -> Column:
+    """Breadcrumb links joined by ' > ', home first link dropped; else the first short nav list."""
+    path = category_links(html) if links is None else links
     path = F.when(F.lower(F.get(path, F.lit(0))).isin(*home), F.slice(path, 2, 1 << 20)).otherwise(path)
     last = F.get(path, F.size(path) - 1)
     path = F.when(F.length(last) > 60, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path)
@@ -498,11 +510,12 @@ def extract_pages(pages: DataFrame, symbol: str = "KSh", tag: str = "JMALL") ->
     """Every product field of every page, NULL where a page has none."""
     html, text = F.col("html"), F.col("_text")
     staged = spread(pages).withColumns({
-        "_text": page_text(html), "_ld": page_json_ld(html), "_heading": heading_text(html),
+        "_text": page_text(html), "_ld": page_json_ld(html), "_heading": heading_text(html), "_links": category_links(html),
     })
     ld = ld_fields(F.col("_ld"))
     staged = page_description(page_variations(page_specs(staged, ld)))
-    embedded, shown = page_embedded_json(html), page_html_fields(html, text)
+    staged, embedded = page_embedded_json(staged)
+    shown = page_html_fields(html, text)
     cells = {
         "PRICE": F.coalesce(page_price(html, symbol), embedded["PRICE"]),
         "DISCOUNT": shown["DISCOUNT"],
@@ -510,7 +523,7 @@ def extract_pages(pages: DataFrame, symbol: str = "KSh", tag: str = "JMALL") ->
             shown["STOCK_STATUS"], F.when(shown["SOLD_OUT"], "Out of Stock"), ld["STOCK"], F.lit("In Stock")
         ),
         "BRAND": F.coalesce(ld["BRAND"], embedded["BRAND"]),
-        "CATEGORY_PATH": F.coalesce(embedded["CATEGORY_PATH"], page_category_path(html)),
+        "CATEGORY_PATH": F.coalesce(embedded["CATEGORY_PATH"], page_category_path(html, links=F.col("_links"))),
         "IS_OFFICIAL_STORE": page_official_store(html, tag),
         "MAIN_IMAGE": F.coalesce(ld["MAIN_IMAGE"], embedded["MAIN_IMAGE"], shown["MAIN_IMAGE"]),
         "RATING": F.coalesce(ld["RATING"], shown["RATING"]),

@@ -197,3 +197,13 @@ def test_visual_duplicates_over_several_tiles(spark, monkeypatch):
     sigs = {s for *_, s in rows}
     want = {(3, a, b) for a in sigs for b in sigs if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 12}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_every_page_field_searches_the_page_once(spark):
+    html = ('<ol class="breadcrumb"><a>Home</a><a>A</a><a>B</a></ol><script>dataLayer = [{"ecommerce":{"detail":{"products":[{"price":"1,500","brand":"Acme"}]}}}];'
+            '__STORES__ = {"pdp":{"product":{"price":"9","image":"i.png"}}};</script>')
+    out = G.extract_pages(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    row = out.first()
+    assert (row["PRICE"], row["BRAND"], row["CATEGORY_PATH"], row["MAIN_IMAGE"]) == ("1500", "Acme", "A > B", "i.png")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("dataLayer") <= 4 and plan.count("aria-label") <= 2
