@@ -170,3 +170,50 @@ def test_queries_of_few_columns_prepare_no_others(spark, monkeypatch):
         with pytest.raises(Seen) as plan:
             Q.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert "Aggregate" in str(plan.value) and "THEN Red" not in str(plan.value) and "12 months" not in str(plan.value)
+
+
+def test_quality_report_joins_texts_to_ids_alone(spark, tmp_path, monkeypatch):
+    from shelfcheck_queries import queries as queries_
+
+    path, given = _tables(spark, tmp_path), []
+    spark.createDataFrame([(0, "short")], "doc_id long, text string").write.mode("append").parquet(f"{path}/documents.parquet")
+    whole = queries_.with_descriptions
+    monkeypatch.setattr(queries_, "with_descriptions", lambda s, d, rows: given.append(rows.columns) or whole(s, d, rows))
+    report = queries_.QUERIES["quality_report"](spark, path)
+    assert given == [["PRODUCT_SET_SID"]]
+    got = sorted((r["SKU"], r["Empty Description"], r["Thin Description"], r["Missing Images in Desc"], r["Repeated Description"])
+                 for r in report.collect())
+    # a product has a row for each of its texts, with what that text gives
+    assert got == [(f"P0-{i}", "NO", "YES", miss, "YES") for i in (0, 1) for miss in ("NO", "YES")] + [("P1-1", "YES", "NO", "NO", "NO")]
+    assert "listings_" in report._jdf.queryExecution().optimizedPlan().toString()
+    by_id = queries_.quality_listings(spark, path).groupBy("PRODUCT_SET_SID").count()
+    assert "Exchange" not in by_id._jdf.queryExecution().executedPlan().toString()
+
+
+def test_issues_of_one_column_and_text_count_once(spark):
+    rows = spark.createDataFrame([("1", "gun", "x"), ("2", "a plain long name", "x")], "PRODUCT_SET_SID string, NAME string, BRAND string")
+    df = rows.withColumns({"CATEGORY_CODE": F.lit("1"), "SELLER_NAME": F.lit("s")})
+    extra = spark.createDataFrame([("2", "Prohibited products", "same"), ("2", "Restricted brands", "same"), ("2", "NG - Books Seller", "b"),
+                                   ("2", "Wrong Category", "c"), ("2", "no such flag", "d")], "sid string, flag string, detail string").withColumns(
+        {"reason": F.lit(None).cast("string"), "cv": F.lit(False)})
+    got = {r["SKU"]: r for r in Q.quality_report(df, RuleSet(spark, {}), "NG", extra).collect()}
+    assert got["2"]["Top Issues"] == "[critical] same | [high] c | [high] same | [high] b"
+    assert (got["2"]["Critical Issues"], got["2"]["High Issues"], got["2"]["Total Issues"], got["2"]["Quality Score"]) == (1, 3, 4, 39)
+    assert got["1"]["Top Issues"] == "[medium] 1 words, 3 chars" and got["1"]["Naming Issue"] == "YES"
+
+
+def test_listing_lines_meet_the_part_texts_last(spark, tmp_path):
+    from shelfcheck.adapter import catalog
+
+    plan = catalog(spark, _tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_occurs_is_the_bounded_pattern(spark):
+    from shelfcheck.functions.text import bounded, occurs
+
+    texts = ["old anvil", "cold anvils", "anvil", "", "caf\u00e9 ring", "cafe\u0301 ring", "\u017fale now", "sale-now", "a.b c", "axb c", "ring's"]
+    words = ["anvil", "Anvil", "old anvil", "CAF\u00c9", "cafe", "sale", "a.b", "ring", "", "\\E", "s", None]
+    df = spark.createDataFrame([(t, w) for t in texts for w in words], "t string, w string")
+    rows = df.select("t", "w", occurs(F.col("t"), F.col("w")).alias("now"), F.rlike("t", bounded(F.col("w"))).alias("was")).collect()
+    assert [r for r in rows if r["now"] != r["was"]] == [] and any(r["now"] for r in rows)
