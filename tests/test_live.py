@@ -217,3 +217,18 @@ def test_occurs_is_the_bounded_pattern(spark):
     df = spark.createDataFrame([(t, w) for t in texts for w in words], "t string, w string")
     rows = df.select("t", "w", occurs(F.col("t"), F.col("w")).alias("now"), F.rlike("t", bounded(F.col("w"))).alias("was")).collect()
     assert [r for r in rows if r["now"] != r["was"]] == [] and any(r["now"] for r in rows)
+
+
+def test_enrichment_prepares_no_other_columns(spark, monkeypatch):
+    from shelfcheck_queries import queries as queries_
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, *args):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(queries_.P, "fill_from_pages", seen)
+    with pytest.raises(Seen) as plan:
+        queries_.QUERIES["enriched_listings"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" in str(plan.value) and "BUY NOW" not in str(plan.value)
