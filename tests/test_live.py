@@ -219,6 +219,37 @@ def test_occurs_is_the_bounded_pattern(spark):
     assert [r for r in rows if r["now"] != r["was"]] == [] and any(r["now"] for r in rows)
 
 
+def test_attribute_words_go_in_few_passes(spark):
+    import random
+
+    from shelfcheck.constants import PROMO_WORDS
+    from shelfcheck.functions.text import any_of, strip
+
+    def one_by_one(c):
+        text = F.lower(F.coalesce(c, F.lit("")))
+        for word in [v for v, _ in L.VARIANTS]:
+            text = F.regexp_replace(text, rf"(?U)\b{any_of([word])}\b", "")
+        text = F.regexp_replace(F.regexp_replace(text, L.SIZE_WORDS, ""), L.CAPACITY_WORDS, "")
+        for word in PROMO_WORDS:
+            text = F.regexp_replace(text, rf"(?U)\b{word}\b", "")
+        return strip(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+
+    rng = random.Random(5)
+    bits = [*[v for v, _ in L.VARIANTS], *PROMO_WORDS, "multi", "color", "redo", "gb", "64", "small", "\u0301", "caf\u00e9"]
+    names = ["".join(rng.choice(bits) + rng.choice([" ", "-", "", ".", " ", "_"]) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string")
+    new = df.select(L.remove_attributes(F.col("n")).alias("n"))
+    assert new.collect() == df.select(one_by_one(F.col("n")).alias("n")).collect()
+    assert new._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") < 12
+
+
+def test_attributes_prepare_no_other_columns(spark):
+    from shelfcheck_queries import queries as queries_
+
+    plan = queries_.QUERIES["product_attributes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "BUY NOW" in plan and "GLOBAL_PRICE" not in plan
+
+
 def test_enrichment_prepares_no_other_columns(spark, monkeypatch):
     from shelfcheck_queries import queries as queries_
 
